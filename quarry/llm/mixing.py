@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.prefix import prefix_sums
+from quarry.operators.prefix import prefix_sums
 from quarry.runtime import broadcast_if_small, materialize
 
 
