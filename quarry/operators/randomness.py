@@ -103,7 +103,7 @@ def runs_test(bits: DataFrame) -> DataFrame:
     """p is 0 where the share of ones is too far from a half for the test."""
     share = F.col("ones") / F.col("n")
     spread = 2 * share * (1 - share)
-    p = erfc(F.abs(F.col("runs") - F.col("n") * spread) / (F.sqrt(2 * F.col("n")) * spread))
+    p = erfc(F.abs(F.col("runs") - F.col("n") * spread) / F.nullif(F.sqrt(2 * F.col("n")) * spread, F.lit(0.0)))
     return verdict(runs(bits), F.when(F.abs(share - 0.5) >= 2 / F.sqrt("n"), F.lit(0.0)).otherwise(p))
 
 

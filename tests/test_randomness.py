@@ -1,0 +1,123 @@
+"""Bit tests against published examples and plain versions."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.functions.columns import bits_to_hex, hex_to_bits
+from quarry.functions.pvalue import igamc
+from quarry.operators import randomness as R
+
+
+def bits(spark, *strings):
+    return R.from_bit_strings(spark.createDataFrame(list(enumerate(strings)), "s int, b string"), "s", "b")
+
+
+@pytest.mark.parametrize("a,x,wanted", [(0.5, 0.5, math.erfc(math.sqrt(0.5))), (1, 2, math.exp(-2)), (3, 1.5, math.exp(-1.5) * (1 + 1.5 + 1.125)), (2.5, 0, 1.0), (5, 40, sum(math.exp(-40) * 40**k / math.factorial(k) for k in range(5)))])
+def test_igamc(a, x, wanted):
+    assert igamc(a, x) == pytest.approx(wanted, rel=1e-10)
+
+
+# published worked examples of SP 800-22
+def test_small_published_examples(spark):
+    p = lambda df: [round(r["p_value"], 6) for r in df.collect()]
+    assert p(R.frequency_test(bits(spark, "1011010101"))) == [0.527089]
+    assert p(R.block_frequency_test(bits(spark, "0110011010"), 3)) == [0.801252]
+    assert p(R.runs_test(bits(spark, "1001101011"))) == [0.147232]
+    assert p(R.approximate_entropy_test(bits(spark, "0100110101"), 3)) == [0.261961]
+    assert p(R.cumulative_sums_test(bits(spark, "1011010111"))) == [pytest.approx(0.4116588, abs=1e-5)] * 2
+    serial = R.serial_test(bits(spark, "0011011101"), 3).first()
+    assert (round(serial["p_value_1"], 6), round(serial["p_value_2"], 6)) == (0.808792, 0.670320)
+    universal = R.universal(bits(spark, "01011010011101010111"), 2, 4).first()
+    assert universal["k"] == 6 and universal["fn"] == pytest.approx(1.1949875, abs=1e-6)
+    assert R.matrix_rank(bits(spark, "010110010010101011"), 3).first().asDict() | {"chi2": 0} == {"seq_id": 0, "matrices": 2, "full": 1, "less_one": 1, "chi2": 0}
+    spectral = R.spectral_test(bits(spark, "1001010011")).first()
+    assert spectral["peaks"] == 5 or spectral["peaks"] == 4
+
+
+def test_published_excursions(spark):
+    rows = {r["state"]: r for r in R.excursions(bits(spark, "0110110101")).collect()}
+    assert rows[1]["j"] == 3 and [rows[1][f"v{k}"] for k in range(6)] == [1, 1, 0, 1, 0, 0]
+    assert rows[1]["chi2"] == pytest.approx(4.333033, abs=1e-3)
+    variant = {r["state"]: r["xi"] for r in R.excursions_variant(bits(spark, "0110110101")).collect()}
+    assert variant[1] == 4 and variant[-1] == 1 and variant[2] == 3 and variant[9] == 0
+
+
+def test_published_template_counts():
+    assert [R._count_template([int(c) for c in s], "001") for s in ("1010010010", "1110010110")] == [2, 1]
+    assert R._linear_complexity([int(c) for c in "1101011110001"]) == 4
+    assert R._rank([0b010, 0b101, 0b010]) == 2
+    non = R._count_template([0] * 20, "000000001")
+    assert non == 0
+
+
+def test_non_overlapping_published(spark):
+    row = R.non_overlapping_test(bits(spark, "10100100101110010110"), "001", 2).first()
+    assert row["chi2"] == pytest.approx(2.133333, abs=1e-5) and round(row["p_value"], 6) == 0.344154
+
+
+def plain_longest(block):
+    return max(len(s) for s in block.split("0"))
+
+
+def test_longest_run_published(spark):
+    text = "11001100000101010110110001001100111000000000001001001101010100010001001111010110100000001101011111001100111001101101100010110010"
+    row = R.longest_run_test(bits(spark, text), 8).first()
+    assert [row[f"v{k}"] for k in range(4)] == [4, 9, 3, 0] and row["chi2"] == pytest.approx(4.882605, abs=1e-3)
+    assert row["p_value"] == pytest.approx(0.180609, abs=1e-4)
+
+
+def test_against_plain_versions(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("01") for _ in range(2100)) for _ in range(2)] + ["01" * 1050, "0" * 2100]
+    df = bits(spark, *texts).cache()
+    for k, r in enumerate(sorted(R.overlapping(df).collect(), key=lambda r: r["seq_id"])):
+        hits = [min(5, sum(texts[k][b * 1032 : (b + 1) * 1032][i : i + 9] == "1" * 9 for i in range(1024))) for b in range(2)]
+        assert r["blocks"] == 2 and [r[f"v{j}"] for j in range(6)] == [hits.count(j) for j in range(6)]
+    sums = {k: [sum(2 * int(c) - 1 for c in t[: i + 1]) for i in range(len(t))] for k, t in enumerate(texts)}
+    walked = R.running_sum(df, 2 * F.col("bit").cast("long") - 1, "s", block=100)
+    assert {(r["seq_id"], r["idx"]): r["s"] for r in walked.collect()} == {(k, i): s for k, own in sums.items() for i, s in enumerate(own)}
+    for r in R.cumulative_sums(df).collect():
+        own = [2 * int(c) - 1 for c in texts[r["seq_id"]]]
+        own = own if r["mode"] == "forward" else own[::-1]
+        assert r["z"] == max(abs(sum(own[: i + 1])) for i in range(len(own)))
+    grams = {(r["seq_id"], r["word"]): r["c"] for r in R.gram_counts(df, 3).collect()}
+    assert all(grams.get((k, w), 0) == sum((t + t[:2])[i : i + 3] == f"{w:03b}" for i in range(len(t))) for k, t in enumerate(texts) for w in range(8))
+    longest = {(r["seq_id"], r["block"]): r["longest"] for r in R.longest_runs(df, 100).collect()}
+    assert longest == {(k, b): plain_longest(t[b * 100 : b * 100 + 100]) for k, t in enumerate(texts) for b in range(21)}
+    verdicts = {r["seq_id"]: r["passed"] for r in R.combined({"f": R.frequency_test(df), "r": R.runs_test(df)}).collect()}
+    assert verdicts == {0: True, 1: True, 2: False, 3: False}
+
+
+def test_format_hex_and_distribution(spark):
+    df = spark.createDataFrame([("0f",), ("A0",), ("xz",), ("",)], "h string").withColumn("b", hex_to_bits(F.col("h")))
+    assert [r["b"] for r in df.collect()] == ["00001111", "10100000", None, ""]
+    assert [r[0] for r in df.select(bits_to_hex(F.col("b"))).collect()] == ["0f", "a0", None, ""]
+    broken = spark.createDataFrame([(1, 0, 1), (1, 2, 0), (2, 0, 1), (2, 1, 0), (3, 0, 2)], "seq_id int, idx long, bit int")
+    assert {r["seq_id"]: r["valid"] for r in R.well_formed(broken).collect()} == {1: False, 2: True, 3: False}
+    shares = {r["s"]: r["probability"] for r in R.symbol_distribution(spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "s string"), "s").collect()}
+    assert shares == {"a": 0.5, "b": 0.25, "c": 0.25}
+
+
+def test_autocorrelation(spark):
+    values = [math.sin(k / 3) + (k * 7919 % 13) / 13 for k in range(200)]
+    df = spark.createDataFrame([(0, k, v) for k, v in enumerate(values)], "seq_id int, idx long, value double")
+    mean = sum(values) / 200
+    d = [v - mean for v in values]
+    for r in R.autocorrelation(df, 5).collect():
+        assert r["r"] == pytest.approx(sum(d[i] * d[i + r["lag"]] for i in range(200 - r["lag"])) / sum(x * x for x in d))
+        assert r["bound"] == pytest.approx(1.96 / math.sqrt(200)) and r["independent"] == (abs(r["r"]) <= r["bound"])
+
+
+def test_poisson(spark):
+    counts = [0] * 14 + [1] * 27 + [2] * 27 + [3] * 18 + [4] * 9 + [5] * 3 + [6] * 2
+    df = spark.createDataFrame([(0, k, n) for k, n in enumerate(counts)], "seq_id int, bin long, n long")
+    fit = {r["k"]: r for r in R.poisson_fit(df, 4).collect()}
+    mean = sum(counts) / len(counts)
+    assert [fit[k]["observed"] for k in range(5)] == [14, 27, 27, 18, 14]
+    assert fit[2]["expected"] == pytest.approx(100 * math.exp(-mean) * mean**2 / 2)
+    assert sum(r["expected"] for r in fit.values()) == pytest.approx(100)
+    row = R.poisson_test(df, 4).first()
+    assert row["freedom"] == 3 and row["passed"] and row["p_value"] == pytest.approx(igamc(1.5, row["chi2"] / 2))
