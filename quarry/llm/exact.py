@@ -51,8 +51,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = materialize(slim.withColumn("__row", F.monotonically_increasing_id()), "hashes")
     order = F.struct((-F.col("__chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("__row").alias("r"))
     shared = rows.where("__shared")
-    groups = shared.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(order).alias("__best"))
-    found = shared.join(groups, "text_sha256").select(
+    groups = materialize(shared.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(order).alias("__best")), "groups")
+    found = shared.join(broadcast_if_small(groups), "text_sha256").select(
         "doc_id", F.col("__best.i").alias("keep_id"), "group_size", (F.col("__best.r") == F.col("__row")).alias("kept"), "text_sha256"
     )
     alone = rows.where("__shared is null").select(
