@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quarry.runtime import broadcast_if_small, materialize
 
 
+#: Partitions whose totals one window sums up.
+BLOCK = 64
+
+
 def partition_count(df: DataFrame, times: int = 4) -> int:
     """Range partitions: several for each shuffle partition, so that hashing them leaves no task with much more than others."""
     return times * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -28,13 +32,23 @@ def prefix_sums(df: DataFrame, value: str, order: Sequence[Column], by: Sequence
     parts = partitions or partition_count(df)
     ranged = materialize(salted.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy("__part", *by).agg(F.sum(value).alias("__sum"), F.count("*").alias("__rows"))
-    # one row for each partition and group that meet: no more rows than partitions and groups together
-    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    # one row for each partition and group that meet; a group of many partitions is summed up by blocks of them
+    totals = materialize(totals.withColumn("__block", F.floor(F.col("__part") / BLOCK).cast("int")), "totals")
+    blocks = totals.groupBy("__block", *by).agg(F.sum("__sum").alias("__sum"), F.sum("__rows").alias("__rows"))
+
+    def earlier(keys: Sequence[str], order: str, name: str) -> Column:
+        return F.coalesce(F.sum(name).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    before = blocks.select(
+        *(F.col(c).alias(f"__by_{c}") for c in by), F.col("__block").alias("__of"), *(earlier(by, "__block", f"__{n}").alias(f"__{n}2") for n in ("sum", "rows"))
+    )
+    same = F.col("__block") == F.col("__of")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    offsets = totals.join(before, same).select(
         *(F.col(c).alias(f"__by_{c}") for c in by),
         F.col("__part").alias("__of"),
-        F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__sum0"),
-        F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__rows0"),
+        *((F.col(f"__{n}2") + earlier(["__block", *by], "__part", f"__{n}")).alias(f"__{n}0") for n in ("sum", "rows")),
     )
     within = Window.partitionBy("__part", *by).orderBy(*order, "__tie", "__salt").rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumns({"__sum1": F.coalesce(F.sum(value).over(within), F.lit(0)), "__rows1": F.count(F.lit(1)).over(within)})
