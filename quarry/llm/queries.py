@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import binpack, exact, hamming, mixing, omh, packing, quality, secrets, sharding, urls
+from quarry.llm.oracles import ORACLES as ORACLES
 from quarry.llm.text import word_count
 
 
@@ -96,5 +97,3 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pack, op2_urls, op3_near_dups, op4_mix, op5_binary, op6_quality, op7_shards, op8_exact, op9_top_k, op10_secrets)
 }
-
-ORACLES: dict[str, str] = {}
