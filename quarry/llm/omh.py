@@ -5,32 +5,37 @@ A document's words give k-mers of ``k`` words, each labelled with its occurrence
 key, which documents share more often the smaller their edit distance is, not merely their set of k-mers. Candidates are
 verified by a banded alignment of their words.
 
-Equal texts are one node. In each bucket every node is compared with one leader; classes are the connected components of
-verified links. A bucket whose nodes end up in several classes is opened again with two new leaders from different classes,
-until it holds one class or each of its nodes has been compared with all nodes of the other classes. So every round is linear in
-a bucket's size, nothing is capped, and no link between nodes that share a bucket is lost.
+Equal texts are one node. Nodes of a bucket are first compared with few leaders; classes are the connected components of
+verified links. Where a bucket still holds several classes, the nodes outside of its largest class are compared with all nodes
+of other classes, once for each pair, behind exact lower bounds of their distance. So a group of copies costs a multiple of its
+size, nothing is capped, and no link between nodes that share a bucket is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.components import connected_components
-from quarry.runtime import broadcast_if_small, discard, materialize
+from quarry.runtime import arrow_batches, broadcast_if_small, discard, materialize
 
 K = 5
-BANDS = 24
-PICKS = 2
+BANDS = 32
+PICKS = 4
 SIMILARITY = 0.8
+#: Word counters of a text, by hash; their differences bound an edit distance from below.
+BAG = 512
 
 SLICE_ROWS = 256
+#: Pairs of texts that a Python worker gets at once.
+PAIRS_AT_ONCE = 500
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -89,18 +94,19 @@ def sketch(hashes: np.ndarray, bands: int = BANDS, picks: int = PICKS, k: int =
     if not n:
         return np.empty(0, dtype=np.uint64)
     seeds = _mix(np.arange(1, bands + 1, dtype=np.uint64))
+    short = (kmers >> np.uint64(32)).astype(np.uint32)  # ranks of 32 bits are quicker to compare
     keys = []
     step = max(1, (1 << 22) // n)  # bands at once, to bound memory
     for at in range(0, bands, step):
         some = seeds[at : at + step]
         rows = np.arange(len(some))
-        ranks = (kmers[None, :] ^ some[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
-        ranks ^= ranks >> np.uint64(31)
-        ranks *= np.uint64(0x94D049BB133111EB)
+        ranks = (short[None, :] ^ (some >> np.uint64(32)).astype(np.uint32)[:, None]) * np.uint32(0x7FEB352D)
+        ranks ^= ranks >> np.uint32(15)
+        ranks *= np.uint32(0x846CA68B)
         places = []
         for _ in range(min(picks, n)):
             places.append(ranks.argmin(axis=1))
-            ranks[rows, places[-1]] = np.iinfo(np.uint64).max
+            ranks[rows, places[-1]] = np.iinfo(np.uint32).max
         key = some
         for place in np.sort(np.array(places), axis=0):
             key = _mix(key * np.uint64(31) + kmers[place])
@@ -207,7 +213,7 @@ def similar(a: list[str], b: list[str], threshold: float) -> bool:
     return longer - common <= most and within_distance(a, b, most) is not None
 
 
-def _node(text) -> F.Column:
+def _node(text: Column) -> Column:
     """128 bits for a text; equal texts are one node."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
@@ -227,9 +233,8 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, picks: in
                     words = words_of(text)
                     counts.append(len(words))
                     keys.append(sketch(hasher(words), bands, picks, k).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("fp"), pa.array(counts, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "words", "keys"]
-                )
+                arrays = [part.column("id"), part.column("fp"), pa.array(counts, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return chosen.mapInArrow(run, schema)
 
@@ -256,49 +261,124 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return wide.mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, picks: int, k: int, slots: int) -> tuple[DataFrame, DataFrame | None]:
-    """(id, fp) of each row, and (node, component) of the nodes that have a link to another node, None if there is none."""
+def _by_length(members: DataFrame, threshold: float) -> DataFrame:
+    """Buckets split by length: every two texts whose lengths allow the similarity still share one of two overlapping bins."""
+    width = math.log(1 / threshold) * (1 + 1e-6)
+    first = F.floor(F.log("words") / width)
+    return members.withColumn("bin", F.explode(F.array(first, first + 1))).select(F.xxhash64("key", "bin").alias("key"), "fp")
+
+
+def _shared(members: DataFrame) -> DataFrame:
+    """(key, fp, low): members of buckets of two nodes or more, with the bucket's smallest node."""
+    several = members.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("key", "low")
+    return members.join(several, "key")
+
+
+def _bags(texts: DataFrame) -> DataFrame:
+    """(fp, words, bag): each node's number of words, and their numbers by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                hashes = [hasher(words_of(text)) for text in part.column("text").to_pylist()]
+                bags = [np.minimum(np.bincount((h % np.uint64(BAG)).astype(np.int64), minlength=BAG), 32_767).astype(np.int16) for h in hashes]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("fp"), pa.array([len(h) for h in hashes], pa.int32()), pa.array(bags, pa.list_(pa.int16()))], names=["fp", "words", "bag"]
+                )
+
+    return texts.mapInArrow(run, "fp binary, words int, bag array<smallint>")
+
+
+def _close(a: str, b: str, threshold: float) -> Column:
+    """Whether two nodes are of different classes and their lengths allow the similarity."""
+    most = F.greatest(f"{a}.words", f"{b}.words") * (1 - threshold) + 1e-9
+    return (F.col(f"{a}.component") != F.col(f"{b}.component")) & (F.abs(F.col(f"{a}.words") - F.col(f"{b}.words")) <= most)
+
+
+def _overlap(a: str, b: str, threshold: float) -> Column:
+    """Whether word counters allow the similarity: a word without a partner costs an edit, so no link is lost."""
+
+    def surplus(x: str, y: str) -> Column:
+        rest = F.zip_with(F.col(f"{x}.bag"), F.col(f"{y}.bag"), lambda p, q: F.greatest(p.cast("int") - q.cast("int"), F.lit(0)))
+        return F.aggregate(rest, F.lit(0), lambda total, v: total + v)
+
+    words_a, words_b = F.col(f"{a}.words"), F.col(f"{b}.words")
+    lacking = F.when(words_a >= words_b, surplus(a, b)).otherwise(surplus(b, a))
+    return lacking <= F.greatest(words_a, words_b) * (1 - threshold) + 1e-9
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (a.fp, b.fp) as (a, b) with a > b, each once."""
+    return pairs.select(F.greatest("a.fp", "b.fp").alias("a"), F.least("a.fp", "b.fp").alias("b")).distinct()
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, picks: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of each row, and (node, component) of the nodes that have a link to another node."""
     rows = materialize(_sketches(docs, id_col, text_col, bands, picks, k), "sketches")
-    nodes = rows.groupBy("fp").agg(F.first("words").alias("words"), F.first("keys").alias("keys"))
-    keyed = nodes.select("fp", "words", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("key", "low")
-    members = materialize(keyed.join(shared, "key"), "members")
-    wanted = materialize(members.select("fp").distinct(), "wanted")
-    texts = docs.select(_node(F.col(text_col)).alias("fp"), F.col(text_col).cast("string").alias("text")).join(broadcast_if_small(wanted), "fp", "left_semi")
+    distinct = rows.groupBy("fp").agg(F.first("words").alias("words"), F.first("keys").alias("keys"))
+    keyed = _shared(distinct.select("fp", "words", F.explode("keys").alias("key"))).select("key", "fp", "words")
+    members = materialize(_shared(_by_length(keyed, threshold)), "members")
+    # a node's buckets: two nodes of several common buckets are compared in the first of them
+    wanted = materialize(members.groupBy("fp").agg(F.array_sort(F.collect_set("key")).alias("buckets")), "wanted")  # at most two for each band
+    small = broadcast_if_small(wanted.select("fp"))
+    texts = docs.select(_node(F.col(text_col)).alias("fp"), F.col(text_col).cast("string").alias("text")).join(small, "fp", "left_semi")
     texts = materialize(texts.groupBy("fp").agg(F.first("text").alias("text")), "texts")
-    close = F.abs(F.col("words") - F.col("words_b")) <= F.greatest("words", "words_b") * (1 - threshold) + 1e-9
-
-    # first, each node with one leader; most copies find their class by this
-    first = members.where("fp <> low").groupBy("fp").agg(F.min("low").alias("b"), F.first("words").alias("words"))
-    sizes = wanted.join(members.groupBy("fp").agg(F.first("words").alias("words_b")), "fp").withColumnRenamed("fp", "b")
-    pairs = first.join(sizes, "b").where(close).select(F.greatest("fp", "b").alias("a"), F.least("fp", "b").alias("b"))
-    tested = materialize(_verified(pairs.distinct(), texts, threshold), "tested")
-    all_tested = tested.select("a", "b")
-    links = tested.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    components = materialize(connected_components(links), "classes")
-    waiting = members.select("key", "fp", "words")
-    while True:
-        named = waiting.join(components.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        active = materialize(named.join(mixed, "key").select("key", "fp", "words", "component"), "active")
-        if active.isEmpty():
-            break
-        # some nodes of different classes lead each bucket that is still open; then they are done with it
-        slot = F.pmod(F.xxhash64("component"), F.lit(slots))
-        leaders = active.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("fp", "component", "words")).alias("lead"))
-        leaders = leaders.select("key", F.col("lead.fp").alias("leader"), F.col("lead.component").alias("component_b"), F.col("lead.words").alias("words_b"))
-        leaders = materialize(leaders, "leaders")
-        pairs = active.join(leaders, "key").where("component <> component_b").where(close)
-        pairs = pairs.select(F.greatest("fp", "leader").alias("a"), F.least("fp", "leader").alias("b")).distinct().join(all_tested, ["a", "b"], "left_anti")
-        tested = materialize(_verified(pairs, texts, threshold), "tested")
-        all_tested = all_tested.union(tested.select("a", "b"))
-        links = tested.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        if not links.isEmpty():
-            old = components
-            components = materialize(connected_components(old.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(links)), "classes")
-            discard(old)
-        waiting = active.join(leaders.select("key", F.col("leader").alias("fp")), ["key", "fp"], "left_anti").select("key", "fp", "words")
-    discard(members, texts, wanted)
+    nodes = materialize(_bags(texts), "nodes")
+    components = None
+
+    def named(members: DataFrame) -> DataFrame:
+        if components is None:
+            return members.withColumn("component", F.col("fp"))
+        classes = broadcast_if_small(components.withColumnRenamed("node", "fp"))
+        return members.join(classes, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+    def described(members: DataFrame) -> DataFrame:
+        return members.join(broadcast_if_small(nodes, 10_000), "fp")
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal components
+        with arrow_batches(docs.sparkSession, PAIRS_AT_ONCE):  # two texts a row
+            tested = materialize(_verified(pairs, texts, threshold), "tested")
+        edges = tested.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        old = components
+        if old is not None:
+            edges = edges.union(old.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+        components = materialize(connected_components(edges), "classes")
+        discard(tested, old)
+
+    # each node with one leader; most copies find their class by this
+    first = members.where("fp <> low").groupBy("fp").agg(F.min("low").alias("low"))
+    a, b = described(named(first)).alias("a"), described(named(wanted.select("fp"))).alias("b")
+    link(_ordered(a.join(b, (F.col("a.low") == F.col("b.fp")) & _close("a", "b", threshold) & _overlap("a", "b", threshold))))
+
+    # two nodes of different classes lead each bucket that holds several
+    member = F.struct("component", "fp")
+
+    def mixed() -> DataFrame:
+        now = named(members.select("key", "fp"))
+        several = now.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low.component < high.component")
+        return materialize(now.join(several, "key"), "mixed")
+
+    active = mixed()
+    leads = active.select("key", F.explode(F.array("low", "high")).alias("lead")).distinct().select("key", F.col("lead.fp").alias("fp"), F.col("lead.component").alias("component"))
+    a, b = described(active.select("key", "fp", "component")).alias("a"), described(leads).alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") != F.col("b.fp")) & _close("a", "b", threshold) & _overlap("a", "b", threshold))
+    link(_ordered(pairs))
+    discard(active)
+
+    # the nodes outside of a bucket's largest class with all nodes of other classes
+    active = mixed().select("key", "fp", "component")
+    sizes = active.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    full = materialize(described(active.join(largest, "key")).join(broadcast_if_small(wanted, 10_000), "fp"), "full")
+    a, b = full.where("component <> largest").alias("a"), full.alias("b")
+    # nodes outside of the largest class on both sides meet once
+    once = (F.col("b.component") == F.col("b.largest")) | (F.col("a.fp") > F.col("b.fp"))
+    first_common = F.element_at(F.array_intersect("a.buckets", "b.buckets"), 1) == F.col("a.key")
+    link(_ordered(a.join(b, (F.col("a.key") == F.col("b.key")) & once & _close("a", "b", threshold) & first_common & _overlap("a", "b", threshold))))
+    discard(members, texts, wanted, nodes, active, full)
     return rows.select("id", "fp"), components
 
 
@@ -310,7 +390,6 @@ def near_duplicates(
     bands: int = BANDS,
     picks: int = PICKS,
     k: int = K,
-    slots: int = 16,
 ) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, class_id (the smallest id of its class), class_size (rows).
 
@@ -319,9 +398,10 @@ def near_duplicates(
     Equal texts are always in one class, empty and null ones (which are equal) too. Texts of fewer than ``k`` words have one k-mer.
     A class whose ids are all null has a null class_id. Other columns are ignored. No rows give no rows.
     """
-    rows, components = _classes(docs, id_col, text_col, threshold, bands, picks, k, slots)
+    rows, components = _classes(docs, id_col, text_col, threshold, bands, picks, k)
     named = rows.join(components.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
-    classes = named.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+    classes = materialize(named.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "labels")
+    # a large class can be split in this join, as both sides of it are read anew
     return named.join(classes, "label").select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
@@ -333,13 +413,12 @@ def near_dedup(
     bands: int = BANDS,
     picks: int = PICKS,
     k: int = K,
-    slots: int = 16,
 ) -> DataFrame:
     """One row of each class of :func:`near_duplicates`, with all columns of ``docs``: the row with the smallest id (null last).
 
     Rows with texts of their own pass without a shuffle of texts.
     """
-    rows, components = _classes(docs, id_col, text_col, threshold, bands, picks, k, slots)
+    rows, components = _classes(docs, id_col, text_col, threshold, bands, picks, k)
     first = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i")))
     nodes = rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("copies")).join(components.withColumnRenamed("node", "fp"), "fp", "left")
     keepers = nodes.where("component is not null").groupBy("component").agg(F.min(F.struct("first", "fp")).alias("keep"))
