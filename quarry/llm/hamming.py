@@ -17,9 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.runtime import materialize
+
 #: Codes and queries that one task holds at once.
 CODE_BLOCK = 16_384
 QUERY_BLOCK = 16_384
+#: Tasks of the search; beyond that number a task takes several pairs of blocks, one after the other.
+MOST_TASKS = 10_000
 
 
 @lru_cache(maxsize=64)
@@ -118,8 +122,8 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10, parts: int
     ``codes`` and ``queries`` are (id, code). A row is no neighbour of its own id; equal codes of other ids are, at distance 0. Of
     repeated ids one row counts. A query with fewer than k others gets fewer rows. No queries or codes give no rows.
     """
-    codes = codes.groupBy("id").agg(F.min("code").alias("code"))
-    queries = queries.groupBy("id").agg(F.min("code").alias("code"))
+    codes = materialize(codes.groupBy("id").agg(F.min("code").alias("code")), "codes")
+    queries = materialize(queries.groupBy("id").agg(F.min("code").alias("code")), "queries")
     blocks = max(1, -(-codes.count() // code_block))
     rounds = max(1, -(-queries.count() // query_block))
     left = codes.select("id", "code", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
@@ -138,6 +142,9 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10, parts: int
         a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
         return pd.DataFrame({"query_id": a, "neighbor_id": b, "distance": c})
 
+    # a task for each pair of blocks: their rows are few bytes and much work, so they must not be coalesced by size
+    tasks = min(blocks * rounds, MOST_TASKS)
+    left, right = left.repartition(tasks, "block", "round"), right.repartition(tasks, "block", "round")
     near = left.groupBy("block", "round").cogroup(right.groupBy("block", "round")).applyInPandas(run, "query_id long, neighbor_id long, distance long")
     # each query has k rows from each block at most
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
