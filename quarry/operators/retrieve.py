@@ -37,10 +37,11 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "id", query
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("__q"))
     kind = [F.col(by_kind)] if by_kind else []
     scored = docs.select(F.col(doc_id).alias("id"), *kind, F.col(vector).alias("__v")).join(F.broadcast(asked), F.lit(True))
-    scored = scored.select("query_id", "id", *kind, cosine(F.col("__q"), F.col("__v")).alias("similarity")).where("similarity is not null")
-    order = Window.partitionBy("query_id", *kind).orderBy(F.col("similarity").desc(), "id")
+    scored = scored.select("query_id", "id", *kind, cosine(F.col("__q"), F.col("__v")).alias("similarity"))
+    # a filter on the similarity here would be pushed into the join and compute it twice; nulls rank last instead
+    order = Window.partitionBy("query_id", *kind).orderBy(F.col("similarity").desc_nulls_last(), "id")
     # row_number with a bound gives a window group limit below the shuffle: each task sends k rows for each query
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).where("similarity is not null")
 
 
 def similar_pairs(docs: DataFrame, threshold: float, id_col: str = "id", vector: str = "vector") -> DataFrame:
