@@ -14,7 +14,7 @@ LAYERS = ("code", "raw", "pivot", "overall")
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A table by its path's ending: parquet, csv (with header), json lines or orc; Parquet otherwise. Workbooks must be exported to CSV."""
+    """A table by its path's ending: parquet, csv (with header), json lines or orc; Parquet otherwise. For workbooks see quarry.sources.workbook."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
     ending = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if ending == "csv":
