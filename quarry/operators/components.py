@@ -1,7 +1,8 @@
 """Distributed connected components by alternating large-star and small-star steps.
 
-Every step is a partial minimum per node and an equi join, so a hub costs map-side combining and, at worst, a skewed
-join that adaptive execution splits; no group is ever gathered in one task.
+Every step is a partial minimum per node and an equi join with these minima. They are written first, so that the join is a
+checked broadcast or has a shuffle of its own on both sides, which adaptive execution can split at a hub; no group is ever
+gathered in one task.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.runtime import discard, materialize
+from quarry.runtime import broadcast_if_small, discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,18 +19,21 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Link each node's larger neighbours to the smallest of its closed neighbourhood."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
+def _round(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over edges from larger to smaller nodes.
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Link each node and its smaller neighbours to the smallest of them. ``edges`` point from larger to smaller."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v")
+    The first links each node's larger neighbours to the smallest of its closed neighbourhood, the second each node and its
+    smaller neighbours to the smallest of them.
+    """
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    larger = both.where("v > u").join(broadcast_if_small(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    larger = materialize(larger, "larger")
+    smallest = materialize(larger.groupBy("u").agg(F.min("v").alias("m")), "least")
+    moved = larger.join(broadcast_if_small(smallest), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    after = materialize(moved.union(smallest.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+    discard(least, larger, smallest)
+    return after
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -47,7 +51,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if not before[0]:
             break
-        after = materialize(_small_star(_large_star(current)).distinct(), "edges")
+        after = _round(current)
         state = _state(after)
         discard(current)
         current = after
