@@ -119,8 +119,9 @@ def judge_urls(
     )
     decided = votes.where("blocked = 1 and coalesce(allowed, 0) = 0").select("component")
     blocked = materialize(components.join(decided, "component").select(F.col("node").alias("__node"), F.lit(True).alias("__blocked")), "blocked")
-    judged = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col)), "__node": node_of(F.col(url_col))})
-    # the unruled URLs without a node must not meet in one partition of the join
+    # URLs without a node must not meet at a null key: theirs is a number, which no node is
+    spread = F.monotonically_increasing_id().cast("string")
+    judged = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col)), "__node": F.coalesce(node_of(F.col(url_col)), spread)})
     judged = judged.withColumn("__rule", matching_rule(F.col("host"), F.col("path"), rules))
     judged = judged.join(broadcast_if_small(blocked), "__node", "left")
     alias = F.when(F.col("__blocked"), F.lit("block")).otherwise(F.lit(default))
