@@ -19,18 +19,28 @@ def partition_count(df: DataFrame, times: int = 4) -> int:
     return times * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def prefix_sums(df: DataFrame, value: str, order: Sequence[Column], by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
-    """``df`` with ``__before``, the sum of ``value`` in earlier rows, and ``__index``, their number, within each ``by`` group.
+def range_partitioned(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """``df`` with ``__part``, the number of a range of rows by group, order, content and a random salt, and what breaks ties.
 
-    Rows are range-partitioned by group, order, content and a random salt, so that neither a hot group nor many equal rows
-    meet in one partition. The partitioned table is written to the shared folder, which makes salt and partition final:
-    a lost executor cannot change them. Then only (partition, group) totals are summed up globally.
+    Neither a hot group nor many equal rows meet in one partition. The table is written to the shared folder, which makes salt
+    and partition final: a lost executor cannot change them.
     """
-    every = [F.col(c) for c in df.columns]
-    salted = df.withColumns({"__tie": F.xxhash64(*every), "__salt": F.rand(11)})
+    salted = df.withColumns({"__tie": F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), "__salt": F.rand(11)})
     keys = [F.col(c).asc_nulls_last() for c in by] + list(order) + [F.col("__tie"), F.col("__salt")]
     parts = partitions or partition_count(df)
-    ranged = materialize(salted.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "ranged")
+    return materialize(salted.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "ranged")
+
+
+def prefix_sums(df: DataFrame, value: str, order: Sequence[Column], by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """``df`` with ``__before``, the sum of ``value`` in earlier rows, and ``__index``, their number, within each ``by`` group."""
+    return sums_of_ranges(range_partitioned(df, order, by, partitions), value, order, by)
+
+
+def sums_of_ranges(ranged: DataFrame, value: str, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
+    """:func:`prefix_sums` of rows that were range-partitioned by the same order and groups.
+
+    Only (partition, group) totals are summed up globally.
+    """
     totals = ranged.groupBy("__part", *by).agg(F.sum(value).alias("__sum"), F.count("*").alias("__rows"))
     # one row for each partition and group that meet; a group of many partitions is summed up by blocks of them
     totals = materialize(totals.withColumn("__block", F.floor(F.col("__part") / BLOCK).cast("int")), "totals")
@@ -57,7 +67,7 @@ def prefix_sums(df: DataFrame, value: str, order: Sequence[Column], by: Sequence
         same &= F.col(c).eqNullSafe(F.col(f"__by_{c}"))
     joined = local.join(broadcast_if_small(offsets), same)
     return joined.withColumns({"__before": F.col("__sum0") + F.col("__sum1"), "__index": F.col("__rows0") + F.col("__rows1")}).select(
-        *df.columns, "__before", "__index"
+        *(F.col(f"`{c}`") for c in ranged.columns if c not in ("__tie", "__salt", "__part")), "__before", "__index"
     )
 
 
