@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.prefix import prefix_sums
+from quarry.operators.prefix import range_partitioned, sums_of_ranges
 from quarry.runtime import broadcast_if_small, materialize
 
 
@@ -55,9 +55,10 @@ def mix_sources(
     sized = docs.withColumn("size", F.coalesce(size.cast("long"), F.lit(0)).cast("long"))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     sized = sized.withColumn("__key", key)
-    clash = [c for c in ("source_size", "target", "taken") if c in docs.columns]
-    summed = prefix_sums(sized.drop(*clash), "size", [F.col("__key"), F.col("size")], by=[source_col])
-    targets = source_targets(sized, source_col, "size", weights, max_epochs).withColumnRenamed("source", "__source")
+    order = [F.col("__key"), F.col("size")]
+    ranged = range_partitioned(sized.drop("source_size", "target", "taken"), order, [source_col])
+    summed = sums_of_ranges(ranged, "size", order, [source_col])
+    targets = source_targets(ranged, source_col, "size", weights, max_epochs).withColumnRenamed("source", "__source")
     mixed = summed.join(broadcast_if_small(targets), F.col(source_col).eqNullSafe(F.col("__source")))
     total = F.col("source_size")
     budget = F.least(total * max_epochs, F.round("target").cast("long"))

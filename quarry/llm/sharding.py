@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.prefix import prefix_sums
+from quarry.operators.prefix import range_partitioned, sums_of_ranges
 
 
 def byte_size(text: Column, extra: int = 8) -> Column:
@@ -24,9 +24,10 @@ def shard_by_bytes(docs: DataFrame, size: str = "size", shards: int = 24, order:
     a single row larger than a slice leaves shards empty. Input columns named like the added ones are replaced. No rows give
     no rows.
     """
-    kept = docs.drop("shard", "slot")
-    summed = prefix_sums(kept, size, [F.col(c).asc_nulls_last() for c in order] + [F.col(size)])
-    total = kept.agg(F.sum(size)).first()[0] or 1
+    keys = [F.col(c).asc_nulls_last() for c in order] + [F.col(size)]
+    ranged = range_partitioned(docs.drop("shard", "slot"), keys)
+    summed = sums_of_ranges(ranged, size, keys)
+    total = ranged.agg(F.sum(size)).first()[0] or 1
     middle = (F.col("__before") * 2 + F.col(size)).cast("decimal(30,0)")
     shard = F.least(F.lit(shards - 1), F.expr("__middle div CAST(%d AS DECIMAL(38,0))" % (2 * total))).cast("int")
     placed = summed.withColumn("__middle", middle * F.lit(shards)).withColumn("shard", shard)
