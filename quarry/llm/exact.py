@@ -72,4 +72,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = F.struct((-F.coalesce(F.length(text_col), F.lit(0))).alias("c"), F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     best = full.where("__shared").groupBy("__full").agg(F.min_by(row, order).alias("__best")).select("__best.*")
-    return full.where("__shared is null").select(*docs.columns).union(best)
+    return full.where("__shared is null").select(*(f"`{c}`" for c in docs.columns)).union(best)

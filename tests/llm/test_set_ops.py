@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry.llm import exact, hamming, mixing, omh, queries, sharding, urls
 from quarry.llm.text import word_count
 
-DOC = "doc_id long, text string, source string, size string, shard int, kept int, `a b` int"
+DOC = "doc_id long, text string, source string, size string, shard int, kept int, `a.b` int"
 
 
 def docs_of(spark, rows):
