@@ -34,7 +34,8 @@ SIMILARITY = 0.8
 BAG = 512
 
 SLICE_ROWS = 256
-#: Pairs of texts that a Python worker gets at once.
+#: Texts, and pairs of texts, that a Python worker gets at once.
+TEXTS_AT_ONCE = 1_000
 PAIRS_AT_ONCE = 500
 
 
@@ -48,7 +49,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of words, remembered for the words of a Python worker up to a bound of memory."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.known: dict[str, int] = {}
         self.most = most
 
@@ -316,7 +317,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, picks: int, k: int) -> tuple[DataFrame, DataFrame]:
     """(id, fp) of each row, and (node, component) of the nodes that have a link to another node."""
-    rows = materialize(_sketches(docs, id_col, text_col, bands, picks, k), "sketches")
+    with arrow_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        rows = materialize(_sketches(docs, id_col, text_col, bands, picks, k), "sketches")
     distinct = rows.groupBy("fp").agg(F.first("words").alias("words"), F.first("keys").alias("keys"))
     keyed = _shared(distinct.select("fp", "words", F.explode("keys").alias("key"))).select("key", "fp", "words")
     members = materialize(_shared(_by_length(keyed, threshold)), "members")
@@ -325,7 +327,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
     small = broadcast_if_small(wanted.select("fp"))
     texts = docs.select(_node(F.col(text_col)).alias("fp"), F.col(text_col).cast("string").alias("text")).join(small, "fp", "left_semi")
     texts = materialize(texts.groupBy("fp").agg(F.first("text").alias("text")), "texts")
-    nodes = materialize(_bags(texts), "nodes")
+    with arrow_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        nodes = materialize(_bags(texts), "nodes")
     components = None
 
     def named(members: DataFrame) -> DataFrame:
@@ -421,9 +424,13 @@ def near_dedup(
     rows, components = _classes(docs, id_col, text_col, threshold, bands, picks, k)
     first = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i")))
     nodes = rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("copies")).join(components.withColumnRenamed("node", "fp"), "fp", "left")
-    keepers = nodes.where("component is not null").groupBy("component").agg(F.min(F.struct("first", "fp")).alias("keep"))
-    marked = nodes.join(keepers, "component", "left").withColumn("lost", F.coalesce(F.col("keep.fp") != F.col("fp"), F.lit(False)))
-    marks = materialize(marked.where("lost or copies > 1").select(F.col("fp").alias("__fp"), F.col("lost").alias("__lost")), "marks")
+    nodes = materialize(nodes, "copies")
+    # nodes without a class must not meet at a null key
+    linked, alone = nodes.where("component is not null"), nodes.where("component is null and copies > 1")
+    keepers = materialize(linked.groupBy("component").agg(F.min(F.struct("first", "fp")).alias("keep")), "keepers")
+    marked = linked.join(broadcast_if_small(keepers), "component").withColumn("lost", F.col("keep.fp") != F.col("fp")).where("lost or copies > 1")
+    marks = marked.select(F.col("fp").alias("__fp"), F.col("lost").alias("__lost"))
+    marks = materialize(marks.union(alone.select("fp", F.lit(False))), "marks")
     tagged = docs.withColumn("__fp", _node(F.col(text_col))).join(broadcast_if_small(marks), "__fp", "left")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"))
