@@ -27,11 +27,13 @@ from quarry.operators.components import connected_components
 from quarry.runtime import arrow_batches, broadcast_if_small, discard, materialize
 
 K = 5
-BANDS = 32
-PICKS = 4
+BANDS = 24
+PICKS = 3
 SIMILARITY = 0.8
 #: Word counters of a text, by hash; their differences bound an edit distance from below.
 BAG = 512
+#: The same in fewer counters, which are quicker to compare and rule out most pairs.
+COARSE = 64
 
 SLICE_ROWS = 256
 #: Texts, and pairs of texts, that a Python worker gets at once.
@@ -265,8 +267,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 def _by_length(members: DataFrame, threshold: float) -> DataFrame:
     """Buckets split by length: every two texts whose lengths allow the similarity still share one of two overlapping bins."""
     width = math.log(1 / threshold) * (1 + 1e-6)
-    first = F.floor(F.log("words") / width)
-    return members.withColumn("bin", F.explode(F.array(first, first + 1))).select(F.xxhash64("key", "bin").alias("key"), "fp")
+    binned = members.withColumn("first", F.floor(F.log("words") / width))
+    binned = binned.withColumn("bin", F.explode(F.array(F.col("first"), F.col("first") + 1)))
+    return binned.select(F.xxhash64("key", "bin").alias("key"), "fp", "band", "bin", "first")
 
 
 def _shared(members: DataFrame) -> DataFrame:
@@ -276,7 +279,7 @@ def _shared(members: DataFrame) -> DataFrame:
 
 
 def _bags(texts: DataFrame) -> DataFrame:
-    """(fp, words, bag): each node's number of words, and their numbers by hash."""
+    """(fp, words, bag, coarse): each node's number of words, and their numbers by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -284,12 +287,13 @@ def _bags(texts: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 hashes = [hasher(words_of(text)) for text in part.column("text").to_pylist()]
-                bags = [np.minimum(np.bincount((h % np.uint64(BAG)).astype(np.int64), minlength=BAG), 32_767).astype(np.int16) for h in hashes]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("fp"), pa.array([len(h) for h in hashes], pa.int32()), pa.array(bags, pa.list_(pa.int16()))], names=["fp", "words", "bag"]
-                )
+                bags = [np.bincount((h % np.uint64(BAG)).astype(np.int64), minlength=BAG) for h in hashes]
+                fine = [np.minimum(b, 32_767).astype(np.int16) for b in bags]
+                coarse = [np.minimum(b.reshape(COARSE, -1).sum(axis=1), 32_767).astype(np.int16) for b in bags]
+                arrays = [part.column("fp"), pa.array([len(h) for h in hashes], pa.int32()), pa.array(fine, pa.list_(pa.int16())), pa.array(coarse, pa.list_(pa.int16()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["fp", "words", "bag", "coarse"])
 
-    return texts.mapInArrow(run, "fp binary, words int, bag array<smallint>")
+    return texts.mapInArrow(run, "fp binary, words int, bag array<smallint>, coarse array<smallint>")
 
 
 def _close(a: str, b: str, threshold: float) -> Column:
@@ -301,13 +305,17 @@ def _close(a: str, b: str, threshold: float) -> Column:
 def _overlap(a: str, b: str, threshold: float) -> Column:
     """Whether word counters allow the similarity: a word without a partner costs an edit, so no link is lost."""
 
-    def surplus(x: str, y: str) -> Column:
-        rest = F.zip_with(F.col(f"{x}.bag"), F.col(f"{y}.bag"), lambda p, q: F.greatest(p.cast("int") - q.cast("int"), F.lit(0)))
-        return F.aggregate(rest, F.lit(0), lambda total, v: total + v)
-
     words_a, words_b = F.col(f"{a}.words"), F.col(f"{b}.words")
-    lacking = F.when(words_a >= words_b, surplus(a, b)).otherwise(surplus(b, a))
-    return lacking <= F.greatest(words_a, words_b) * (1 - threshold) + 1e-9
+
+    def allowed(bag: str) -> Column:
+        def surplus(x: str, y: str) -> Column:
+            rest = F.zip_with(F.col(f"{x}.{bag}"), F.col(f"{y}.{bag}"), lambda p, q: F.greatest(p.cast("int") - q.cast("int"), F.lit(0)))
+            return F.aggregate(rest, F.lit(0), lambda total, v: total + v)
+
+        lacking = F.when(words_a >= words_b, surplus(a, b)).otherwise(surplus(b, a))
+        return lacking <= F.greatest(words_a, words_b) * (1 - threshold) + 1e-9
+
+    return allowed("coarse") & allowed("bag")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -320,11 +328,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
     with arrow_batches(docs.sparkSession, TEXTS_AT_ONCE):
         rows = materialize(_sketches(docs, id_col, text_col, bands, picks, k), "sketches")
     distinct = rows.groupBy("fp").agg(F.first("words").alias("words"), F.first("keys").alias("keys"))
-    keyed = _shared(distinct.select("fp", "words", F.explode("keys").alias("key"))).select("key", "fp", "words")
+    keyed = _shared(distinct.select("fp", "words", F.posexplode("keys").alias("band", "key"))).select("key", "fp", "words", "band")
     members = materialize(_shared(_by_length(keyed, threshold)), "members")
-    # a node's buckets: two nodes of several common buckets are compared in the first of them
-    wanted = materialize(members.groupBy("fp").agg(F.array_sort(F.collect_set("key")).alias("buckets")), "wanted")  # at most two for each band
-    small = broadcast_if_small(wanted.select("fp"))
+    wanted = materialize(members.select("fp").distinct(), "wanted")
+    small = broadcast_if_small(wanted)
+    keys = materialize(rows.join(small, "fp", "left_semi").groupBy("fp").agg(F.first("keys").alias("keys")), "keys")
     texts = docs.select(_node(F.col(text_col)).alias("fp"), F.col(text_col).cast("string").alias("text")).join(small, "fp", "left_semi")
     texts = materialize(texts.groupBy("fp").agg(F.first("text").alias("text")), "texts")
     with arrow_batches(docs.sparkSession, TEXTS_AT_ONCE):
@@ -353,14 +361,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
 
     # each node with one leader; most copies find their class by this
     first = members.where("fp <> low").groupBy("fp").agg(F.min("low").alias("low"))
-    a, b = described(named(first)).alias("a"), described(named(wanted.select("fp"))).alias("b")
+    a, b = described(named(first)).alias("a"), described(named(wanted)).alias("b")
     link(_ordered(a.join(b, (F.col("a.low") == F.col("b.fp")) & _close("a", "b", threshold) & _overlap("a", "b", threshold))))
 
     # two nodes of different classes lead each bucket that holds several
     member = F.struct("component", "fp")
 
     def mixed() -> DataFrame:
-        now = named(members.select("key", "fp"))
+        now = named(members.drop("low"))
         several = now.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low.component < high.component")
         return materialize(now.join(several, "key"), "mixed")
 
@@ -372,16 +380,19 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
     discard(active)
 
     # the nodes outside of a bucket's largest class with all nodes of other classes
-    active = mixed().select("key", "fp", "component")
+    active = mixed().drop("low", "high")
     sizes = active.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    full = materialize(described(active.join(largest, "key")).join(broadcast_if_small(wanted, 10_000), "fp"), "full")
+    full = materialize(described(active.join(largest, "key")).join(broadcast_if_small(keys, 10_000), "fp"), "full")
     a, b = full.where("component <> largest").alias("a"), full.alias("b")
     # nodes outside of the largest class on both sides meet once
     once = (F.col("b.component") == F.col("b.largest")) | (F.col("a.fp") > F.col("b.fp"))
-    first_common = F.element_at(F.array_intersect("a.buckets", "b.buckets"), 1) == F.col("a.key")
+    # and two nodes of several common buckets in the first of them, by band, then bin
+    first_common = F.col("a.bin") == F.greatest("a.first", "b.first")
+    for j in range(bands):
+        first_common &= (F.col("a.band") <= j) | (F.col("a.keys")[j] != F.col("b.keys")[j])
     link(_ordered(a.join(b, (F.col("a.key") == F.col("b.key")) & once & _close("a", "b", threshold) & first_common & _overlap("a", "b", threshold))))
-    discard(members, texts, wanted, nodes, active, full)
+    discard(members, texts, wanted, keys, nodes, active, full)
     return rows.select("id", "fp"), components
 
 
