@@ -27,8 +27,8 @@ from quarry.operators.components import connected_components
 from quarry.runtime import arrow_batches, broadcast_if_small, discard, materialize
 
 K = 5
-BANDS = 24
-PICKS = 3
+BANDS = 32
+PICKS = 2
 SIMILARITY = 0.8
 #: Word counters of a text, by hash; their differences bound an edit distance from below.
 BAG = 512

@@ -97,6 +97,20 @@ def test_sketches_see_order_and_repeats():
     assert len(omh.sketch(hasher([]))) == 0 and len(omh.sketch(hasher(["one"]))) == omh.BANDS
 
 
+def test_scattered_edits_share_a_sketch():
+    """Of pairs well above the threshold few may lack a common sketch."""
+    rng, hasher = random.Random(1), omh.WordHasher()
+    met = Counter()
+    for edits in (30, 20, 10):
+        for _ in range(300):
+            a = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+            b = list(a)
+            for k in rng.sample(range(200), edits):
+                b[k] = f"new{rng.randrange(10**6)}"
+            met[edits] += bool((omh.sketch(hasher(a)) == omh.sketch(hasher(b))).any())
+    assert met[30] >= 0.85 * 300 and met[20] >= 0.97 * 300 and met[10] == 300
+
+
 def family(rng, n, size, edits):
     base = [f"t{rng.randint(0, 5000)}" for _ in range(n)]
     out = []
