@@ -6,10 +6,14 @@ the number of runs of symbol classes and the lag-1 serial correlation must not b
 and prose repeat symbols and keep to a class of them, so coincidences as rare and runs as many as in a random
 string are unlikely. The p-values of the latter are combined by Fisher's method and go through a Benjamini-Hochberg
 procedure over the candidates of a document, weighted by length, as a short string carries less evidence.
+
+``=`` within a run parts a name from its value, so each side is a candidate. A part that no alphabet covers mixes signs of base64
+with those of base64url; it is cut at either's signs and at all but ``+``, and of overlapping cuts that pass the least p-value stays.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -32,6 +36,11 @@ KINDS = ("assign", "access", "hex", "random")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: A run that may hold access keys, hex strings or encoded random bytes.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN_LEAST = 20
+#: Parts of a run between inner ``=``; those at its end are padding.
+PART = re.compile(r"[^=]+(?:=+\Z)?")
+#: What is left of a part that no alphabet covers: base64, base64url, or what stands between their separators.
+CUTS = tuple(re.compile(p) for p in (r"[^_-]+", r"[^+/]+", r"[^/_-]+"))
 
 # Alphabets by encoding, in symbol order.
 ENCODINGS = {
@@ -118,6 +127,29 @@ def discoveries(p_values: list[float], lengths: list[int], level: float = FALSE_
     return chosen.tolist()
 
 
+def candidates(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the strings of a run that may be encoded: its parts between ``=``, and the cuts of those that no alphabet covers."""
+    found = set()
+    for m in PART.finditer(run):
+        if m.end() - m.start() < RUN_LEAST:
+            continue
+        if infer_encoding(m[0]):
+            found.add(m.span())
+        else:
+            found |= {(m.start() + x.start(), m.start() + x.end()) for cut in CUTS for x in cut.finditer(m[0]) if len(x[0]) >= RUN_LEAST}
+    return sorted(found)
+
+
+def apart(spans: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of those (p-value, start, end) that overlap none of a lesser p-value; ties go to the longer one."""
+    chosen: list[tuple[int, int]] = []
+    for _, start, end in sorted(spans, key=lambda s: (s[0], s[1] - s[2], s[1])):
+        at = bisect.bisect(chosen, (start, end))
+        if (at == 0 or chosen[at - 1][1] <= start) and (at == len(chosen) or end <= chosen[at][0]):
+            chosen.insert(at, (start, end))
+    return chosen
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets of a text, in code points, by start, then kind.
 
@@ -134,14 +166,14 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         if "AKIA" in run:
             spans += [("access", at + x.start(), at + x.end()) for x in ACCESS.finditer(run) if len(x[0]) >= ACCESS_LEAST]
         spans += [("hex", at + x.start(), at + x.end()) for x in HEX.finditer(run) if len(x[0]) >= HEX_LEAST]
-        runs.append((at, m.end(), run))
+        runs += [(at + a, at + b, run[a:b]) for a, b in candidates(run)]
     if runs:
         tested = []
         for start, end, run in runs:
             if not any(s < end and start < e for _, s, e in spans) and (found := randomness(run)):
                 tested.append((start, end, *found))
         passed = discoveries([t[3] for t in tested], [t[1] - t[0] for t in tested])
-        spans += [("random", t[0], t[1]) for t, ok in zip(tested, passed, strict=True) if ok and t[2] >= UNIFORM_LEVEL]
+        spans += [("random", a, b) for a, b in apart([(t[3], t[0], t[1]) for t, ok in zip(tested, passed, strict=True) if ok and t[2] >= UNIFORM_LEVEL])]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -214,6 +214,25 @@ def test_random_strings_are_found_and_words_are_not():
     assert not any(s[0] == "random" for t in clean for s in secrets.scan(t))
 
 
+@pytest.mark.parametrize("before,after", [("AUTH=", ""), ("see ?sig=", "== end"), ("key=", "=more"), ("/my-app/", ""), ("my-app/v1_b/", "/x"), ("a/b_c-", "")])
+@pytest.mark.parametrize("alphabet", ["base62", "base64", "base64url"])
+def test_random_strings_behind_names_and_paths_are_found(before, after, alphabet):
+    rng = random.Random(6)
+    found = exact = 0
+    for _ in range(200):
+        key = "".join(rng.choice(secrets.ENCODINGS[alphabet]) for _ in range(44))
+        text = f"{before}{key}{after}"
+        spans = [s for s in secrets.scan(text) if s[0] == "random"]
+        assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+        at = len(before)
+        # a cut keeps most of the key, as its own signs may be those of the other alphabet
+        found += any(min(e, at + 44) - max(s, at) >= 20 for _, s, e in spans)
+        exact += any(s == at and at + 44 <= e <= at + 46 for _, s, e in spans)
+    assert found >= (170 if "/" not in before else 130)
+    assert exact >= 170 or "/" in before
+    assert not any(s[0] == "random" for s in secrets.scan(f"{before}internationalization_of_components{after}"))
+
+
 def test_false_discoveries_are_controlled_by_length():
     assert secrets.discoveries([], []) == []
     assert secrets.discoveries([1e-4], [30]) == [True]
