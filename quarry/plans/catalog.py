@@ -510,7 +510,7 @@ SELECT *, ROUND(""" + " + ".join(f"pow(v{k} - blocks * {p}, 2) / (blocks * {p})"
     randomness.overlapping, "chi2", name="bit_overlapping",
 )
 bit_query(None, randomness.matrix_rank, "chi2", name="bit_matrix_rank")
-bit_query(None, lambda bits: randomness.spectral_test(bits).drop("block"), "d", "p_value", name="bit_spectral")
+bit_query(None, randomness.spectral_test, "d", "p_value", name="bit_spectral")
 bit_query(None, randomness.non_overlapping_test, "chi2", "p_value", name="bit_non_overlapping")
 bit_query(None, randomness.linear_complexity_test, "chi2", "p_value", name="bit_linear_complexity")
 bit_query(" SELECT 0 AS seq_id, COUNT(*) AS n, TRUE AS valid FROM bits", randomness.well_formed, drop=(), name="bit_format")

@@ -58,6 +58,23 @@ def test_non_overlapping_published(spark):
     assert row["chi2"] == pytest.approx(2.133333, abs=1e-5) and round(row["p_value"], 6) == 0.344154
 
 
+@pytest.mark.parametrize("block", [1, 16, 64, 1 << 20])
+def test_spectrum_of_a_whole_sequence(spark, block):
+    """One row for a sequence, whatever its length is against the block; 1009 and 2003 are prime."""
+    import numpy as np
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("01") for _ in range(n)) for n in (1009, 1000, 2003, 65, 11)]
+    rows = {r["seq_id"]: r for r in R.spectral_test(bits(spark, *texts), block).collect()}
+    assert sorted(rows) == list(range(5)) and R.spectral(bits(spark, *texts), block).count() == 5
+    for k, text in enumerate(texts):
+        n = len(text)
+        heights = np.abs(np.fft.fft([2 * int(c) - 1 for c in text]))[: n // 2]
+        below = int((heights < math.sqrt(math.log(20) * n)).sum())
+        assert (rows[k]["n"], rows[k]["peaks"]) == (n, below)
+        assert rows[k]["d"] == pytest.approx((below - 0.95 * n / 2) / math.sqrt(n * 0.95 * 0.05 / 4))
+
+
 def plain_longest(block):
     return max(len(s) for s in block.split("0"))
 
