@@ -152,20 +152,21 @@ def _rank(rows: list[int]) -> int:
     return len(basis)
 
 
-def _per_block(bits: DataFrame, m: int, out: str, function) -> DataFrame:
-    """(seq_id, block, out...): a Python function of the bits of each complete block of m bits."""
-    blocks = bits.withColumn("block", F.floor(F.col("idx") / m).cast("long")).groupBy("seq_id", "block")
-    gathered = blocks.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "bit"))), lambda x: x["bit"]).alias("bits")).where(F.size("bits") == m)
+def _per_block(bits: DataFrame, m: int | Column, out: str, function) -> DataFrame:
+    """(seq_id, block, m, out...): a Python function of the bits of each complete block of m bits, one m for each sequence."""
+    sized = bits.withColumn("m", m.cast("long") if isinstance(m, Column) else F.lit(m).cast("long"))
+    blocks = sized.withColumn("block", F.floor(F.col("idx") / F.col("m")).cast("long")).groupBy("seq_id", "block", "m")
+    gathered = blocks.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "bit"))), lambda x: x["bit"]).alias("bits")).where(F.size("bits") == F.col("m"))
 
     def run(frames):
         import pandas as pd
 
         for frame in frames:
             values = [function([int(b) for b in bits]) for bits in frame["bits"]]
-            yield pd.DataFrame({"seq_id": frame["seq_id"], "block": frame["block"], "value": values})
+            yield pd.DataFrame({"seq_id": frame["seq_id"], "block": frame["block"], "m": frame["m"], "value": values})
 
     kind = bits.schema["seq_id"].dataType.simpleString()
-    return gathered.mapInPandas(run, f"seq_id {kind}, block long, value long").withColumnRenamed("value", out)
+    return gathered.mapInPandas(run, f"seq_id {kind}, block long, m long, value long").withColumnRenamed("value", out)
 
 
 def matrix_rank(bits: DataFrame, size: int = 32) -> DataFrame:
@@ -305,15 +306,21 @@ def _count_template(bits: list[int], template: str) -> int:
 
 
 def non_overlapping(bits: DataFrame, template: str = "000000001", blocks: int = 8, length: int | None = None) -> DataFrame:
-    """N7 statistic: (seq_id, blocks, m, chi2) of the template's counts in ``blocks`` blocks of each sequence."""
-    n = length if length is not None else bits.groupBy("seq_id").count().agg(F.min("count")).first()[0] or 0
-    m = max(1, n // blocks)
+    """N7 statistic: (seq_id, blocks, m, chi2) of the template's counts in ``blocks`` blocks of each sequence.
+
+    m comes from each sequence's own length, or from ``length`` for all; the bits of a last, incomplete block do not count.
+    """
+    if length is None:
+        sized = bits.join(broadcast_if_small(bits.groupBy("seq_id").agg(F.count("*").alias("__n"))), "seq_id")
+    else:
+        sized = bits.withColumn("__n", F.lit(length))
     size = len(template)
+    m = F.col("m")
     mean = (m - size + 1) / 2**size
     variance = m * (1 / 2**size - (2 * size - 1) / 2 ** (2 * size))
-    counts = _per_block(bits, m, "hits", lambda b: _count_template(b, template)).where(F.col("block") < blocks)
+    counts = _per_block(sized, F.greatest(F.lit(1), F.floor(F.col("__n") / blocks)), "hits", lambda b: _count_template(b, template)).where(F.col("block") < blocks)
     deviation = F.pow(F.col("hits") - mean, F.lit(2)) / variance
-    return counts.groupBy("seq_id").agg(F.count("*").alias("blocks"), F.lit(m).alias("m"), F.sum(deviation).alias("chi2"))
+    return counts.groupBy("seq_id", "m").agg(F.count("*").alias("blocks"), F.sum(deviation).alias("chi2")).select("seq_id", "blocks", "m", "chi2")
 
 
 def non_overlapping_test(bits: DataFrame, template: str = "000000001", blocks: int = 8) -> DataFrame:

@@ -58,6 +58,17 @@ def test_non_overlapping_published(spark):
     assert row["chi2"] == pytest.approx(2.133333, abs=1e-5) and round(row["p_value"], 6) == 0.344154
 
 
+def test_non_overlapping_blocks_of_each_length(spark):
+    rng = random.Random(8)
+    texts = ["10100100101110010110", "".join(rng.choice("01") for _ in range(3001)), "".join(rng.choice("01") for _ in range(500))]
+    rows = {r["seq_id"]: r for r in R.non_overlapping(bits(spark, *texts), "001", 2).collect()}
+    for k, text in enumerate(texts):
+        m = len(text) // 2
+        hits = [text[:m].count("001"), text[m : 2 * m].count("001")]
+        assert (rows[k]["blocks"], rows[k]["m"]) == (2, m)
+        assert rows[k]["chi2"] == pytest.approx(sum((h - (m - 2) / 8) ** 2 for h in hits) / (m * (1 / 8 - 5 / 64)))
+
+
 @pytest.mark.parametrize("block", [1, 16, 64, 1 << 20])
 def test_spectrum_of_a_whole_sequence(spark, block):
     """One row for a sequence, whatever its length is against the block; 1009 and 2003 are prime."""
