@@ -9,6 +9,9 @@ Equal texts are one node. Nodes of a bucket are first compared with few leaders;
 verified links. Where a bucket still holds several classes, the nodes outside of its largest class are compared with all nodes
 of other classes, once for each pair, behind exact lower bounds of their distance. So a group of copies costs a multiple of its
 size, nothing is capped, and no link between nodes that share a bucket is lost.
+
+A text of up to ``k`` words is one k-mer and shares no bucket with a longer text, and a word replaced in the middle of fewer than 2 ``k``
+words leaves no common k-mer: such pairs are not found, even where their edit similarity reaches the threshold.
 """
 
 from __future__ import annotations
