@@ -49,10 +49,23 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return best if best is not None else F.lit(None).cast("struct<rule:string,action:string>")
 
 
+def without_dots(path: Column) -> Column:
+    """A path that starts with ``/`` without its segments ``.`` and ``..``; ``..`` takes the segment before it away."""
+    parts = F.split(path, "/")
+
+    def add(kept: Column, part: Column) -> Column:
+        above = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part == "..", above).when(part == ".", kept).otherwise(F.array_append(kept, part))
+
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), add)
+    folder = F.element_at(parts, -1).isin(".", "..")
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), F.concat(F.lit("/"), F.array_join(F.when(folder, F.array_append(kept, F.lit(""))).otherwise(kept), "/"))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """A URL's identity among aliases: scheme and host lower-cased, fragment dropped, an empty path written as ``/``."""
+    """A URL's identity among aliases: scheme and host lower-cased, fragment and dot segments dropped, an empty path written as ``/``."""
     scheme = F.translate(F.regexp_extract(url, r"(?s)^(.*?)://", 1), UPPER, LOWER)
-    path = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    path = F.when(path_of(url) == "", F.lit("/")).otherwise(without_dots(path_of(url)))
     query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
     return F.when(F.contains(url, F.lit("://")), F.concat(scheme, F.lit("://"), host_of(url), path, query))
 
@@ -68,6 +81,7 @@ def resolve(target: Column, base: Column) -> Column:
         .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(root, target))
+        .when(target.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*)", 1), target))
         .when(folder.endswith("/"), F.concat(folder, target))
         .otherwise(F.concat(folder, F.lit("/"), target))
     )
@@ -83,10 +97,14 @@ REFRESH_URL = r"""(?i)\burl\s*=\s*["']?\s*([^"'\s>]+)"""
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst): nodes that canonical links and refresh redirects of pages declare to be the same resource."""
     url, html = F.col(url_col), F.col(html_col)
-    # a page without such a tag is passed over by a search for a fixed string
-    canonical = F.when(F.contains(F.lower(html), F.lit("canonical")), F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1))
-    refresh = F.when(F.contains(F.lower(html), F.lit("refresh")), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), REFRESH_URL, 1))
-    targets = pages.select(url.alias("url"), F.explode(F.array(canonical, refresh)).alias("target")).where("target <> ''")
+
+    def named(word: str, tag: str, part: str) -> Column:
+        # a page without such a tag is passed over by a search for a fixed string
+        found = F.transform(F.regexp_extract_all(html, F.lit(tag), 0), lambda x: F.regexp_extract(x, part, 1))
+        return F.when(F.contains(F.lower(html), F.lit(word)), found).otherwise(F.array().cast("array<string>"))
+
+    named_urls = F.concat(named("canonical", CANONICAL, HREF), named("refresh", REFRESH, REFRESH_URL))
+    targets = pages.select(url.alias("url"), F.explode(named_urls).alias("target")).where("target <> ''")
     edges = targets.select(node_of(F.col("url")).alias("src"), node_of(resolve(F.col("target"), F.col("url"))).alias("dst"))
     return edges.where("src is not null and dst is not null and src <> dst")
 

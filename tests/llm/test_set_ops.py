@@ -396,3 +396,14 @@ def test_queries_give_the_rows_of_their_sql(spark, data, duck, name):
     names = [c[0] for c in result.description]
     assert sorted(names) == sorted(df.columns)
     assert Counter(tuple(r[c] for c in names) for r in df.collect()) == Counter(result.fetchall())
+
+
+def test_all_alias_tags_and_relative_targets(spark):
+    html = '<link rel="canonical"><LINK href="../c/./d" rel="canonical"><link rel=canonical href=/e><meta http-equiv="refresh" content="0"><meta http-equiv=refresh content="0; url=?a=1">'
+    pages = spark.createDataFrame([("http://H.x/a/b/p?q#f", html), ("http://h.x/a/../z/.", '<link rel=canonical href="../../..">'), ("http://h.x/n", None)], "url string, html string")
+    base = "http://h.x/a/b/p?q"
+    wanted = {(base, "http://h.x/a/c/d"), (base, "http://h.x/e"), (base, "http://h.x/a/b/p?a=1"), ("http://h.x/z/", "http://h.x/")}
+    assert {tuple(r) for r in urls.alias_edges(pages).collect()} == wanted
+    blocked = spark.createDataFrame([("http://h.x/blocked/x", '<link rel=canonical href="y"><link rel=canonical href="../free/w">'), ("http://h.x/free/w", "")], "url string, html string")
+    rows = {r["url"]: r["verdict"] for r in urls.judge_urls(blocked, [urls.Rule("h.x", "/blocked/", "block")]).collect()}
+    assert rows == {"http://h.x/blocked/x": "block", "http://h.x/free/w": "block"}
