@@ -5,23 +5,24 @@ A document's words give k-mers of ``k`` words, each labelled with its occurrence
 key, which documents share more often the smaller their edit distance is, not merely their set of k-mers. Candidates are
 verified by a banded alignment of their words.
 
-Equal texts are one node. Nodes of a bucket are first compared with few leaders; classes are the connected components of
-verified links. Where a bucket still holds several classes, the nodes outside of its largest class are compared with all nodes
-of other classes, once for each pair, behind exact lower bounds of their distance. So a group of copies costs a multiple of its
-size, nothing is capped, and no link between nodes that share a bucket is lost.
-
-A text of up to ``k`` words is one k-mer and shares no bucket with a longer text, and a word replaced in the middle of fewer than 2 ``k``
-words leaves no common k-mer: such pairs are not found, even where their edit similarity reaches the threshold.
+Equal texts are one node. First the two outermost nodes of each bucket are compared, which settles buckets of two; then the nodes of larger
+buckets with few leaders. Classes are the connected components of verified links. Where a bucket still holds several classes, the
+nodes outside of its largest class are compared with all nodes of other classes, behind exact lower bounds of
+their distance. So a group of copies costs a multiple of its size, nothing is capped, and no link between nodes that share
+a bucket is lost.
+
+A text of up to ``k`` words is one k-mer, and a word replaced in the middle of fewer than 2 ``k`` words leaves no common k-mer. Texts of up to
+2 ``k`` words therefore have keys of their wordings with one word deleted besides, which no pair at a distance of one word escapes.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,13 +31,13 @@ from quarry.operators.components import connected_components
 from quarry.runtime import arrow_batches, broadcast_if_small, discard, materialize
 
 K = 5
-BANDS = 32
+BANDS = 64
 PICKS = 2
 SIMILARITY = 0.8
-#: Word counters of a text, by hash; their differences bound an edit distance from below.
-BAG = 512
-#: The same in fewer counters, which are quicker to compare and rule out most pairs.
-COARSE = 64
+#: Bands whose buckets give each node its first leaders; most copies find their class by these.
+FIRST_BANDS = 8
+#: Bits of a text's signature, a parity for each hash of a word.
+BITS = 2048
 
 SLICE_ROWS = 256
 #: Texts, and pairs of texts, that a Python worker gets at once.
@@ -51,20 +52,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHasher:
-    """64-bit hashes of words, remembered for the words of a Python worker up to a bound of memory."""
-
-    def __init__(self, most: int = 200_000):
-        self.known: dict[str, int] = {}
-        self.most = most
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+def hashes_of(words: list[str]) -> np.ndarray:
+    """A 64-bit hash for each word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -100,26 +90,34 @@ def sketch(hashes: np.ndarray, bands: int = BANDS, picks: int = PICKS, k: int =
     if not n:
         return np.empty(0, dtype=np.uint64)
     seeds = _mix(np.arange(1, bands + 1, dtype=np.uint64))
-    short = (kmers >> np.uint64(32)).astype(np.uint32)  # ranks of 32 bits are quicker to compare
+    # k-mers are mixed already, so multiplication by an odd number is order enough; ranks of 32 bits are quick to compare
+    short = (kmers >> np.uint64(32)).astype(np.uint32)
+    factors = (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     keys = []
     step = max(1, (1 << 22) // n)  # bands at once, to bound memory
     for at in range(0, bands, step):
-        some = seeds[at : at + step]
-        rows = np.arange(len(some))
-        ranks = (short[None, :] ^ (some >> np.uint64(32)).astype(np.uint32)[:, None]) * np.uint32(0x7FEB352D)
-        ranks ^= ranks >> np.uint32(15)
-        ranks *= np.uint32(0x846CA68B)
+        key = seeds[at : at + step]
+        rows = np.arange(len(key))
+        ranks = short[None, :] * factors[at : at + step, None]
         places = []
         for _ in range(min(picks, n)):
             places.append(ranks.argmin(axis=1))
             ranks[rows, places[-1]] = np.iinfo(np.uint32).max
-        key = some
         for place in np.sort(np.array(places), axis=0):
             key = _mix(key * np.uint64(31) + kmers[place])
         keys.append(key)
     return np.concatenate(keys)
 
 
+def short_keys(hashes: np.ndarray, k: int = K) -> np.ndarray:
+    """Keys of a text of up to 2 ``k`` words: its words, and its words but one; none for a longer or an empty text."""
+    n = len(hashes)
+    if not 0 < n <= 2 * k:
+        return np.empty(0, dtype=np.uint64)
+    kept = [hashes] + [np.delete(hashes, j) for j in range(n if n > 1 else 0)]
+    return np.array([xxhash.xxh3_64_intdigest(some.tobytes(), seed=n) for some, n in zip(kept, map(len, kept), strict=True)], dtype=np.uint64)
+
+
 def within_distance(a: list, b: list, most: int) -> int | None:
     """The edit distance of two sequences if it is at most ``most``, else None.
 
@@ -219,184 +217,190 @@ def similar(a: list[str], b: list[str], threshold: float) -> bool:
     return longer - common <= most and within_distance(a, b, most) is not None
 
 
-def _node(text: Column) -> Column:
+def _fingerprint(text: Column) -> Column:
     """128 bits for a text; equal texts are one node."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, picks: int, k: int) -> DataFrame:
-    """(id, fp, words, keys) for each row."""
-    chosen = docs.select(F.col(id_col).alias("id"), _node(F.col(text_col)).alias("fp"), F.col(text_col).cast("string").alias("text"))
+    """(id, fp, words, keys) for each row; keys are those of the bands, then those of a short text."""
+    chosen = docs.select(F.col(id_col).alias("id"), _fingerprint(F.col(text_col)).alias("fp"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([*chosen.schema.fields[:2], T.StructField("words", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 counts, keys = [], []
                 for text in part.column("text").to_pylist():
-                    words = words_of(text)
-                    counts.append(len(words))
-                    keys.append(sketch(hasher(words), bands, picks, k).view(np.int64))
+                    hashes = hashes_of(words_of(text))
+                    counts.append(len(hashes))
+                    keys.append(np.concatenate((sketch(hashes, bands, picks, k), short_keys(hashes, k))).view(np.int64))
                 arrays = [part.column("id"), part.column("fp"), pa.array(counts, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return chosen.mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, linked) for each pair of nodes (a, b)."""
-    wide = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
-    wide = wide.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                known: dict[bytes, list[str]] = {}
-                linked = []
-                columns = (part.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-                for a, b, text_a, text_b in zip(*columns, strict=True):
-                    for node, text in ((a, text_a), (b, text_b)):
-                        if node not in known:
-                            known[node] = words_of(text)
-                    linked.append(similar(known[a], known[b], threshold))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked)], names=["a", "b", "linked"])
-
-    return wide.mapInArrow(run, "a binary, b binary, linked boolean")
-
-
-def _by_length(members: DataFrame, threshold: float) -> DataFrame:
-    """Buckets split by length: every two texts whose lengths allow the similarity still share one of two overlapping bins."""
-    width = math.log(1 / threshold) * (1 + 1e-6)
-    binned = members.withColumn("first", F.floor(F.log("words") / width))
-    binned = binned.withColumn("bin", F.explode(F.array(F.col("first"), F.col("first") + 1)))
-    return binned.select(F.xxhash64("key", "bin").alias("key"), "fp", "band", "bin", "first")
-
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """Bit b tells whether the number of words whose hash falls on b is odd.
 
-def _shared(members: DataFrame) -> DataFrame:
-    """(key, fp, low): members of buckets of two nodes or more, with the bucket's smallest node."""
-    several = members.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("key", "low")
-    return members.join(several, "key")
+    A replaced word changes two bits at most, an added or deleted one a single bit. So texts of m and n words whose signatures
+    differ in d bits are at least (d + abs(m - n)) / 2 edits apart.
+    """
+    odd = np.bincount((hashes % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _bags(texts: DataFrame) -> DataFrame:
-    """(fp, words, bag, coarse): each node's number of words, and their numbers by hash."""
+def _signatures(texts: DataFrame) -> DataFrame:
+    """(node, words, signature) of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                hashes = [hasher(words_of(text)) for text in part.column("text").to_pylist()]
-                bags = [np.bincount((h % np.uint64(BAG)).astype(np.int64), minlength=BAG) for h in hashes]
-                fine = [np.minimum(b, 32_767).astype(np.int16) for b in bags]
-                coarse = [np.minimum(b.reshape(COARSE, -1).sum(axis=1), 32_767).astype(np.int16) for b in bags]
-                arrays = [part.column("fp"), pa.array([len(h) for h in hashes], pa.int32()), pa.array(fine, pa.list_(pa.int16())), pa.array(coarse, pa.list_(pa.int16()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["fp", "words", "bag", "coarse"])
-
-    return texts.mapInArrow(run, "fp binary, words int, bag array<smallint>, coarse array<smallint>")
-
+                hashes = [hashes_of(words_of(text)) for text in part.column("text").to_pylist()]
+                arrays = [part.column("node"), pa.array(map(len, hashes), pa.int32()), pa.array(map(signature, hashes), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "words", "signature"])
 
-def _close(a: str, b: str, threshold: float) -> Column:
-    """Whether two nodes are of different classes and their lengths allow the similarity."""
-    most = F.greatest(f"{a}.words", f"{b}.words") * (1 - threshold) + 1e-9
-    return (F.col(f"{a}.component") != F.col(f"{b}.component")) & (F.abs(F.col(f"{a}.words") - F.col(f"{b}.words")) <= most)
+    return texts.select("node", "text").mapInArrow(run, "node long, words int, signature array<long>")
 
 
-def _overlap(a: str, b: str, threshold: float) -> Column:
-    """Whether word counters allow the similarity: a word without a partner costs an edit, so no link is lost."""
-
+def _possible(a: str, b: str, threshold: float) -> Column:
+    """Whether lengths and signatures of two nodes allow the similarity; exact lower bounds of their distance, so no link is lost."""
     words_a, words_b = F.col(f"{a}.words"), F.col(f"{b}.words")
+    most = F.greatest(words_a, words_b) * (1 - threshold) + 1e-9
 
-    def allowed(bag: str) -> Column:
-        def surplus(x: str, y: str) -> Column:
-            rest = F.zip_with(F.col(f"{x}.{bag}"), F.col(f"{y}.{bag}"), lambda p, q: F.greatest(p.cast("int") - q.cast("int"), F.lit(0)))
-            return F.aggregate(rest, F.lit(0), lambda total, v: total + v)
-
-        lacking = F.when(words_a >= words_b, surplus(a, b)).otherwise(surplus(b, a))
-        return lacking <= F.greatest(words_a, words_b) * (1 - threshold) + 1e-9
+    def differ(parts: range) -> Column:
+        return reduce(Column.__add__, (F.bit_count(F.col(f"{a}.signature")[j].bitwiseXOR(F.col(f"{b}.signature")[j])) for j in parts))
 
-    return allowed("coarse") & allowed("bag")
+    apart = F.abs(words_a - words_b)
+    # a quarter of the bits rules out most pairs
+    return (apart <= most) & (differ(range(BITS // 256)) + apart <= 2 * most) & (differ(range(BITS // 64)) + apart <= 2 * most)
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Pairs (a.fp, b.fp) as (a, b) with a > b, each once."""
-    return pairs.select(F.greatest("a.fp", "b.fp").alias("a"), F.least("a.fp", "b.fp").alias("b")).distinct()
-
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, linked) for each pair of nodes (a, b)."""
+    wide = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    wide = wide.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, picks: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """(id, fp) of each row, and (node, component) of the nodes that have a link to another node."""
-    with arrow_batches(docs.sparkSession, TEXTS_AT_ONCE):
-        rows = materialize(_sketches(docs, id_col, text_col, bands, picks, k), "sketches")
-    distinct = rows.groupBy("fp").agg(F.first("words").alias("words"), F.first("keys").alias("keys"))
-    keyed = _shared(distinct.select("fp", "words", F.posexplode("keys").alias("band", "key"))).select("key", "fp", "words", "band")
-    members = materialize(_shared(_by_length(keyed, threshold)), "members")
-    wanted = materialize(members.select("fp").distinct(), "wanted")
-    small = broadcast_if_small(wanted)
-    keys = materialize(rows.join(small, "fp", "left_semi").groupBy("fp").agg(F.first("keys").alias("keys")), "keys")
-    texts = docs.select(_node(F.col(text_col)).alias("fp"), F.col(text_col).cast("string").alias("text")).join(small, "fp", "left_semi")
-    texts = materialize(texts.groupBy("fp").agg(F.first("text").alias("text")), "texts")
-    with arrow_batches(docs.sparkSession, TEXTS_AT_ONCE):
-        nodes = materialize(_bags(texts), "nodes")
-    components = None
-
-    def named(members: DataFrame) -> DataFrame:
-        if components is None:
-            return members.withColumn("component", F.col("fp"))
-        classes = broadcast_if_small(components.withColumnRenamed("node", "fp"))
-        return members.join(classes, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-
-    def described(members: DataFrame) -> DataFrame:
-        return members.join(broadcast_if_small(nodes, 10_000), "fp")
-
-    def link(pairs: DataFrame) -> None:
-        nonlocal components
-        with arrow_batches(docs.sparkSession, PAIRS_AT_ONCE):  # two texts a row
-            tested = materialize(_verified(pairs, texts, threshold), "tested")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                known: dict[int, list[str]] = {}
+                linked = []
+                columns = (part.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
+                for a, b, text_a, text_b in zip(*columns, strict=True):
+                    for node, text in ((a, text_a), (b, text_b)):
+                        if node not in known:
+                            known[node] = words_of(text)
+                    linked.append(similar(known[a], known[b], threshold))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
+    return wide.mapInArrow(run, "a long, b long, linked boolean")
+
+
+def _pairs(a: Column, b: Column) -> list[Column]:
+    """Two different nodes as (a, b) with a > b."""
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
+class _Classes:
+    """Classes of the nodes that share a bucket, as verified links join them."""
+
+    def __init__(self, texts: DataFrame, threshold: float):
+        self.spark, self.threshold = texts.sparkSession, threshold
+        with arrow_batches(self.spark, TEXTS_AT_ONCE):
+            self.nodes = materialize(_signatures(texts), "nodes")
+        self.texts, self.components = texts, None
+
+    def named(self, members: DataFrame) -> DataFrame:
+        """``members`` with their class: of a node without a link, the node itself."""
+        if self.components is None:
+            return members.withColumn("component", F.col("node"))
+        named = members.join(broadcast_if_small(self.components), "node", "left")
+        return named.withColumn("component", F.coalesce("component", "node"))
+
+    def link(self, pairs: DataFrame, bounded: bool = False) -> None:
+        """Compare pairs of nodes (a, b), and join the classes of those that are similar."""
+        if not bounded:
+            # a node may be in many pairs: both sides of a join have a shuffle of their own, which adaptive execution can split
+            a, b = (self.nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in self.nodes.columns)) for x in "ab")
+            wide = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
+            sides = [F.struct(F.col(f"words_{x}").alias("words"), F.col(f"signature_{x}").alias("signature")).alias(f"of_{x}") for x in "ab"]
+            pairs = wide.select("a", "b", *sides).where(_possible("of_a", "of_b", self.threshold)).select("a", "b")
+        with arrow_batches(self.spark, PAIRS_AT_ONCE):  # two texts a row
+            tested = materialize(_verified(pairs, self.texts, self.threshold), "tested")
         edges = tested.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        old = components
+        old = self.components
         if old is not None:
             edges = edges.union(old.select(F.col("node").alias("src"), F.col("component").alias("dst")))
-        components = materialize(connected_components(edges), "classes")
+        self.components = materialize(connected_components(edges), "classes")
         discard(tested, old)
 
-    # each node with one leader; most copies find their class by this
-    first = members.where("fp <> low").groupBy("fp").agg(F.min("low").alias("low"))
-    a, b = described(named(first)).alias("a"), described(named(wanted)).alias("b")
-    link(_ordered(a.join(b, (F.col("a.low") == F.col("b.fp")) & _close("a", "b", threshold) & _overlap("a", "b", threshold))))
+    def mixed(self, members: DataFrame) -> DataFrame:
+        """(key, node, component, low, high): ``members`` (key, node) of buckets of several classes, with nodes of two of these."""
+        member = F.struct("component", "node")
+        now = materialize(self.named(members), "named")
+        several = now.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low.component < high.component")
+        return materialize(now.join(broadcast_if_small(materialize(several, "several")), "key"), "mixed")
+
+    def lead(self, members: DataFrame) -> None:
+        """Compare each node of a bucket of several classes with two nodes of different classes."""
+        active = self.mixed(members)
+        leads = active.select("node", "component", F.explode(F.array("low", "high")).alias("lead")).where("component <> lead.component")
+        self.link(leads.select(*_pairs(F.col("node"), F.col("lead.node"))).distinct())
+        discard(active)
+
+    def exhaust(self, members: DataFrame) -> None:
+        """Compare the nodes outside of a bucket's largest class with all nodes of other classes in it."""
+        active = self.mixed(members).select("key", "node", "component")
+        sizes = active.groupBy("key", "component").agg(F.count("*").alias("n"))
+        largest = materialize(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest")), "largest")
+        full = materialize(active.join(broadcast_if_small(largest), "key").join(broadcast_if_small(self.nodes, 10_000), "node"), "full")
+        a, b = full.where("component <> largest").alias("a"), full.alias("b")
+        # nodes outside of the largest class on both sides meet once
+        once = (F.col("b.component") == F.col("b.largest")) | (F.col("a.node") > F.col("b.node"))
+        other = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component"))
+        self.link(a.join(b, other & once & _possible("a", "b", self.threshold)).select(*_pairs(F.col("a.node"), F.col("b.node"))).distinct(), bounded=True)
+        discard(active, full)
 
-    # two nodes of different classes lead each bucket that holds several
-    member = F.struct("component", "fp")
 
-    def mixed() -> DataFrame:
-        now = named(members.drop("low"))
-        several = now.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low.component < high.component")
-        return materialize(now.join(several, "key"), "mixed")
-
-    active = mixed()
-    leads = active.select("key", F.explode(F.array("low", "high")).alias("lead")).distinct().select("key", F.col("lead.fp").alias("fp"), F.col("lead.component").alias("component"))
-    a, b = described(active.select("key", "fp", "component")).alias("a"), described(leads).alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") != F.col("b.fp")) & _close("a", "b", threshold) & _overlap("a", "b", threshold))
-    link(_ordered(pairs))
-    discard(active)
-
-    # the nodes outside of a bucket's largest class with all nodes of other classes
-    active = mixed().drop("low", "high")
-    sizes = active.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    full = materialize(described(active.join(largest, "key")).join(broadcast_if_small(keys, 10_000), "fp"), "full")
-    a, b = full.where("component <> largest").alias("a"), full.alias("b")
-    # nodes outside of the largest class on both sides meet once
-    once = (F.col("b.component") == F.col("b.largest")) | (F.col("a.fp") > F.col("b.fp"))
-    # and two nodes of several common buckets in the first of them, by band, then bin
-    first_common = F.col("a.bin") == F.greatest("a.first", "b.first")
-    for j in range(bands):
-        first_common &= (F.col("a.band") <= j) | (F.col("a.keys")[j] != F.col("b.keys")[j])
-    link(_ordered(a.join(b, (F.col("a.key") == F.col("b.key")) & once & _close("a", "b", threshold) & first_common & _overlap("a", "b", threshold))))
-    discard(members, texts, wanted, keys, nodes, active, full)
-    return rows.select("id", "fp"), components
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, picks: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of each row, and (fp, first, copies, component) of the texts that have copies or a link to another text.
+
+    ``first`` is the struct (n, i) of the smallest id: whether it is null, and the id.
+    """
+    ident = F.col("id")
+    with arrow_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        rows = materialize(_sketches(docs, id_col, text_col, bands, picks, k), "sketches")
+    distinct = rows.groupBy("fp").agg(
+        F.first("words").alias("words"), F.first("keys").alias("keys"), F.count("*").alias("copies"), F.min(F.struct(ident.isNull().alias("n"), ident.alias("i"))).alias("first")
+    )
+    nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "texts")
+    keyed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
+    buckets = materialize(buckets, "buckets")
+    members = keyed.join(broadcast_if_small(buckets.where("n > 2").select("key")), "key", "left_semi")
+    members = materialize(members, "members")
+    paired = buckets.select(F.explode(F.array("low", "high")).alias("node"))
+    sharing = materialize(paired.union(members.select("node")).distinct(), "sharing")
+    wanted = materialize(nodes.select("fp", "node").join(broadcast_if_small(sharing), "node", "left_semi"), "wanted")
+    texts = docs.select(_fingerprint(F.col(text_col)).alias("fp"), F.col(text_col).cast("string").alias("text")).join(broadcast_if_small(wanted), "fp")
+    texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "wordings")
+
+    classes = _Classes(texts, threshold)
+    classes.link(buckets.select(*_pairs(F.col("low"), F.col("high"))).distinct())
+    if bands > FIRST_BANDS:
+        classes.lead(members.where(F.col("band") < FIRST_BANDS).select("key", "node"))
+    members = members.select("key", "node")
+    classes.lead(members)
+    classes.exhaust(members)
+    slim = nodes.select("node", "fp", "first", "copies").join(broadcast_if_small(classes.components), "node", "left")
+    linked = materialize(slim.where("component is not null or copies > 1").withColumn("component", F.coalesce("component", "node")), "linked")
+    discard(nodes, buckets, members, sharing, wanted, texts, classes.nodes, classes.components)
+    return rows.select("id", "fp"), linked
 
 
 def near_duplicates(
@@ -411,15 +415,17 @@ def near_duplicates(
     """One row for each row of ``docs``: ``id_col``, class_id (the smallest id of its class), class_size (rows).
 
     Two texts are linked if the edit similarity of their lower-cased words, 1 - distance / length of the longer, is at least
-    ``threshold`` and they share one of ``bands`` sketches of ``picks`` ordered k-mers; a class is whatever links connect.
-    Equal texts are always in one class, empty and null ones (which are equal) too. Texts of fewer than ``k`` words have one k-mer.
+    ``threshold`` and they share a bucket: one of ``bands`` sketches of ``picks`` ordered k-mers, or a wording of up to
+    2 ``k`` words but one. A class is whatever links connect. Equal texts are always in one class, empty and null ones (which are equal) too.
     A class whose ids are all null has a null class_id. Other columns are ignored. No rows give no rows.
     """
-    rows, components = _classes(docs, id_col, text_col, threshold, bands, picks, k)
-    named = rows.join(components.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
-    classes = materialize(named.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "labels")
-    # a large class can be split in this join, as both sides of it are read anew
-    return named.join(classes, "label").select(F.col("id").alias(id_col), "class_id", "class_size")
+    rows, linked = _classes(docs, id_col, text_col, threshold, bands, picks, k)
+    sizes = linked.groupBy("component").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
+    # a large class can be split in these joins, as both sides of them are read anew
+    known = linked.select("fp", "component").join(broadcast_if_small(materialize(sizes, "sizes")), "component").select("fp", "first", "class_size")
+    named = rows.join(broadcast_if_small(materialize(known, "known")), "fp", "left")
+    single = F.col("class_size").isNull()
+    return named.select(F.col("id").alias(id_col), F.when(single, F.col("id")).otherwise(F.col("first.i")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
 
 
 def near_dedup(
@@ -435,17 +441,11 @@ def near_dedup(
 
     Rows with texts of their own pass without a shuffle of texts.
     """
-    rows, components = _classes(docs, id_col, text_col, threshold, bands, picks, k)
-    first = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i")))
-    nodes = rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("copies")).join(components.withColumnRenamed("node", "fp"), "fp", "left")
-    nodes = materialize(nodes, "copies")
-    # nodes without a class must not meet at a null key
-    linked, alone = nodes.where("component is not null"), nodes.where("component is null and copies > 1")
+    rows, linked = _classes(docs, id_col, text_col, threshold, bands, picks, k)
     keepers = materialize(linked.groupBy("component").agg(F.min(F.struct("first", "fp")).alias("keep")), "keepers")
     marked = linked.join(broadcast_if_small(keepers), "component").withColumn("lost", F.col("keep.fp") != F.col("fp")).where("lost or copies > 1")
-    marks = marked.select(F.col("fp").alias("__fp"), F.col("lost").alias("__lost"))
-    marks = materialize(marks.union(alone.select("fp", F.lit(False))), "marks")
-    tagged = docs.withColumn("__fp", _node(F.col(text_col))).join(broadcast_if_small(marks), "__fp", "left")
+    marks = materialize(marked.select(F.col("fp").alias("__fp"), F.col("lost").alias("__lost")), "marks")
+    tagged = docs.withColumn("__fp", _fingerprint(F.col(text_col))).join(broadcast_if_small(marks), "__fp", "left")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"))
     merged = tagged.where("not __lost").groupBy("__fp").agg(F.min_by(row, order).alias("__row")).select("__row.*")

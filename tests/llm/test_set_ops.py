@@ -86,7 +86,7 @@ def test_banded_alignment_is_exact_within_the_band():
 
 
 def test_sketches_see_order_and_repeats():
-    hasher = omh.WordHasher()
+    hasher = omh.hashes_of
     words = [f"w{k}" for k in range(200)]
     same = omh.sketch(hasher(words))
     assert np.array_equal(same, omh.sketch(hasher(list(words))))
@@ -99,16 +99,16 @@ def test_sketches_see_order_and_repeats():
 
 def test_scattered_edits_share_a_sketch():
     """Of pairs well above the threshold few may lack a common sketch."""
-    rng, hasher = random.Random(1), omh.WordHasher()
+    rng, hasher = random.Random(1), omh.hashes_of
     met = Counter()
-    for edits in (30, 20, 10):
+    for edits in (40, 30, 20, 10):
         for _ in range(300):
             a = [f"w{rng.randrange(10**6)}" for _ in range(200)]
             b = list(a)
             for k in rng.sample(range(200), edits):
                 b[k] = f"new{rng.randrange(10**6)}"
             met[edits] += bool((omh.sketch(hasher(a)) == omh.sketch(hasher(b))).any())
-    assert met[30] >= 0.85 * 300 and met[20] >= 0.97 * 300 and met[10] == 300
+    assert met[40] >= 0.88 * 300 and met[30] >= 0.97 * 300 and met[20] >= 0.99 * 300 and met[10] == 300
 
 
 def family(rng, n, size, edits):
@@ -173,7 +173,7 @@ def test_no_link_is_lost_in_an_ambiguous_bucket(spark):
     # eight words of 45 differ within a family and thirty between families at most, so only families are classes
     found = {r["doc_id"]: r["class_id"] for r in omh.near_duplicates(docs, bands=1, picks=1).collect()}
     same_key = defaultdict(list)
-    hasher = omh.WordHasher()
+    hasher = omh.hashes_of
     for k, t in enumerate(texts):
         same_key[omh.sketch(hasher(omh.words_of(t)), 1, 1).tolist()[0]].append(k)
     for own in same_key.values():
@@ -183,6 +183,31 @@ def test_no_link_is_lost_in_an_ambiguous_bucket(spark):
                     assert found[a] == found[b]
 
 
+def test_short_texts_that_differ_by_a_word_are_linked(spark):
+    """Up to 2 k words no common k-mer is needed; a replaced word of four is too much."""
+    base = [f"b{k}" for k in range(9)]
+    texts = []
+    for n in range(1, 10):
+        words = [f"{n}{w}" for w in base[:n]]
+        texts += [" ".join(words), " ".join([*words[: n // 2], "new", *words[n // 2 + 1 :]]), " ".join(words[1:]) or "none", " ".join([*words[: n // 2], "added", *words[n // 2 :]])]
+    docs = docs_of(spark, [(k, t, "s") for k, t in enumerate(texts)])
+    found = {r["doc_id"]: r["class_id"] for r in omh.near_duplicates(docs).collect()}
+    assert [found[k] for k in range(len(texts))] == brute_classes(texts)
+
+
+def test_signatures_bound_distances_from_below():
+    rng = random.Random(3)
+    for _ in range(200):
+        a = [rng.randint(0, 60) for _ in range(rng.randint(0, 80))]
+        b = list(a)
+        for _ in range(rng.randint(0, 30)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 1)] = [rng.randint(0, 60)] * rng.randint(0, 1)
+        x, y = (omh.signature(omh.hashes_of([str(w) for w in words])) for words in (a, b))
+        differ = int(np.bitwise_count(x ^ y).sum())
+        assert (differ + abs(len(a) - len(b))) / 2 <= omh.within_distance(a, b, 200)
+
+
 def test_near_odd_rows(spark):
     docs = docs_of(spark, [(None, "a b c d e f g", None), (None, "a b c d e f g", None), (4, "a b c d e f g", "s"), (4, "other", "s"), (4, "other", "s")])
     rows = omh.near_duplicates(docs).collect()
