@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for strings that no pattern knows.
 
-A candidate is a long run of characters of the usual encodings. Its encoding is inferred from its alphabet, and two nulls are
-tested. *Uniform*: a secret's symbols are drawn evenly and independently, so the chi-squared statistic of symbol counts,
-the number of runs of symbol classes and the lag-1 serial correlation must not be rejected. *Written*: names, paths
-and prose repeat symbols and keep to a class of them, so coincidences as rare and runs as many as in a random
-string are unlikely. The p-values of the latter are combined by Fisher's method and go through a Benjamini-Hochberg
-procedure over the candidates of a document, weighted by length, as a short string carries less evidence.
+A candidate is a run of 20 or more characters of the usual encodings; shorter secrets are left to the fixed patterns. Its encoding is
+inferred from its alphabet, and two nulls are tested. *Uniform*: a secret's symbols are drawn evenly and independently, so the
+chi-squared statistic of symbol counts, the number of runs of symbol classes and the lag-1 serial correlation must not be
+rejected. *Written*: names, paths and prose keep to a class of symbols, alternate vowels and consonants and favour some
+letters; the likelihood of even symbols over that of written ones is large by chance with a probability of its inverse at most,
+which is the p-value. It goes through a Benjamini-Hochberg procedure over the candidates of a document, weighted by
+length, as a short string carries less evidence. All of it is reckoned in logarithms, so strings may be of any length.
 
 ``=`` within a run parts a name from its value, so each side is a candidate. A part that no alphabet covers mixes signs of base64
 with those of base64url; it is cut at either's signs and at all but ``+``, and of overlapping cuts that pass the least p-value stays.
@@ -51,76 +52,99 @@ ENCODINGS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-_PLACES = {name: {c: k for k, c in enumerate(alphabet)} for name, alphabet in ENCODINGS.items()}
-
-#: Chance that two symbols of written text coincide, and that neighbours are of different classes (case, digit, sign).
-WRITTEN_COINCIDENCE = 0.065
+_COVERED = {name: frozenset(alphabet) for name, alphabet in ENCODINGS.items()}
+_SYMBOLS = {name: np.array([max(0, alphabet.find(chr(b))) for b in range(256)]) for name, alphabet in ENCODINGS.items()}
+
+# Shares of letters in written English, by per mille.
+LETTERS = {
+    "a": 82, "b": 15, "c": 28, "d": 43, "e": 127, "f": 22, "g": 20, "h": 61, "i": 70, "j": 2, "k": 8, "l": 40, "m": 24,
+    "n": 67, "o": 75, "p": 19, "q": 1, "r": 60, "s": 63, "t": 91, "u": 28, "v": 10, "w": 24, "x": 2, "y": 20, "z": 1,
+}
+#: Least share of a letter, as languages and names differ.
+LEAST_LETTER = 8
+#: Classes of symbols in written strings: digits, upper and lower case, signs; their shares, and the chance that neighbours differ in class.
+WRITTEN_CLASSES = (0.1, 0.15, 0.7, 0.05)
 WRITTEN_CHANGE = 0.15
+#: Chance of a vowel after a vowel, after a consonant, and after another symbol.
+VOWEL_AFTER = (0.2, 0.55, 0.38)
 UNIFORM_LEVEL = 1e-3
-FALSE_DISCOVERIES = 1e-3
+FALSE_DISCOVERIES = 1e-2
 
 
-def _normal_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def _written_tables() -> tuple[np.ndarray, ...]:
+    """By byte: its class, its kind (vowel, consonant, other), its log share in class and kind; by pairs of classes and of kinds: log chances."""
+    classes, kinds, own = np.full(256, 3), np.full(256, 2), np.full(256, math.log(1 / 4))
+    for c in map(chr, range(128)):
+        if c.isdigit():
+            classes[ord(c)], own[ord(c)] = 0, math.log(1 / 10)
+        elif c.isalpha():
+            vowel = c.lower() in "aeiou"
+            alike = sum(max(v, LEAST_LETTER) for x, v in LETTERS.items() if (x in "aeiou") == vowel)
+            classes[ord(c)], kinds[ord(c)] = 1 if c.isupper() else 2, 0 if vowel else 1
+            own[ord(c)] = math.log(max(LETTERS[c.lower()], LEAST_LETTER) / alike)
+    share = np.array(WRITTEN_CLASSES)
+    change = np.log(WRITTEN_CHANGE * share[None, :] / (1 - share[:, None]))
+    np.fill_diagonal(change, math.log(1 - WRITTEN_CHANGE))
+    letters = np.array([[math.log(v), math.log(1 - v), 0.0] for v in VOWEL_AFTER])
+    return classes, kinds, own, change, letters
+
 
+_CLASSES, _KINDS, _OWN, _CHANGE, _LETTERS = _written_tables()
 
-def _poisson_at_most(k: int, mean: float) -> float:
-    term = total = math.exp(-mean)
-    for j in range(1, k + 1):
-        term *= mean / j
-        total += term
-    return min(1.0, total)
 
+def written_log(body: str) -> float:
+    """Log likelihood of a string of ASCII as a written one."""
+    codes = np.frombuffer(body.encode("ascii"), dtype=np.uint8)
+    classes, kinds = _CLASSES[codes], _KINDS[codes]
+    before = np.concatenate(([2], kinds[:-1]))
+    return math.log(WRITTEN_CLASSES[classes[0]]) + float(_CHANGE[classes[:-1], classes[1:]].sum() + _LETTERS[before, kinds].sum() + _OWN[codes].sum())
 
-def _binomial_at_least(k: int, n: int, p: float) -> float:
-    return min(1.0, sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)) for j in range(k, n + 1)))
+
+def _normal_tail(z: float) -> float:
+    return 0.5 * math.erfc(z / math.sqrt(2))
 
 
 def infer_encoding(run: str) -> str | None:
     """The smallest encoding whose alphabet covers the run, padding aside."""
     body = set(run.rstrip("="))
-    return next((name for name, places in _PLACES.items() if body and body <= places.keys()), None)
+    return next((name for name, covered in _COVERED.items() if body and body <= covered), None)
 
 
 def randomness(run: str) -> tuple[float, float] | None:
-    """(least p-value under the uniform null, combined p-value under the written null); None if no encoding fits."""
+    """(least p-value under the uniform null, log p-value under the written null); None if no encoding fits."""
     name = infer_encoding(run)
     if name is None:
         return None
     body = run.rstrip("=")
-    symbols = np.array([_PLACES[name][c] for c in body])
+    codes = np.frombuffer(body.encode("ascii"), dtype=np.uint8)
+    symbols = _SYMBOLS[name][codes]
     n, size = len(symbols), len(ENCODINGS[name])
     counts = np.bincount(symbols, minlength=size)
-    coincidences = int((counts * (counts - 1)).sum() // 2)
-    pairs = n * (n - 1) / 2
-    # chi-squared of counts against even ones; it is linear in the coincidences, with exact mean and variance
+    # chi-squared of counts against even ones, with its exact mean and variance
     chi = (counts.astype(float) ** 2).sum() * size / n - n
-    spread = math.sqrt(2 * (size - 1) * (n - 1) / n) if size > 1 else 1.0
+    spread = math.sqrt(max(1e-9, 2 * (size - 1) * (n - 1) / n))
     p_chi = _normal_tail((chi - (size - 1)) / spread)
-    classes = np.array([0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in body])
+    classes = _CLASSES[codes]
     changes = int((classes[1:] != classes[:-1]).sum())
-    share = np.array([sum(f(c) for c in ENCODINGS[name]) for f in (str.isdigit, str.isupper, str.islower)], dtype=float) / size
-    even = 1 - float((share**2).sum()) - max(0.0, 1 - float(share.sum())) ** 2
+    share = np.bincount(_CLASSES[np.frombuffer(ENCODINGS[name].encode("ascii"), dtype=np.uint8)], minlength=4) / size
+    even = 1 - float((share**2).sum())
     dev = math.sqrt(max(1e-9, (n - 1) * even * (1 - even) * 1.5))
     p_runs = 2 * _normal_tail(abs(changes - (n - 1) * even) / dev)
     centred = symbols - symbols.mean()
     power = float((centred**2).sum())
     serial = float((centred[1:] * centred[:-1]).sum()) / power if power else 1.0
     p_serial = 2 * _normal_tail(abs(serial + 1 / n) * math.sqrt(n))
-    rare = _poisson_at_most(coincidences, WRITTEN_COINCIDENCE * pairs)
-    many = _binomial_at_least(changes, n - 1, WRITTEN_CHANGE)
-    joint = max(rare, 1e-300) * max(many, 1e-300)
-    return min(p_chi, p_runs, p_serial), joint * (1 - math.log(joint))
+    # the encoding is one of several that might have been inferred
+    return min(p_chi, p_runs, p_serial), min(0.0, math.log(len(ENCODINGS)) + written_log(body) + n * math.log(size))
 
 
-def discoveries(p_values: list[float], lengths: list[int], level: float = FALSE_DISCOVERIES) -> list[bool]:
-    """Weighted Benjamini-Hochberg: weights in proportion to length, 1 on average."""
-    if not p_values:
+def discoveries(log_p: list[float], lengths: list[int], level: float = FALSE_DISCOVERIES) -> list[bool]:
+    """Weighted Benjamini-Hochberg on log p-values: weights in proportion to length, 1 on average."""
+    if not log_p:
         return []
-    weights = np.array(lengths, dtype=float) / np.mean(lengths)
-    scaled = np.array(p_values) / weights
+    scaled = np.array(log_p) - np.log(np.array(lengths, dtype=float) / np.mean(lengths))
     order = np.argsort(scaled, kind="stable")
-    passed = np.flatnonzero(scaled[order] <= level * np.arange(1, len(order) + 1) / len(order))
+    passed = np.flatnonzero(scaled[order] <= np.log(level * np.arange(1, len(order) + 1) / len(order)))
     chosen = np.zeros(len(order), dtype=bool)
     if len(passed):
         chosen[order[: passed[-1] + 1]] = True
@@ -141,7 +165,7 @@ def candidates(run: str) -> list[tuple[int, int]]:
 
 
 def apart(spans: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of those (p-value, start, end) that overlap none of a lesser p-value; ties go to the longer one."""
+    """(start, end) of those (log p-value, start, end) that overlap none of a lesser p-value; ties go to the longer one."""
     chosen: list[tuple[int, int]] = []
     for _, start, end in sorted(spans, key=lambda s: (s[0], s[1] - s[2], s[1])):
         at = bisect.bisect(chosen, (start, end))

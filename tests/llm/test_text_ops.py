@@ -1,12 +1,16 @@
 """Packing, id matrices, secrets, quality: operators that read a document at a time."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import Phase, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.llm import binpack, packing, quality, queries, secrets
@@ -235,9 +239,118 @@ def test_random_strings_behind_names_and_paths_are_found(before, after, alphabet
 
 def test_false_discoveries_are_controlled_by_length():
     assert secrets.discoveries([], []) == []
-    assert secrets.discoveries([1e-4], [30]) == [True]
+    assert secrets.discoveries([math.log(1e-4)], [30], 1e-3) == [True]
     # the same p-value is enough for a long string and not for a short one
-    assert secrets.discoveries([6e-4, 6e-4, 0.5, 0.5], [100, 20, 60, 60], 2e-3) == [True, False, False, False]
+    assert secrets.discoveries(np.log([6e-4, 6e-4, 0.5, 0.5]).tolist(), [100, 20, 60, 60], 2e-3) == [True, False, False, False]
+
+
+@pytest.mark.parametrize("length", [20, 24, 32, 64, 152, 160, 1000, 10_000])
+@pytest.mark.parametrize("encoding", list(secrets.ENCODINGS))
+def test_random_strings_of_every_encoding_and_length_are_found(encoding, length):
+    rng, rounds = random.Random(7), 100 if length <= 160 else 30
+    found = 0
+    for _ in range(rounds):
+        key = "".join(rng.choice(secrets.ENCODINGS[encoding]) for _ in range(length))
+        found += any(b - a >= 0.9 * length for _, a, b in secrets.scan(f"see {key} end"))
+    assert found >= 0.9 * rounds
+
+
+@given(st.lists(st.tuples(st.sampled_from([*secrets.ENCODINGS.values(), "a", "=", "/-_+", "é ."]), st.integers(0, 2000)), max_size=4), st.integers(0, 999))
+@settings(max_examples=60, deadline=None, phases=[Phase.generate])
+def test_no_string_breaks_the_scan(parts, seed):
+    rng = random.Random(seed)
+    text = "".join("".join(rng.choice(alphabet) for _ in range(n)) for alphabet, n in parts)
+    spans = secrets.scan(text)
+    assert [s for s in spans if s[0] != "random"] == plain_spans(text)
+    assert all(0 <= a < b <= len(text) for _, a, b in spans)
+    assert [s for s in spans if s[0] == "random"] == plain_random_spans(text)
+
+
+def plain_random_spans(text):
+    """The random spans of a text by loops over characters, in plain floating point on whole sums."""
+    base = plain_spans(text)
+    signs = set("+/_=-")
+    alnum = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+    def pieces(start, end, cut):
+        out, at = [], start
+        for k in range(start, end + 1):
+            if k == end or text[k] in cut:
+                if k > at:
+                    out.append((at, k))
+                at = k + 1
+        return out
+
+    def encoding(a, b):
+        body = text[a:b].rstrip("=")
+        return next((n for n in ("hex", "HEX", "base32", "base62", "base64", "base64url") if body and set(body) <= set(secrets.ENCODINGS[n])), None)
+
+    def kind(c):
+        return "digit" if c.isdigit() else "upper" if c.isupper() else "lower" if c.islower() else "sign"
+
+    runs, at = [], 0
+    for k in range(len(text) + 1):
+        if k == len(text) or text[k] not in alnum | signs:
+            runs += [(at, k)] if k - at >= 20 else []
+            at = k + 1
+    tested = []
+    for a, b in runs:
+        parts, k = [], a
+        while k < b:  # text up to an inner "=", with padding where it ends the run
+            while k < b and text[k] == "=":
+                k += 1
+            e = k
+            while e < b and text[e] != "=":
+                e += 1
+            end = b if set(text[e:b]) <= {"="} else e
+            parts, k = parts + ([(k, end)] if e > k and end - k >= 20 else []), end
+        for x, y in parts:
+            if encoding(x, y):
+                own = {(x, y)}
+            else:
+                own = {(p, q) for cut in ("_-", "+/", "/_-") for p, q in pieces(x, y, cut) if q - p >= 20}
+            for p, q in sorted(own):
+                name = encoding(p, q)
+                if name is None or any(s < q and p < e for _, s, e in base):
+                    continue
+                alphabet, body = secrets.ENCODINGS[name], text[p:q].rstrip("=")
+                n, size = len(body), len(alphabet)
+                chi = sum((body.count(c) - n / size) ** 2 / (n / size) for c in alphabet)
+                tail = lambda z: math.erfc(z / 2**0.5) / 2
+                ps = [tail((chi - size + 1) / max(1e-9, 2 * (size - 1) * (n - 1) / n) ** 0.5)]
+                share = Counter(map(kind, alphabet))
+                even = 1 - sum((v / size) ** 2 for v in share.values())
+                changes = sum(kind(u) != kind(v) for u, v in zip(body, body[1:]))
+                ps.append(2 * tail(abs(changes - (n - 1) * even) / max(1e-9, (n - 1) * even * (1 - even) * 1.5) ** 0.5))
+                values = [alphabet.index(c) for c in body]
+                mean = sum(values) / n
+                power = sum((v - mean) ** 2 for v in values)
+                serial = sum((u - mean) * (v - mean) for u, v in zip(values, values[1:])) / power if power > 1e-6 else 1.0
+                ps.append(2 * tail(abs(serial + 1 / n) * n**0.5))
+                prior = dict(zip(("digit", "upper", "lower", "sign"), secrets.WRITTEN_CLASSES))
+                log = math.log(prior[kind(body[0])])
+                for j, c in enumerate(body):
+                    if j:
+                        before = kind(body[j - 1])
+                        log += math.log(1 - secrets.WRITTEN_CHANGE if before == kind(c) else secrets.WRITTEN_CHANGE * prior[kind(c)] / (1 - prior[before]))
+                    if c.isalpha():
+                        last = body[j - 1].lower() if j else ""
+                        vowel = secrets.VOWEL_AFTER[0 if last and last in "aeiou" else 1 if last.isalpha() else 2]
+                        same = [x for x in secrets.LETTERS if (x in "aeiou") == (c.lower() in "aeiou")]
+                        weight = {x: max(secrets.LETTERS[x], secrets.LEAST_LETTER) for x in same}
+                        log += math.log(vowel if c.lower() in "aeiou" else 1 - vowel) + math.log(weight[c.lower()] / sum(weight.values()))
+                    else:
+                        log += math.log(0.1 if c.isdigit() else 0.25)
+                tested.append((min(0, math.log(6) + log + n * math.log(size)), p, q, min(ps)))
+    total = sum(q - p for _, p, q, _ in tested)
+    scaled = sorted((t[0] - math.log((t[2] - t[1]) * len(tested) / total), k) for k, t in enumerate(tested))
+    last = max([j for j, (v, _) in enumerate(scaled) if v <= math.log(secrets.FALSE_DISCOVERIES * (j + 1) / len(tested))], default=-1)
+    passed = sorted((tested[k] for _, k in scaled[: last + 1] if tested[k][3] >= secrets.UNIFORM_LEVEL), key=lambda t: (t[0], t[1] - t[2], t[1]))
+    chosen = []
+    for _, p, q, _ in passed:
+        if all(q <= x or y <= p for x, y in chosen):
+            chosen.append((p, q))
+    return [("random", p, q) for p, q in sorted(chosen)]
 
 
 def test_secret_query(spark, data, duck):
