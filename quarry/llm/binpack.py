@@ -88,7 +88,8 @@ def pack_matrix(
     ids in all. Each document ends with ``end_id``; every id lies in exactly one segment.
 
     A null text counts as empty: one segment with ``end_id``. Null ids and repeated rows are packed like others; other columns
-    are ignored. No rows give no rows. Blocks bound memory: a worker holds ``block_tokens`` ids and one document.
+    are ignored. No rows give no rows. Blocks bound memory: a worker holds ``block_tokens`` ids and one document. A text longer than
+    ``capacity``, however long, is encoded whole and cut into full segments and a rest, which are packed apart.
     """
     if capacity < 1 or block_tokens < capacity:
         raise ValueError("a block holds at least one row of at least one id")

@@ -2,7 +2,8 @@
 
 Documents stay in the order in which the scan delivers them. In each scan partition, blocks of tokens are cut into windows of
 at most ``capacity`` tokens. A window costs its padding, a fixed overhead and a truncation penalty for where it ends: nothing
-at a document's end, little at a sentence's end, more inside a sentence. With g(i) = cost(i) + position(i), the best cut before
+at a document's end, little at a sentence's end. Only where such ends lie further apart than a window may be long, a window may end inside
+a sentence, at a higher penalty. With g(i) = cost(i) + position(i), the best cut before
 position p is the minimum of g over a sliding range of positions, which a monotone queue yields in constant amortised time;
 a window whose length is a power of two has no padding and is tried besides. Only a partition's last window can be poorly
 filled, so no shuffle is needed at any size, and memory is bounded by one block and one document.
@@ -92,18 +93,22 @@ class _Block:
 
     def candidates(self, ids: np.ndarray, bounds: np.ndarray, final: bool) -> tuple[list[int], list[float]]:
         """Positions at which a window may end, with their penalties."""
-        overhead, sentence, inside = self.costs
+        _, sentence, inside = self.costs
         n = len(ids)
         known = np.minimum(ids, len(self.ends) - 1)
         ends = self.ends[known]
         follows = np.append(self.starts[known[1:]], True)
         penalty = np.full(n + 1, np.inf)
-        penalty[: n + 1 : self.grid] = inside
-        if final:
-            penalty[max(0, n - self.capacity) :] = inside
         penalty[1:][(ends == 2) | ((ends == 1) & follows)] = sentence
         penalty[bounds] = 0
+        ended = final or penalty[n] < np.inf
         penalty[0] = penalty[n] = 0
+        natural = np.flatnonzero(np.isfinite(penalty))
+        for low, high in zip(natural[:-1], natural[1:], strict=True):
+            if high - low > self.capacity:
+                penalty[low + self.grid : high : self.grid] = inside
+        if not ended:  # more of the sentence follows
+            penalty[n] = np.inf
         chosen = np.flatnonzero(np.isfinite(penalty))
         return chosen.tolist(), penalty[chosen].tolist()
 
@@ -113,7 +118,8 @@ class _Block:
             return None
         ids = np.concatenate(self.ids).astype("<u4", copy=False)
         first = np.cumsum([0, *map(len, self.ids)])
-        positions, penalties = self.candidates(ids, first[1:-1], final)
+        begun = [d[2] == 0 for d in self.docs[1:]]
+        positions, penalties = self.candidates(ids, first[1:-1][begun], final)
         cuts = np.array([positions[k] for k in window_cuts(positions, penalties, self.capacity, self.costs[0], open_end=not final)])
         stop = int(cuts[-1])
         pieces = np.union1d(cuts, first[(first > 0) & (first < stop)])
@@ -157,11 +163,12 @@ def pack_windows(
 
     ``ids`` holds the piece's token ids as little-endian unsigned 32-bit integers; every document ends with ``end_id``.
     ``start`` counts the document's ids before the piece, ``offset`` the window's. Penalties are in padded tokens;
-    ``grid`` is the distance of cut positions inside long sentences. Sequence ids are unique, in order within a scan
+    ``grid`` is the distance of cut positions inside sentences longer than a window. Sequence ids are unique, in order within a scan
     partition and not gapless.
 
     A null text counts as empty: one piece with ``end_id`` alone. Null ids and repeated rows are packed like others; rows are
-    never merged. Columns other than the two named ones are ignored, whatever their names. No rows give no pieces.
+    never merged. A text of any length is encoded whole and handed to blocks in parts, so that a worker holds a block and one
+    document. Equal costs go to the later cut. Columns other than the two named ones are ignored, whatever their names. No rows give no pieces.
     """
     if capacity < 2 or block_tokens < 2 * capacity or not 0 < grid <= capacity:
         raise ValueError("capacity of 2 or more, blocks of two windows or more, and a grid within a window are needed")

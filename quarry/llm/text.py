@@ -23,39 +23,50 @@ def without_space(text: Column) -> Column:
 
 
 class TokenEncoder:
-    """Byte-level BPE. A ``.json`` file is read by tokenizers, a ``.tiktoken`` file by tiktoken; ids agree for the same vocabulary."""
+    """Byte-level BPE. A ``.json`` file is read by tokenizers, a ``.tiktoken`` file by tiktoken; ids agree for the same vocabulary.
+
+    A ``.tiktoken`` file holds no special tokens, so those of a ``.json`` file of the same name beside it are added: their strings
+    in a text become their ids, as tokenizers has it.
+    """
 
     def __init__(self, path: str):
         self.path = path
+        self.special: dict[str, int] = {}
         if path.endswith(".tiktoken"):
             import base64
+            import json
+            from pathlib import Path
 
             import public_tokenizers
             import tiktoken
 
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(word): int(rank) for word, rank in (line.split() for line in lines if line.strip())}
-            encoding = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.encode = lambda texts: [encoding.encode_to_numpy(text) for text in texts]
+            named = Path(path).with_suffix(".json")
+            if named.exists():
+                self.special = {token["content"]: token["id"] for token in json.loads(named.read_text())["added_tokens"] if token["special"]}
+            encoding = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+            self.encode = lambda texts: [encoding.encode_to_numpy(text, allowed_special="all") for text in texts]
             self.bytes_of = {rank: word for word, rank in ranks.items()}
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
+            self.special = {token.content: i for i, token in tokenizer.get_added_tokens_decoder().items() if token.special}
             self.encode = lambda texts: [np.array(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
             printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
             stand_in = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
-            self.bytes_of = {i: bytes(stand_in[c] for c in w) for w, i in tokenizer.get_vocab().items() if all(c in stand_in for c in w)}
-        self.size = max(self.bytes_of) + 1
+            self.bytes_of = {i: bytes(stand_in[c] for c in w) for w, i in tokenizer.get_vocab().items() if w not in self.special and all(c in stand_in for c in w)}
+        self.size = max([*self.bytes_of, *self.special.values()]) + 1
 
     def sentence_tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Per id: whether it ends a sentence if white space follows (1) or always (2); whether it starts with white space."""
+        """Per id: whether it ends a sentence if white space follows (1) or always (2), as special tokens do; whether it starts with white space."""
         ends, starts = np.zeros(self.size, np.uint8), np.zeros(self.size, bool)
         for i, word in self.bytes_of.items():
             shown = word.decode("utf-8", "replace")
             ends[i] = 2 if "\n" in shown or shown.endswith(("。", "！", "？")) else 1 if shown.rstrip("\"')]}").endswith((".", "!", "?")) else 0
             starts[i] = shown[:1].isspace()
+        ends[list(self.special.values())] = 2
         return ends, starts
 
 
