@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.components import connected_components
@@ -13,10 +13,6 @@ from quarry.runtime import broadcast_if_small, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rules are literals of the plan up to this number.
-MOST_RULES = 10_000
-
-
 @dataclass(frozen=True)
 class Rule:
     """``action`` (allow or block) for a host, its subdomains, and paths that start with ``path``."""
@@ -36,17 +32,33 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
-    """struct(rule, action) of the longest rule (host and path) that fits, block before allow on a tie of the same rule; else null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
-    ranked = sorted(rules, key=lambda r: (-len(r.host + r.path), r.host + r.path, r.action != "block"))
-    best = None
-    for rule in ranked:
-        fits = ((host == rule.host) | host.endswith(f".{rule.host}")) & path.startswith(rule.path)
-        hit = F.struct(F.lit(rule.host + rule.path).alias("rule"), F.lit(rule.action).alias("action"))
-        best = F.when(fits, hit) if best is None else best.when(fits, hit)
-    return best if best is not None else F.lit(None).cast("struct<rule:string,action:string>")
+def rules_table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """(host, path, action), once each, of a list of rules or of a table with these columns."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([(r.host, r.path, r.action) for r in rules], "host string, path string, action string")
+    return rules.select("host", "path", "action").where("host is not null and path is not null").distinct()
+
+
+def matching_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, rule, action) of those (host, path) that a rule fits: the longest one, block before allow for the same rule.
+
+    Rules may be as many as URLs: a host's suffixes meet the lengths of the paths that rules have for them, and host and prefix
+    then meet the rule itself, so both joins are by equality and no URL meets all rules of its host.
+    """
+    rules = materialize(rules, "rules")
+    parts = F.split("host", r"\.")
+    most = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
+    # no more suffixes than the longest rule has parts, however long a URL's host is
+    first = F.greatest(F.lit(1), F.size(parts) - most + 1)
+    suffixes = F.transform(F.sequence(first, F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    lengths = rules.select(F.col("host").alias("suffix"), F.length("path").alias("n")).distinct()
+    near = places.select("host", "path").distinct().withColumn("suffix", F.explode(suffixes))
+    near = near.join(broadcast_if_small(lengths), "suffix").where("length(path) >= n").withColumn("prefix", F.expr("substring(path, 1, n)"))
+    named = rules.select(F.col("host").alias("suffix"), F.col("path").alias("prefix"), "action").withColumn("rule", F.concat("suffix", "prefix"))
+    hits = near.join(broadcast_if_small(named), ["suffix", "prefix"])
+    order = F.struct((-F.length("rule")).alias("n"), F.col("rule").alias("r"), (F.col("action") != "block").alias("b"))
+    best = hits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "action"), order).alias("best"))
+    return materialize(best.select("host", "path", "best.rule", "best.action"), "matched")
 
 
 def without_dots(path: Column) -> Column:
@@ -87,31 +99,52 @@ def resolve(target: Column, base: Column) -> Column:
     )
 
 
-#: Tags of a page that name another URL for it: canonical links, refresh redirects.
-CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-HREF = r"""(?i)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+#: Tags of a page that may name another URL for it, and the names and values of a tag's attributes.
+LINK = r"""(?is)<link\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+META = r"""(?is)<meta\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+ATTRIBUTE = r"""(?s)([^\s"'>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 REFRESH_URL = r"""(?i)\burl\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name, without quotes; null if there is none."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 1), F.lower)
+    values = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 2)
+    at = F.array_position(names, name)
+    return F.when(at > 0, F.trim(F.regexp_replace(F.get(values, (at - 1).cast("int")), r"""^["']|["']\z""", "")))
+
+
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst): nodes that canonical links and refresh redirects of pages declare to be the same resource."""
-    url, html = F.col(url_col), F.col(html_col)
+    """(src, dst): nodes that canonical links and refresh redirects of pages declare to be the same resource.
+
+    All such tags of a page count but those in comments; ``rel`` may hold further words.
+    """
+    url, html = F.col(url_col), F.regexp_replace(F.col(html_col), COMMENT, "")
 
-    def named(word: str, tag: str, part: str) -> Column:
-        # a page without such a tag is passed over by a search for a fixed string
-        found = F.transform(F.regexp_extract_all(html, F.lit(tag), 0), lambda x: F.regexp_extract(x, part, 1))
-        return F.when(F.contains(F.lower(html), F.lit(word)), found).otherwise(F.array().cast("array<string>"))
+    def targets(word: str, tag: str, wanted: Callable[[Column], Column], target: Callable[[Column], Column]) -> Column:
+        # a page without such a word is passed over by a search for a fixed string
+        kept = F.filter(F.transform(F.regexp_extract_all(html, F.lit(tag), 0), lambda x: F.when(wanted(x), target(x))), lambda x: x.isNotNull())
+        return F.when(F.contains(F.lower(html_col), F.lit(word)), kept).otherwise(F.array().cast("array<string>"))
 
-    named_urls = F.concat(named("canonical", CANONICAL, HREF), named("refresh", REFRESH, REFRESH_URL))
-    targets = pages.select(url.alias("url"), F.explode(named_urls).alias("target")).where("target <> ''")
-    edges = targets.select(node_of(F.col("url")).alias("src"), node_of(resolve(F.col("target"), F.col("url"))).alias("dst"))
+    def canonical(tag: Column) -> Column:
+        return F.array_contains(F.split(F.lower(attribute(tag, "rel")), r"\s+"), "canonical")
+
+    def refresh(tag: Column) -> Column:
+        return F.lower(attribute(tag, "http-equiv")) == "refresh"
+
+    named = F.concat(
+        targets("canonical", LINK, canonical, lambda tag: attribute(tag, "href")),
+        targets("refresh", META, refresh, lambda tag: F.regexp_extract(attribute(tag, "content"), REFRESH_URL, 1)),
+    )
+    found = pages.select(url.alias("url"), F.explode(named).alias("target")).where("target <> ''")
+    edges = found.select(node_of(F.col("url")).alias("src"), node_of(resolve(F.col("target"), F.col("url"))).alias("dst"))
     return edges.where("src is not null and dst is not null and src <> dst")
 
 
 def judge_urls(
     pages: DataFrame,
-    rules: Sequence[Rule],
+    rules: Sequence[Rule] | DataFrame,
     url_col: str = "url",
     html_col: str = "html",
     redirects: DataFrame | None = None,
@@ -119,28 +152,36 @@ def judge_urls(
 ) -> DataFrame:
     """``pages`` with host, path, rule and verdict (allow or block).
 
-    A URL that a rule fits gets the rule's action. Others are judged by their aliases, the URLs that canonical links, refresh
-    redirects and rows (src, dst) of ``redirects`` connect them to, whether crawled or not: blocked if an alias is blocked by a
-    rule and none is allowed by one (explicit allows take precedence); else ``default``.
+    ``rules`` is a list, or a table (host, path, action) of any size. A URL that a rule fits gets the rule's action. Others are
+    judged by their aliases, the URLs that canonical links, refresh redirects and rows (src, dst) of ``redirects`` connect
+    them to, whether crawled or not: blocked if an alias is blocked by a rule and none is allowed by one (explicit allows
+    take precedence); else ``default``.
 
     Null URLs and URLs without ``://`` have an empty host and path, no alias, and get ``default`` unless a rule fits. Repeated
-    rows are judged alike; input columns named like the added ones are replaced. No rows give no rows.
+    rows are judged alike, hosts and paths may be of any length; input columns named like the added ones are replaced. No rows
+    give no rows.
     """
+    rules = rules_table(pages.sparkSession, rules)
     edges = alias_edges(pages, url_col, html_col)
     if redirects is not None:
         known = redirects.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst"))
         edges = edges.union(known.where("src is not null and dst is not null and src <> dst"))
     components = materialize(connected_components(edges), "aliases")
-    action = matching_rule(host_of(F.col("node")), path_of(F.col("node")), rules)["action"]
-    votes = components.withColumn("action", action).groupBy("component").agg(
+    placed = components.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))})
+    own = pages.select(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    matched = matching_rules(own.union(placed.select("host", "path")), rules)
+    votes = placed.join(broadcast_if_small(matched), ["host", "path"]).groupBy("component").agg(
         F.max((F.col("action") == "block").cast("int")).alias("blocked"), F.max((F.col("action") == "allow").cast("int")).alias("allowed")
     )
-    decided = votes.where("blocked = 1 and coalesce(allowed, 0) = 0").select("component")
-    blocked = materialize(components.join(decided, "component").select(F.col("node").alias("__node"), F.lit(True).alias("__blocked")), "blocked")
+    decided = materialize(votes.where("blocked = 1 and allowed = 0").select("component"), "decided")
+    blocked = components.join(broadcast_if_small(decided), "component").select(F.col("node").alias("__node"), F.lit(True).alias("__blocked"))
+    blocked = materialize(blocked, "blocked")
     # URLs without a node must not meet at a null key: theirs is a number, which no node is
     spread = F.monotonically_increasing_id().cast("string")
     judged = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col)), "__node": F.coalesce(node_of(F.col(url_col)), spread)})
-    judged = judged.withColumn("__rule", matching_rule(F.col("host"), F.col("path"), rules))
+    fits = matched.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("rule").alias("__rule"), F.col("action").alias("__action"))
+    judged = judged.join(broadcast_if_small(fits), (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
     judged = judged.join(broadcast_if_small(blocked), "__node", "left")
     alias = F.when(F.col("__blocked"), F.lit("block")).otherwise(F.lit(default))
-    return judged.withColumns({"rule": F.col("__rule.rule"), "verdict": F.coalesce(F.col("__rule.action"), alias)}).drop("__node", "__rule", "__blocked")
+    judged = judged.withColumns({"rule": F.col("__rule"), "verdict": F.coalesce("__action", alias)})
+    return judged.drop("__node", "__host", "__path", "__rule", "__action", "__blocked")

@@ -432,3 +432,39 @@ def test_all_alias_tags_and_relative_targets(spark):
     blocked = spark.createDataFrame([("http://h.x/blocked/x", '<link rel=canonical href="y"><link rel=canonical href="../free/w">'), ("http://h.x/free/w", "")], "url string, html string")
     rows = {r["url"]: r["verdict"] for r in urls.judge_urls(blocked, [urls.Rule("h.x", "/blocked/", "block")]).collect()}
     assert rows == {"http://h.x/blocked/x": "block", "http://h.x/free/w": "block"}
+
+
+@pytest.mark.parametrize(
+    "html,alias",
+    [
+        ('<link rel="canonical" href="/a"><link rel="canonical" href="http://bad.x/z">', "http://bad.x/z"),
+        ('<link rel="canonical" href="?q=1">', "http://h.x/f/p?q=1"),
+        ('<link rel="canonical" href="../z">', "http://h.x/z"),
+        ('<link rel="alternate Canonical" href="http://bad.x/z">', "http://bad.x/z"),
+        ('<link data-href="http://ok.x/" rel=canonical href="http://bad.x/z">', "http://bad.x/z"),
+        ('<link title="a > b rel=stylesheet" href=\'http://bad.x/z\' rel=canonical>', "http://bad.x/z"),
+        ('<meta content="0; URL=http://bad.x/z" http-equiv=Refresh>', "http://bad.x/z"),
+        ('<!-- <link rel="canonical" href="http://bad.x/z"> --><p>canonical</p>', None),
+        ('<link rel="not-canonical" href="http://bad.x/z">', None),
+        ('<!-- <link rel="canonical" href="http://bad.x/z">', None),
+    ],
+)
+def test_aliases_of_a_page(spark, html, alias):
+    pages = spark.createDataFrame([("http://h.x/f/p", html)], "url string, html string")
+    found = {r["dst"] for r in urls.alias_edges(pages).collect()}
+    assert alias in found if alias else not found
+
+
+def test_many_rules_are_joined(spark):
+    rng = random.Random(2)
+    rules = {(f"h{rng.randint(0, 300)}.{rng.choice(['com', 'a.org', 'net'])}", "/" + "x" * rng.randint(0, 3), rng.choice(["allow", "block"])) for _ in range(30_000)}
+    rules |= {("com", f"/p{k}/", "block") for k in range(3000)}
+    seen = [f"http://{rng.choice(['', 'w.', 'v.w.'])}h{rng.randint(0, 300)}.{rng.choice(['com', 'org', 'a.org', 'net'])}/{'x' * rng.randint(0, 4)}" for _ in range(300)]
+    seen += [f"http://any.com/p{k}/q" for k in range(0, 4000, 400)] + ["http://" + "a." * 5000 + "com/p7/"]
+    pages = spark.createDataFrame([(u, None) for u in seen], "url string, html string")
+    found = {r["url"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(pages, [urls.Rule(*r) for r in rules]).collect()}
+    for url in seen:
+        host, path = url[7:].split("/", 1)
+        fits = [(-len(h + p), h + p, a != "block", a) for h, p, a in rules if (host == h or host.endswith("." + h)) and f"/{path}".startswith(p)]
+        best = min(fits, default=None)
+        assert found[url] == ((best[1], best[3]) if best else (None, "allow")), url
