@@ -36,7 +36,7 @@ PICKS = 2
 SIMILARITY = 0.8
 #: Bands whose buckets give each node its first leaders; most copies find their class by these.
 FIRST_BANDS = 8
-#: Bits of a text's signature, a parity for each hash of a word.
+#: Bits of a text's signature, a parity for each hash of an occurrence-labelled word.
 BITS = 2048
 
 SLICE_ROWS = 256
@@ -243,12 +243,12 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, picks: in
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """Bit b tells whether the number of words whose hash falls on b is odd.
+    """Bit b tells whether the number of occurrence-labelled words whose hash falls on b is odd.
 
-    A replaced word changes two bits at most, an added or deleted one a single bit. So texts of m and n words whose signatures
-    differ in d bits are at least (d + abs(m - n)) / 2 edits apart.
+    An added or deleted word adds or takes one labelled word, so it changes a single bit, and a replaced one two at most. So texts of
+    m and n words whose signatures differ in d bits are at least (d + abs(m - n)) / 2 edits apart.
     """
-    odd = np.bincount((hashes % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    odd = np.bincount((labelled_kmers(hashes, 1) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
