@@ -347,10 +347,10 @@ class _Classes:
         return materialize(now.join(broadcast_if_small(materialize(several, "several")), "key"), "mixed")
 
     def lead(self, members: DataFrame) -> None:
-        """Compare each node of a bucket of several classes with two nodes of different classes."""
+        """Compare each node of a bucket of several classes with a node of the first or, being of that class, of the last one."""
         active = self.mixed(members)
-        leads = active.select("node", "component", F.explode(F.array("low", "high")).alias("lead")).where("component <> lead.component")
-        self.link(leads.select(*_pairs(F.col("node"), F.col("lead.node"))).distinct())
+        other = F.when(F.col("component") == F.col("low.component"), F.col("high.node")).otherwise(F.col("low.node"))
+        self.link(active.select(*_pairs(F.col("node"), other)).distinct())
         discard(active)
 
     def exhaust(self, members: DataFrame) -> None:
