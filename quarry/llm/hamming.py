@@ -1,151 +1,124 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into substrings, each with a table of its own from the substring's value to codes. A query looks up values at growing
-distances from its substrings: after all lookups at radius r in the first j of m tables, every code within m * r + j - 1 has been
-seen, as one of its substrings must be that near. The search ends when the kth best verified distance is within that bound,
-so the result is exact. Codes and queries meet in blocks of bounded size; each block yields its k best, which are merged.
+A code is cut into substrings, each with a table of its own from the substring's value to codes: rows (part, value), which a join
+finds by equality. Queries look up all values within a radius of their substrings, and the radius grows: after radius r in all of m tables, every
+code within m * (r + 1) - 1 has been seen, as one of its substrings must be that near. A query leaves when its kth best verified
+distance is within that bound, so the result is exact. Substrings are about as long as the logarithm of the number of codes,
+so that a lookup meets few codes at any size.
+
+Equal codes are one entry with their k + 1 smallest ids, and queries of equal codes are one query: a group of copies costs one
+lookup. A code is counted where its nearest substring is found, in the first table that has it, so no pair is seen twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import math
+from functools import reduce
 from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.runtime import materialize
-
-#: Codes and queries that one task holds at once.
-CODE_BLOCK = 16_384
-QUERY_BLOCK = 16_384
-#: Tasks of the search; beyond that number a task takes several pairs of blocks, one after the other.
-MOST_TASKS = 10_000
-
-
-@lru_cache(maxsize=64)
-def masks(bits: int, radius: int) -> np.ndarray:
-    """All values of ``bits`` bits with ``radius`` bits set."""
-    return np.array([sum(1 << b for b in some) for some in combinations(range(bits), radius)], dtype=np.int64)
-
-
-class MultiIndex:
-    """Tables of a block's 64-bit codes by each of ``parts`` substrings."""
-
-    def __init__(self, codes: np.ndarray, ids: np.ndarray, parts: int = 4, width: int = 64):
-        self.codes, self.ids, self.parts = codes, ids, parts
-        self.bits = [width // parts + (p < width % parts) for p in range(parts)]
-        self.shifts = np.cumsum([0, *self.bits[:-1]])
-        self.tables = []
-        for p in range(parts):
-            values = self.part(codes, p)
-            order = np.argsort(values, kind="stable")
-            self.tables.append((order, np.searchsorted(values[order], np.arange((1 << self.bits[p]) + 1))))
-
-    def part(self, codes, p: int):
-        return ((codes >> np.uint64(self.shifts[p])) & np.uint64((1 << self.bits[p]) - 1)).astype(np.int64)
-
-    def search(self, query: np.uint64, own, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, distances) of the k nearest codes but those of id ``own``, by distance, then id; fewer if there are fewer."""
-        n = len(self.codes)
-        seen = np.zeros(n, dtype=bool)
-        found, distances = [], []
-        within = np.zeros(130, dtype=np.int64)  # verified codes by distance
-        keys = [int(self.part(np.array([query], dtype=np.uint64), p)[0]) for p in range(self.parts)]
-        total = 0
-        done = False
-        for radius in range(max(self.bits) + 1):
-            for p in range(self.parts):
-                if radius <= self.bits[p]:
-                    order, starts = self.tables[p]
-                    probes = masks(self.bits[p], radius) ^ keys[p]
-                    low = starts[probes]
-                    counts = starts[probes + 1] - low
-                    filled = counts > 0
-                    low, counts = low[filled], counts[filled]
-                    if len(low):
-                        stops = np.cumsum(counts)
-                        places = np.arange(stops[-1]) + np.repeat(low - np.concatenate(([0], stops[:-1])), counts)
-                        fresh = order[places]
-                        fresh = fresh[~seen[fresh]]
-                        if len(fresh):
-                            seen[fresh] = True
-                            total += len(fresh)
-                            fresh = fresh[self.ids[fresh] != own]
-                            near = np.bitwise_count(self.codes[fresh] ^ query)
-                            found.append(fresh)
-                            distances.append(near)
-                            within += np.bincount(near, minlength=130)
-                covered = self.parts * radius + p
-                if total == n or within[: covered + 1].sum() >= k:
-                    done = True
-                    break
-            if done:
-                break
-        if not found:
-            return np.empty(0, dtype=self.ids.dtype), np.empty(0, dtype=np.int64)
-        where, near = np.concatenate(found), np.concatenate(distances).astype(np.int64)
-        if len(near) > k:
-            kept = near <= np.partition(near, k - 1)[k - 1]
-            where, near = where[kept], near[kept]
-        best = np.lexsort((self.ids[where], near))[:k]
-        return self.ids[where[best]], near[best]
+from quarry.runtime import broadcast_if_small, discard, materialize
+
+WIDTH = 64
+#: Codes that the first lookups of a query meet, as a multiple of those it wants.
+FIRST = 10
 
 
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, code): bit b of the 64-bit code is set if component b is positive; components beyond 64 are folded in by position.
 
-    Rows with a null id or vector have no code; null or NaN components count as not positive.
+    Rows with a null id or vector have no code; null or NaN components count as not positive. Ids keep their type.
     """
-    chosen = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    positive = lambda x: (x > 0) & ~F.isnan(x)
+    bits = F.transform(F.col(vector_col), lambda x, b: F.when(positive(x), F.call_function("shiftleft", F.lit(1).cast("long"), (b % WIDTH).cast("int"))).otherwise(F.lit(0).cast("long")))
+    code = F.aggregate(bits, F.lit(0).cast("long"), lambda code, bit: code.bitwiseXOR(bit))
+    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), code.alias("code"))
+
+
+def substring_bits(parts: int) -> list[tuple[int, int]]:
+    """(shift, bits) of each substring."""
+    bits = [WIDTH // parts + (p < WIDTH % parts) for p in range(parts)]
+    return [(sum(bits[:p]), bits[p]) for p in range(parts)]
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = []
-            for vector in batch.column("v").to_pylist():
-                code = 0
-                for b, x in enumerate(vector):
-                    if x is not None and x > 0:
-                        code ^= 1 << b % 64
-                codes.append(code - (1 << 64) if code >> 63 else code)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.int64())], names=["id", "code"])
+def _part(code: Column, shift: int, bits: int) -> Column:
+    return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
-    return chosen.mapInArrow(run, "id long, code long")
 
+def _substrings(code: Column, cuts: list[tuple[int, int]]) -> Column:
+    """Columns part and value, a row for each substring."""
+    return F.inline(F.array(*(F.struct(F.lit(p).alias("part"), _part(code, *cut).alias("value")) for p, cut in enumerate(cuts))))
 
-def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10, parts: int = 4, code_block: int = CODE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+
+def _masks(df: DataFrame, cuts: list[tuple[int, int]], low: int, high: int) -> DataFrame:
+    """(part, mask) of all masks with ``low`` to ``high`` bits; as many as a substring has values at most."""
+    rows = [(p, sum(1 << b for b in some)) for p, (_, bits) in enumerate(cuts) for r in range(low, min(high, bits) + 1) for some in combinations(range(bits), r)]
+    return df.sparkSession.createDataFrame(rows, "part int, mask long")
+
+
+def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10, parts: int | None = None, first_radius: int | None = None) -> DataFrame:
     """(query_id, rank, neighbor_id, distance): the k nearest codes of each query by Hamming distance, ties by id.
 
     ``codes`` and ``queries`` are (id, code). A row is no neighbour of its own id; equal codes of other ids are, at distance 0. Of
-    repeated ids one row counts. A query with fewer than k others gets fewer rows. No queries or codes give no rows.
+    repeated ids one row counts, that with the least code. Null ids and codes are passed over. A query with fewer than k others gets fewer
+    rows. ``parts`` and the radius to begin with follow from the number of codes unless they are given. No queries or codes
+    give no rows.
     """
-    codes = materialize(codes.groupBy("id").agg(F.min("code").alias("code")), "codes")
-    queries = materialize(queries.groupBy("id").agg(F.min("code").alias("code")), "queries")
-    blocks = max(1, -(-codes.count() // code_block))
-    rounds = max(1, -(-queries.count() // query_block))
-    left = codes.select("id", "code", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    right = queries.select("id", "code", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(rounds)).cast("int").alias("round"))
-
-    def run(some, asked):
-        import pandas as pd
-
-        index = MultiIndex(some["code"].to_numpy().astype(np.int64).view(np.uint64), some["id"].to_numpy(), parts)
-        out = []
-        for own, code in zip(asked["id"].to_numpy(), asked["code"].to_numpy().astype(np.int64).view(np.uint64), strict=True):
-            ids, near = index.search(code, own, k)
-            out.append((np.full(len(ids), own), ids, near))
-        if not out:
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []}).astype("int64")
-        a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame({"query_id": a, "neighbor_id": b, "distance": c})
-
-    # a task for each pair of blocks: their rows are few bytes and much work, so they must not be coalesced by size
-    tasks = min(blocks * rounds, MOST_TASKS)
-    left, right = left.repartition(tasks, "block", "round"), right.repartition(tasks, "block", "round")
-    near = left.groupBy("block", "round").cogroup(right.groupBy("block", "round")).applyInPandas(run, "query_id long, neighbor_id long, distance long")
-    # each query has k rows from each block at most
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    codes = materialize(codes.where("id is not null and code is not null").groupBy("id").agg(F.min("code").alias("code")), "codes")
+    queries = materialize(queries.where("id is not null and code is not null").groupBy("id").agg(F.min("code").alias("code")), "queries")
+    total = codes.count()
+    parts = parts or max(2, min(8, round(WIDTH / max(8.0, math.log2(total + 1)))))
+    cuts = substring_bits(parts)
+    # a code's first ids: row_number with a bound keeps k + 1 rows of each code in every task
+    order = Window.partitionBy("code").orderBy("id")
+    few = codes.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    groups = few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    index = materialize(groups.select("code", "ids", _substrings(F.col("code"), cuts)), "index")
+    active = materialize(queries.select(F.col("code").alias("query"), F.lit(WIDTH).alias("worst")).distinct(), "active")
+
+    wanted = min(k + 1, total)
+    radius = first_radius
+    if radius is None:
+        met = 0.0
+        for radius in range(max(bits for _, bits in cuts) + 1):
+            met += sum(math.comb(bits, radius) * total / 2**bits for _, bits in cuts)
+            if met >= FIRST * k:
+                break
+    best = None
+    low = 0
+    while total and active.limit(1).count():
+        values = active.select("query", "worst", _substrings(F.col("query"), cuts))
+        probes = values.join(F.broadcast(_masks(active, cuts, low, radius)), "part")
+        probes = probes.select("query", "worst", "part", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+        hits = probes.join(broadcast_if_small(index), ["part", "value"])
+        differ = F.col("query").bitwiseXOR(F.col("code"))
+        near = [F.bit_count(_part(differ, *cut)) for cut in cuts]
+        # the first of the nearest substrings finds the code
+        nearest = F.least(*near)
+        first = reduce(lambda rest, p: F.when(near[p] == nearest, p).otherwise(rest), reversed(range(parts)), F.lit(parts))
+        distance = F.bit_count(differ)
+        found = hits.where((F.col("part") == first) & (distance <= F.col("worst"))).select("query", distance.alias("distance"), F.explode("ids").alias("id"))
+        if best is not None:
+            found = found.union(best)
+        rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
+        kept = materialize(found.withColumn("rank", rank).where(F.col("rank") <= k + 1).select("query", "distance", "id"), "best")
+        discard(best)
+        best = kept
+        covered = parts * (radius + 1) - 1
+        state = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("last"))
+        settled = (F.col("n") >= wanted) & ((F.col("last") <= covered) | F.lit(total <= k + 1))
+        done = state.select("query", F.when(F.col("n") >= wanted, F.col("last")).otherwise(WIDTH).alias("worst"), settled.alias("settled"))
+        left = active.select("query").join(broadcast_if_small(done), "query", "left").where("not coalesce(settled, false)")
+        after = materialize(left.select("query", F.coalesce("worst", F.lit(WIDTH)).alias("worst")), "active")
+        discard(active)
+        active, low, radius = after, radius + 1, radius + 1
+    if best is None:
+        best = index.select(F.col("code").alias("query"), F.lit(0).alias("distance"), F.explode("ids").alias("id")).limit(0)
+    # at most k + 1 entries for each code
+    lists = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("near"))
+    asked = queries.join(broadcast_if_small(materialize(lists, "lists")), F.col("code") == F.col("query"))
+    ranked = asked.select("id", F.posexplode(F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)).alias("rank", "x"))
+    return ranked.select(F.col("id").alias("query_id"), (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("neighbor_id"), F.col("x.distance").cast("long").alias("distance"))
+

@@ -133,15 +133,18 @@ def _vectors(rows: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold_score: float = 0.3, rows: int = TRAIN_ROWS) -> BradleyTerry:
     """A model from labelled documents outside the held-out fold.
 
-    At most ``rows`` labelled ids are used, those with the smallest hashes. Null labels and ids are passed over; of several labels of
-    one id the mean decides, and a mean of exactly one half is passed over. Only texts enter the features.
+    At most ``rows`` labelled ids are used, those with the smallest hashes, and one text of each: of several, the least. Null labels and
+    ids are passed over; of several labels of one id the mean decides, and a mean of exactly one half is passed over. Only
+    texts enter the features. No usable label gives a model that scores every text 0.5.
     """
     ident = F.col(id_col)
     known = labels.where(F.col(label_col).isNotNull() & ident.isNotNull() & ~is_held_out(ident)).groupBy(ident.alias("__id")).agg(F.avg(label_col).alias("__mean"))
     sample = known.where("__mean <> 0.5").orderBy(F.xxhash64("__id"), "__id").limit(rows)
     # at most ``rows`` rows of two numbers
     joined = docs.select(ident.alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "__id")
-    found = _vectors(joined.select((F.col("__mean") > 0.5).alias("good"), "text")).toArrow()
+    single = joined.groupBy("__id").agg(F.min("text").alias("text"), F.first("__mean").alias("__mean"))
+    # at most ``rows`` vectors come to the driver
+    found = _vectors(single.select((F.col("__mean") > 0.5).alias("good"), "text")).toArrow()
     good = np.array(found["good"].to_pylist(), dtype=bool)
     width = len(features(""))
     x = np.frombuffer(b"".join(found["x"].to_pylist()), dtype=np.float32).reshape(-1, width)
@@ -149,13 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(x[order], good[order], threshold_score)
 
 
-def score_quality(docs: DataFrame, model: BradleyTerry, text_col: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 if the score reaches the model's threshold, else 0).
-
-    Null texts score as empty ones. All rows and columns are kept; columns named score or predicted are replaced. No rows
-    give no rows.
-    """
-
+def _score(model: BradleyTerry, text: Column) -> Column:
     @F.pandas_udf(T.DoubleType())
     def score(texts):
         import pandas as pd
@@ -164,5 +161,19 @@ def score_quality(docs: DataFrame, model: BradleyTerry, text_col: str = "text")
         blocks = [model.score(np.stack([features(t) for t in values[at : at + SLICE_ROWS]])) for at in range(0, len(values), SLICE_ROWS)]
         return pd.Series(np.concatenate(blocks) if blocks else np.empty(0))
 
-    scored = docs.withColumn("score", score(F.col(text_col).cast("string")))
+    return score(text.cast("string"))
+
+
+def score_quality(docs: DataFrame, model: BradleyTerry, text_col: str = "text") -> DataFrame:
+    """``docs`` with score (0 to 1) and predicted (1 if the score reaches the model's threshold, else 0).
+
+    Null texts score as empty ones. All rows and columns are kept; columns named score or predicted are replaced. No rows
+    give no rows.
+    """
+    scored = docs.withColumn("score", _score(model, F.col(text_col)))
     return scored.withColumn("predicted", (F.col("score") >= model.threshold_score).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: BradleyTerry, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score reaches the model's threshold, with their own columns, whatever the names."""
+    return docs.where(_score(model, F.col(text_col)) >= model.threshold_score)

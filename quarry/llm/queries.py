@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.llm import binpack, exact, hamming, mixing, omh, packing, quality, secrets, sharding, urls
 from quarry.llm.oracles import ORACLES as ORACLES
 from quarry.llm.text import word_count
+from quarry.runtime import materialize
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -47,7 +48,8 @@ def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    # written, so that the search for ranges does not count the words of all texts once more
+    docs = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
     return mixing.mix_sources(docs, F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 

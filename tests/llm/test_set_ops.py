@@ -371,8 +371,8 @@ def brute_top(codes, asked, k):
     return out
 
 
-@pytest.mark.parametrize("parts,blocks", [(4, 16_384), (3, 40), (8, 40)])
-def test_top_k_is_exact(spark, parts, blocks):
+@pytest.mark.parametrize("parts,radius", [(None, None), (3, 6), (8, 0)])
+def test_top_k_is_exact(spark, parts, radius):
     rng = random.Random(10)
     centres = [rng.getrandbits(64) for _ in range(5)]
     codes = {k: rng.choice(centres) ^ (1 << rng.randrange(64)) ^ (rng.getrandbits(64) if k % 3 == 0 else 0) for k in range(300)}
@@ -380,7 +380,7 @@ def test_top_k_is_exact(spark, parts, blocks):
     signed = [(k, c - (1 << 64) if c >> 63 else c) for k, c in codes.items()]
     table = spark.createDataFrame([*signed, signed[0]], "id long, code long")
     found = defaultdict(list)
-    for r in sorted(hamming.hamming_top_k(table, table.where("id % 20 = 0"), 7, parts, blocks, blocks).collect(), key=lambda r: r["rank"]):
+    for r in sorted(hamming.hamming_top_k(table, table.where("id % 20 = 0"), 7, parts, radius).collect(), key=lambda r: r["rank"]):
         found[r["query_id"]].append((r["distance"], r["neighbor_id"]))
     assert found == brute_top(codes, [k for k in codes if k % 20 == 0], 7)
 
@@ -392,6 +392,17 @@ def test_codes_of_odd_vectors(spark):
     table = spark.createDataFrame([(20, 5)], "id long, code long")
     assert hamming.hamming_top_k(table, table).count() == 0
     assert hamming.hamming_top_k(table.limit(0), table.limit(0)).count() == 0
+    assert hamming.hamming_top_k(table, table.limit(0)).count() == 0
+
+
+def test_top_k_of_text_ids_and_clashing_names(spark):
+    """Ids keep their type; further columns, whatever their names, are left behind; null ids and codes are passed over."""
+    rows = [("a", 1, 0, "x", 1), ("b", 3, 0, "x", 2), ("c", -1, 1, "y", 3), ("b", 7, 0, "x", 4), (None, 1, 0, "x", 5), ("d", None, 0, "x", 6)]
+    table = spark.createDataFrame(rows, "id string, code long, distance int, query string, part int")
+    found = sorted(map(tuple, hamming.hamming_top_k(table, table, 5).collect()))
+    assert found == [("a", 1, "b", 1), ("a", 2, "c", 63), ("b", 1, "a", 1), ("b", 2, "c", 62), ("c", 1, "b", 62), ("c", 2, "a", 63)]
+    vectors = spark.createDataFrame([("v", [1.0] * 64, 9), ("w", [-1.0] * 64, 9)], "vec_id string, embedding array<float>, code int")
+    assert {tuple(r) for r in hamming.sign_codes(vectors).collect()} == {("v", -1), ("w", 0)}
 
 
 def test_url_sql_agrees_on_aliases(spark):

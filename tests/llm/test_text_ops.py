@@ -452,3 +452,37 @@ def test_quality_of_odd_rows(spark):
     assert [round(r["score"], 6) for r in scored.collect()] == [0.5] * 7
     assert quality.score_quality(docs.limit(0), model).count() == 0
     assert np.isfinite(quality.features(None)).all() and np.isfinite(quality.features("x" * 100_000)).all()
+
+
+def test_repeated_ids_give_one_row_to_the_fit(spark, monkeypatch):
+    docs = spark.createDataFrame([(k % 20, f"word {k % 20} of row {k // 20}.") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, good, *rest: seen.append(len(x)))
+    quality.learn(docs, labels, rows=7)
+    quality.learn(docs, labels)
+    held = sum(zlib.crc32(str(k).encode()) % 5 == 0 for k in range(20))
+    assert seen == [7, 20 - held]
+
+
+def test_fit_agrees_with_gradient_descent_on_all_pairs():
+    """The stochastic fit against a plain one on every pair of a good and a poor row."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4)) * [1, 3, 0.2, 1] + 5
+    good = x @ [1.5, -0.2, 0, 0.4] + rng.normal(size=60) * 0.6 > 8.5
+    model = quality.fit(x, good, steps=3000)
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6)
+    differences = [(a - b).tolist() for a in z[good] for b in z[~good]]
+    w = [0.0] * 4
+    for _ in range(1500):
+        gradient = [1e-3 * v for v in w]
+        for d in differences:
+            miss = 1 / (1 + math.exp(sum(p * q for p, q in zip(d, w))))
+            gradient = [g - miss * v / len(differences) for g, v in zip(gradient, d)]
+        w = [v - 0.5 * g for v, g in zip(w, gradient)]
+    own = model.utility(x) - model.utility(x).mean()
+    plain = z @ np.array(w)
+    assert np.corrcoef(own, plain - plain.mean())[0, 1] > 0.995
+    ranked = lambda u: np.mean([u[i] > u[j] for i in np.flatnonzero(good) for j in np.flatnonzero(~good)])
+    assert abs(ranked(own) - ranked(plain)) < 0.01
+    assert (model.score(x) >= 0.3).sum() == pytest.approx(good.sum(), abs=1)
