@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.runtime import broadcast_if_small, materialize
-
+from quarry.runtime import broadcast_if_small, conf_set, materialize
 
 #: Partitions whose totals one window sums up.
 BLOCK = 64
+#: Rows for each range partition that the driver gets to choose the ranges by; a fifth of Spark's default.
+SAMPLE = 20
 
 
 def partition_count(df: DataFrame, times: int = 4) -> int:
@@ -28,7 +29,8 @@ def range_partitioned(df: DataFrame, order: Sequence[Column], by: Sequence[str]
     salted = df.withColumns({"__tie": F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), "__salt": F.rand(11)})
     keys = [F.col(c).asc_nulls_last() for c in by] + list(order) + [F.col("__tie"), F.col("__salt")]
     parts = partitions or partition_count(df)
-    return materialize(salted.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "ranged")
+    with conf_set(df.sparkSession, "spark.sql.execution.rangeExchange.sampleSizePerPartition", str(SAMPLE)):
+        return materialize(salted.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "ranged")
 
 
 def prefix_sums(df: DataFrame, value: str, order: Sequence[Column], by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:

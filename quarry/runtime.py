@@ -34,10 +34,16 @@ def session(app: str = "quarry", master: str | None = None, **conf: str) -> Spar
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run in one process.
+
+    Raises ``ValueError`` on a cluster without that setting, as executors would write to disks of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share, as the master is {master}")
     if not _own_scratch:
         _own_scratch.append(tempfile.mkdtemp(prefix="quarry-"))
         atexit.register(shutil.rmtree, _own_scratch[0], ignore_errors=True)
@@ -70,17 +76,21 @@ def discard(*tables: DataFrame | None) -> None:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within this context, jobs pass at most ``rows`` rows to Python at once; the session's own setting comes back afterwards."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def conf_set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Within this context, a setting of the session has another value; its own comes back afterwards."""
     before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def arrow_batches(spark: SparkSession, rows: int):
+    """Within this context, jobs pass at most ``rows`` rows to Python at once."""
+    return conf_set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if a bounded count shows at most ``rows`` rows; else leave the join to shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

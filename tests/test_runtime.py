@@ -1,6 +1,7 @@
 """The shared scratch folder, checked broadcasts and batch sizes."""
 
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
@@ -25,6 +26,13 @@ def test_the_sessions_own_checkpoint_folder_is_used(spark):
     assert root == own.rstrip("/") if own else root.startswith("file:/")
 
 
+def test_a_cluster_needs_a_shared_folder():
+    unset = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master="local-cluster[3,2,1024]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.scratch_root(cluster)
+
+
 def test_only_small_sides_are_broadcast(spark):
     def hinted(df):
         return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
