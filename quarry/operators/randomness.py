@@ -8,6 +8,7 @@ sums over a sequence come from block totals, so that one long sequence does not
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from quarry.runtime import broadcast_if_small
 
 ALPHA = 0.01
 BLOCK = 65_536
+#: Bits of a block that is read as a string.
+STRING = 512
 
 
 def verdict(df: DataFrame, p_value: Column, alpha: float = ALPHA) -> DataFrame:
@@ -56,18 +59,35 @@ def shifted(bits: DataFrame, by: int, out: str = "other") -> DataFrame:
     return bits.join(later, ["seq_id", "idx"])
 
 
-def words(bits: DataFrame, width: int, cyclic: bool = False) -> DataFrame:
-    """(seq_id, idx, word): the overlapping words of ``width`` bits that start at each index; ``cyclic`` words wrap around.
+def bit_strings(bits: DataFrame, size: int = STRING) -> DataFrame:
+    """(seq_id, block, s): the bits of each ``size`` places as a string, the last one shorter."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", "bit"))), lambda b: b["bit"].cast("string"))
+    return bits.groupBy("seq_id", F.floor(F.col("idx") / size).alias("block")).agg(F.array_join(ordered, "").alias("s"))
 
-    Each bit contributes to the words that contain it, and words are put together by a partial sum.
+
+def _grams(bits: DataFrame, width: int, cyclic: bool) -> DataFrame:
+    """(seq_id, start, grams): words of ``width`` bits as strings, from each place of a block on; ``cyclic`` ones wrap around.
+
+    Blocks of bits are read with the few bits that follow them, so no bit is shuffled more than once.
     """
-    sized = bits.join(bits.groupBy("seq_id").agg(F.count("*").alias("__n")), "seq_id") if cyclic else bits
-    spread = sized.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    start = F.col("idx") - F.col("__j")
+    blocks = bit_strings(bits)
+    heads = blocks.select("seq_id", F.col("block").alias("at"), F.substring("s", 1, width).alias("head"))
+    following = heads.select("seq_id", (F.col("at") - 1).alias("block"), F.col("head").alias("next"))
+    read = blocks.join(following, ["seq_id", "block"], "left").withColumn("next", F.coalesce("next", F.lit("")))
     if cyclic:
-        start = F.pmod(start, F.col("__n"))
-    parts = spread.select("seq_id", start.alias("idx"), (F.col("bit").cast("long") * F.element_at(F.array(*(F.lit(1 << (width - 1 - j)) for j in range(width))), F.col("__j") + 1)).alias("v"))
-    return parts.where("idx >= 0").groupBy("seq_id", "idx").agg(F.sum("v").alias("word"), F.count("*").alias("__c")).where(F.col("__c") == width).drop("__c")
+        # after a sequence's end come its first bits, over and over if it is short
+        first = heads.where("at = 0").select("seq_id", F.repeat("head", width).alias("first"))
+        read = read.join(broadcast_if_small(first), "seq_id").withColumn("next", F.concat("next", "first"))
+    text = F.concat("s", F.substring("next", 1, width - 1)) if width > 1 else F.col("s")
+    read = read.select("seq_id", (F.col("block") * STRING).alias("start"), text.alias("t")).where(F.length("t") >= width)
+    return read.select("seq_id", "start", F.transform(F.sequence(F.lit(1), F.length("t") - width + 1), lambda k: F.substring("t", k, F.lit(width))).alias("grams"))
+
+
+def gram_counts(bits: DataFrame, width: int) -> DataFrame:
+    """(seq_id, word, c, n): cyclic words of ``width`` bits and their numbers; words are counted where they lie, only counts are shuffled."""
+    counts = _grams(bits, width, cyclic=True).select("seq_id", F.explode("grams").alias("g")).groupBy("seq_id", "g").agg(F.count("*").alias("c"))
+    named = counts.select("seq_id", F.conv("g", 2, 10).cast("long").alias("word"), "c")
+    return named.join(bits.groupBy("seq_id").agg(F.count("*").alias("n")), "seq_id")
 
 
 # ---- the fifteen tests -------------------------------------------------------------------------------------------------
@@ -301,30 +321,40 @@ def spectral_test(bits: DataFrame, block: int = 1 << 20) -> DataFrame:
     return verdict(spectral(bits, block), erfc(F.abs("d") / math.sqrt(2)))
 
 
-def _count_template(bits: list[int], template: str) -> int:
-    return "".join(map(str, bits)).count(template)  # str.count passes over a hit, as the test demands
+def aperiodic_templates(size: int = 9) -> list[str]:
+    """All words of ``size`` bits that cannot overlap a copy of themselves."""
+    every = (format(k, f"0{size}b") for k in range(1 << size))
+    return [w for w in every if all(w[j:] != w[: size - j] for j in range(1, size))]
 
 
-def non_overlapping(bits: DataFrame, template: str = "000000001", blocks: int = 8, length: int | None = None) -> DataFrame:
-    """N7 statistic: (seq_id, blocks, m, chi2) of the template's counts in ``blocks`` blocks of each sequence.
+def non_overlapping(bits: DataFrame, templates: Sequence[str] | None = None, blocks: int = 8, length: int | None = None) -> DataFrame:
+    """N7 statistic: (seq_id, template, blocks, m, chi2) of each template's counts in ``blocks`` blocks of each sequence.
 
-    m comes from each sequence's own length, or from ``length`` for all; the bits of a last, incomplete block do not count.
+    Templates, all aperiodic ones of nine bits unless given, are of one size and cannot overlap themselves, so their hits in passing over
+    them are all their occurrences, which one scan counts for all of them. m comes from each sequence's own length, or from
+    ``length`` for all; the bits of a last, incomplete block do not count.
     """
-    if length is None:
-        sized = bits.join(broadcast_if_small(bits.groupBy("seq_id").agg(F.count("*").alias("__n"))), "seq_id")
-    else:
-        sized = bits.withColumn("__n", F.lit(length))
-    size = len(template)
-    m = F.col("m")
+    chosen = list(templates) if templates is not None else aperiodic_templates()
+    size = len(chosen[0])
+    if not set(chosen) <= set(aperiodic_templates(size)):
+        raise ValueError("templates of one size that cannot overlap themselves are needed")
+    sizes = bits.groupBy("seq_id").agg((F.count("*") if length is None else F.max(F.lit(length))).alias("n"))
+    sizes = sizes.select("seq_id", F.greatest(F.lit(1), F.floor(F.col("n") / blocks)).cast("long").alias("m"))
+    placed = _grams(bits, size, cyclic=False).select("seq_id", "start", F.posexplode("grams").alias("p", "g")).where(F.col("g").isin(chosen))
+    placed = placed.join(broadcast_if_small(sizes), "seq_id").withColumn("idx", F.col("start") + F.col("p"))
+    placed = placed.where((F.col("idx") % F.col("m") <= F.col("m") - size) & (F.col("idx") < F.col("m") * blocks))
+    hits = placed.groupBy("seq_id", "g", F.floor(F.col("idx") / F.col("m")).alias("block")).agg(F.count("*").alias("hits"))
+    m = F.col("m").cast("double")
     mean = (m - size + 1) / 2**size
     variance = m * (1 / 2**size - (2 * size - 1) / 2 ** (2 * size))
-    counts = _per_block(sized, F.greatest(F.lit(1), F.floor(F.col("__n") / blocks)), "hits", lambda b: _count_template(b, template)).where(F.col("block") < blocks)
-    deviation = F.pow(F.col("hits") - mean, F.lit(2)) / variance
-    return counts.groupBy("seq_id", "m").agg(F.count("*").alias("blocks"), F.sum(deviation).alias("chi2")).select("seq_id", "blocks", "m", "chi2")
+    grid = sizes.select("seq_id", "m", F.explode(F.array(*map(F.lit, chosen))).alias("template")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    counts = grid.join(hits.withColumnRenamed("g", "template"), ["seq_id", "template", "block"], "left")
+    deviation = F.pow(F.coalesce("hits", F.lit(0)) - mean, F.lit(2)) / variance
+    return counts.groupBy("seq_id", "template", "m").agg(F.count("*").alias("blocks"), F.sum(deviation).alias("chi2")).select("seq_id", "template", "blocks", "m", "chi2")
 
 
-def non_overlapping_test(bits: DataFrame, template: str = "000000001", blocks: int = 8) -> DataFrame:
-    return verdict(non_overlapping(bits, template, blocks), igamc_column(F.col("blocks") / 2, F.col("chi2") / 2))
+def non_overlapping_test(bits: DataFrame, templates: Sequence[str] | None = None, blocks: int = 8) -> DataFrame:
+    return verdict(non_overlapping(bits, templates, blocks), igamc_column(F.col("blocks") / 2, F.col("chi2") / 2))
 
 
 #: Class probabilities of the overlapping template test for nine ones in blocks of 1032 bits.
@@ -382,12 +412,6 @@ def universal_test(bits: DataFrame, width: int = 6, initial: int | None = None)
     return verdict(universal(bits, width, initial), erfc(F.abs(F.col("fn") - expected) / (math.sqrt(2) * c * F.sqrt(F.lit(variance) / F.col("k")))))
 
 
-def gram_counts(bits: DataFrame, width: int) -> DataFrame:
-    """(seq_id, word, c, n): cyclic words of ``width`` bits and their numbers."""
-    counts = words(bits, width, cyclic=True).groupBy("seq_id", "word").agg(F.count("*").alias("c"))
-    return counts.join(bits.groupBy("seq_id").agg(F.count("*").alias("n")), "seq_id")
-
-
 def approximate_entropy(bits: DataFrame, m: int = 3) -> DataFrame:
     """N10 statistic: (seq_id, n, apen, chi2)."""
 
@@ -542,13 +566,18 @@ def cumulative_sums_test(bits: DataFrame) -> DataFrame:
     return verdict(cumulative_sums(bits), p(F.col("n"), F.col("z")))
 
 
-def combined(results: dict[str, DataFrame]) -> DataFrame:
-    """(seq_id, tests, failed, passed): a sequence passes if no test that applies to it fails."""
+def combined(results: dict[str, DataFrame], alpha: float = ALPHA) -> DataFrame:
+    """(seq_id, tests, failed, passed): a sequence passes if no test that applies to it fails.
+
+    A test of several p-values (templates, states, modes) fails if the least of them is below ``alpha`` divided by their number, so that
+    many of them fail a random sequence no more often than one does.
+    """
     rows = None
     for name, df in results.items():
-        part = df.select("seq_id", F.lit(name).alias("test"), "passed")
+        values = [c for c in df.columns if c.startswith("p_value_")] or ["p_value"]
+        part = df.select("seq_id", F.lit(name).alias("test"), F.explode(F.array(*values)).alias("p"))
         rows = part if rows is None else rows.union(part)
-    each = rows.groupBy("seq_id", "test").agg(F.bool_and(F.coalesce("passed", F.lit(True))).alias("ok"))
+    each = rows.groupBy("seq_id", "test").agg((F.coalesce(F.min("p"), F.lit(1.0)) >= alpha / F.greatest(F.count("p"), F.lit(1))).alias("ok"))
     return each.groupBy("seq_id").agg(F.count("*").alias("tests"), F.count_if(~F.col("ok")).alias("failed"), F.bool_and("ok").alias("passed"))
 
 

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import cosine
 from quarry.operators.components import connected_components
+from quarry.runtime import broadcast_if_small, discard, materialize
 
 #: Query vectors of one search, at most: they are broadcast.
 MOST_QUERIES = 10_000
+#: Rows of a retrieved set whose vectors are compared pair by pair, at most.
+MOST_RESULTS = 10_000
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,40 +48,106 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "id", query
 
 
 def similar_pairs(docs: DataFrame, threshold: float, id_col: str = "id", vector: str = "vector") -> DataFrame:
-    """(a, b, similarity): pairs of a retrieved set, a < b, whose cosine reaches the threshold. Meant for the K rows of a search."""
-    a = docs.select(F.col(id_col).alias("a"), F.col(vector).alias("va"))
-    b = docs.select(F.col(id_col).alias("b"), F.col(vector).alias("vb"))
-    pairs = a.join(b, F.col("a") < F.col("b")).select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity"))
-    return pairs.where(F.col("similarity") >= threshold)
+    """(a, b, similarity): pairs of a retrieved set, a < b, whose cosine reaches the threshold.
 
+    Every two rows are compared, so the set may hold ``MOST_RESULTS`` rows at most; more raise ``ValueError``.
+    """
+    rows = materialize(docs.select(F.col(id_col).alias("a"), F.col(vector).alias("va")), "results")
+    if rows.count() > MOST_RESULTS:
+        raise ValueError(f"at most {MOST_RESULTS} rows")
+    b = rows.select(F.col("a").alias("b"), F.col("va").alias("vb"))
+    pairs = rows.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity"))
+    return pairs.where(F.col("similarity") >= threshold)
 
-def shingle_pairs(docs: DataFrame, threshold: float = 0.5, width: int = 3, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(a, b, similarity): pairs of texts whose sets of word shingles have a Jaccard similarity of at least the threshold.
 
-    Exact, by prefix filtering: a pair that reaches the threshold shares one of the rarest shingles of each text, as many
-    as its size and the threshold leave. Shingles are ranked by frequency, then hash; only prefixes are joined.
-    """
+def _shingle_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, grams): the sorted set of hashed word shingles of each text that has a word; a short text is one shingle."""
     words = F.filter(F.split(F.lower(F.col(text_col)), r"\s+"), lambda w: w != "")
     # zipped with its own tails, an array is evaluated a few times for a row; by index in a lambda, once for each element
     joined = F.col("__w")
     for j in range(1, width):
         joined = F.zip_with(joined, F.slice("__w", j + 1, F.size("__w")), lambda x, y: F.concat(x, F.lit(" "), y))
     whole = F.filter(joined, lambda g: g.isNotNull())
-    grams = F.array_distinct(F.transform(F.when(F.size(whole) > 0, whole).otherwise(F.array(F.array_join("__w", " "))), lambda g: F.xxhash64(g)))
-    sets = docs.select(F.col(id_col).alias("id"), words.alias("__w")).where("size(__w) > 0").select("id", grams.alias("grams"))
+    grams = F.transform(F.when(F.size(whole) > 0, whole).otherwise(F.array(F.array_join("__w", " "))), lambda g: F.xxhash64(g))
+    return docs.select(F.col(id_col).alias("id"), words.alias("__w")).where("size(__w) > 0").select("id", F.array_sort(F.array_distinct(grams)).alias("grams"))
+
+
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(g, id, n, r): shingles that several sets hold, as far as they are among the rarest of their set; r is the rank from 1, n the set's size.
+
+    Two sets that reach the threshold share one of these. Shingles of one set alone come first in rank and are only counted.
+    """
     flat = sets.select("id", F.explode("grams").alias("g"), F.size("grams").alias("n"))
-    counts = flat.groupBy("g").agg(F.count("*").alias("df"))
-    ranked = flat.join(counts, "g").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "g")))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).where("df > 1")
-    left = prefix.select("g", F.col("id").alias("a"), F.col("n").alias("na"))
-    right = prefix.select("g", F.col("id").alias("b"), F.col("n").alias("nb"))
-    sized = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-    pairs = left.join(right, "g").where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
+    counts = flat.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("id")
+    shared = flat.join(counts, "g").withColumns({"rank": F.row_number().over(own.orderBy("df", "g")), "shared": F.count("*").over(own)})
+    ranked = shared.select("g", "id", "n", (F.col("n") - F.col("shared") + F.col("rank")).cast("int").alias("r"))
+    return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+
+
+def _may_reach(threshold: float) -> Column:
+    """Whether entries a and b of a common shingle leave the similarity possible; a is of the larger set, or the larger id.
+
+    The overlap of a pair at the threshold is at least t / (1 + t) of both sizes together. So a shorter prefix of the smaller set is
+    enough, and what follows the first common shingle must hold the rest.
+    """
+    na, nb, ra, rb = (F.col(c) for c in ("a.n", "b.n", "a.r", "b.r"))
+    overlap = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
+    smaller = rb <= nb - F.ceil(nb * (2 * threshold / (1 + threshold)) - 1e-9) + 1
+    return (nb >= na * threshold - 1e-9) & smaller & (1 + F.least(na - ra, nb - rb) >= overlap)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of those pairs of sets that reach the threshold."""
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     return full.select("a", "b", (common / (F.size("ga") + F.size("gb") - common)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
+_LARGER = "a.g = b.g and (a.n > b.n or (a.n = b.n and a.id > b.id))"
+
+
+def shingle_pairs(docs: DataFrame, threshold: float = 0.5, width: int = 3, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(a, b, similarity): pairs of texts, a < b, whose sets of word shingles have a Jaccard similarity of at least the threshold.
+
+    Exact, by prefix, length and position filters: a pair that reaches the threshold shares one of the rarest shingles of each
+    text, as many as its size and the threshold leave. The result holds all pairs of a group of copies; where only groups
+    are wanted, :func:`shingle_groups` does without them.
+    """
+    sets = materialize(_shingle_sets(docs, width, id_col, text_col), "sets")
+    entries = materialize(_prefixes(sets, threshold), "prefixes")
+    pairs = entries.alias("a").join(entries.alias("b"), F.expr(_LARGER) & _may_reach(threshold)).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    return _compared(pairs, sets, threshold)
+
+
+def shingle_groups(docs: DataFrame, threshold: float = 0.5, width: int = 3, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``group_id``, the smallest id that chains of similar texts lead to; a text without words is its own group.
+
+    The links are those of :func:`shingle_pairs`. Equal sets are one node. Each node is first compared with one leader of each of its
+    shingles; afterwards only nodes of different groups meet, so a group of copies costs a multiple of its size.
+    """
+    every = materialize(_shingle_sets(docs, width, id_col, text_col).withColumn("fp", F.md5(F.array_join(F.col("grams").cast("array<string>"), ","))), "sets")
+    nodes = materialize(every.groupBy("fp").agg(F.min("id").alias("id"), F.first("grams").alias("grams")), "nodes")
+    entries = materialize(_prefixes(nodes, threshold), "prefixes")
+    # the largest entry of a shingle leads, as smaller ones need a short prefix only
+    place = F.struct("n", "id", "r")
+    leads = materialize(entries.groupBy("g").agg(F.max(place).alias("lead")), "leads").select("g", "lead.*")
+    first = leads.alias("a").join(entries.alias("b"), F.expr(_LARGER) & _may_reach(threshold)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    links = materialize(_compared(first, nodes, threshold).select("a", "b"), "links")
+    groups = materialize(connected_components(links, "a", "b"), "groups")
+    named = entries.join(broadcast_if_small(groups.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = materialize(named, "named")
+    other = F.expr(_LARGER) & (F.col("a.component") != F.col("b.component")) & _may_reach(threshold)
+    rest = named.alias("a").join(named.alias("b"), other).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    rest = _compared(rest, nodes, threshold).select("a", "b").union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    linked = connected_components(rest, "a", "b").withColumnRenamed("node", "id")
+    # from nodes to their texts
+    grouped = materialize(nodes.select("fp", "id").join(linked, "id", "left").select("fp", F.coalesce("component", "id").alias("group_id")), "grouped")
+    placed = every.select(F.col("id").alias("__id"), "fp").join(grouped, "fp").select("__id", "group_id")
+    discard(entries, links, named)
+    return docs.join(placed, F.col(f"`{id_col}`") == F.col("__id"), "left").withColumn("group_id", F.coalesce("group_id", F.col(f"`{id_col}`"))).drop("__id")
+
+
 def similar_groups(docs: DataFrame, pairs: DataFrame, id_col: str = "id") -> DataFrame:
     """Documents with ``group_id``, the smallest id that chains of similar pairs lead to; a document without a pair is its own group."""
     groups = connected_components(pairs, "a", "b")
@@ -87,7 +156,7 @@ def similar_groups(docs: DataFrame, pairs: DataFrame, id_col: str = "id") -> Dat
 
 def longest_of_group(grouped: DataFrame, text_col: str = "text", id_col: str = "id") -> DataFrame:
     """The longest document of each group, the one with the smallest id on a tie."""
-    row = F.struct(*grouped.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in grouped.columns))
     order = F.struct((-F.length(text_col)).alias("l"), F.col(id_col).alias("i"))
     return grouped.groupBy("group_id").agg(F.min_by(row, order).alias("__best")).select("__best.*")
 

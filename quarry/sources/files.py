@@ -93,7 +93,7 @@ def vector_record(doc_id: Column, vector: Column, year: Column, month: Column, i
 
 def json_fields(df: DataFrame, column: str, schema: str) -> DataFrame:
     """``df`` with the fields of a JSON column; malformed JSON gives nulls."""
-    return df.withColumn("__j", F.from_json(column, schema)).select(*df.columns, "__j.*")
+    return df.withColumn("__j", F.from_json(column, schema)).select(*(f"`{c}`" for c in df.columns), "__j.*")
 
 
 def write_result(df: DataFrame, path: str, kind: str = "csv") -> None:

@@ -46,22 +46,20 @@ def test_published_excursions(spark):
 
 
 def test_published_template_counts():
-    assert [R._count_template([int(c) for c in s], "001") for s in ("1010010010", "1110010110")] == [2, 1]
     assert R._linear_complexity([int(c) for c in "1101011110001"]) == 4
     assert R._rank([0b010, 0b101, 0b010]) == 2
-    non = R._count_template([0] * 20, "000000001")
-    assert non == 0
+    assert len(R.aperiodic_templates(9)) == 148 and R.aperiodic_templates(3) == ["001", "011", "100", "110"]
 
 
 def test_non_overlapping_published(spark):
-    row = R.non_overlapping_test(bits(spark, "10100100101110010110"), "001", 2).first()
+    row = R.non_overlapping_test(bits(spark, "10100100101110010110"), ["001"], 2).first()
     assert row["chi2"] == pytest.approx(2.133333, abs=1e-5) and round(row["p_value"], 6) == 0.344154
 
 
 def test_non_overlapping_blocks_of_each_length(spark):
     rng = random.Random(8)
     texts = ["10100100101110010110", "".join(rng.choice("01") for _ in range(3001)), "".join(rng.choice("01") for _ in range(500))]
-    rows = {r["seq_id"]: r for r in R.non_overlapping(bits(spark, *texts), "001", 2).collect()}
+    rows = {r["seq_id"]: r for r in R.non_overlapping(bits(spark, *texts), ["001"], 2).collect()}
     for k, text in enumerate(texts):
         m = len(text) // 2
         hits = [text[:m].count("001"), text[m : 2 * m].count("001")]
@@ -69,6 +67,23 @@ def test_non_overlapping_blocks_of_each_length(spark):
         assert rows[k]["chi2"] == pytest.approx(sum((h - (m - 2) / 8) ** 2 for h in hits) / (m * (1 / 8 - 5 / 64)))
 
 
+def test_all_templates_in_blocks(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choice("01") for _ in range(5000))
+    rows = {r["template"]: r["chi2"] for r in R.non_overlapping(bits(spark, text)).collect()}
+    assert sorted(rows) == R.aperiodic_templates(9)
+    for template, chi2 in rows.items():
+        hits = [text[b * 625 : b * 625 + 625].count(template) for b in range(8)]
+        assert chi2 == pytest.approx(sum((h - 617 / 512) ** 2 for h in hits) / (625 * (1 / 512 - 17 / 512**2)))
+    with pytest.raises(ValueError):
+        R.non_overlapping(bits(spark, text), ["010"])
+
+
+def test_many_p_values_of_a_test_do_not_fail_a_random_sequence(spark):
+    tested = spark.createDataFrame([(0, 0.005), *[(0, 0.5)] * 9, (1, 0.0005), *[(1, 0.5)] * 9, (2, None)], "seq_id int, p_value double")
+    assert {r["seq_id"]: r["passed"] for r in R.combined({"t": tested}).collect()} == {0: True, 1: False, 2: True}
+
+
 @pytest.mark.parametrize("block", [1, 16, 64, 1 << 20])
 def test_spectrum_of_a_whole_sequence(spark, block):
     """One row for a sequence, whatever its length is against the block; 1009 and 2003 are prime."""
