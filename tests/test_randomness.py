@@ -32,9 +32,17 @@ def test_small_published_examples(spark):
     assert (round(serial["p_value_1"], 6), round(serial["p_value_2"], 6)) == (0.808792, 0.670320)
     universal = R.universal(bits(spark, "01011010011101010111"), 2, 4).first()
     assert universal["k"] == 6 and universal["fn"] == pytest.approx(1.1949875, abs=1e-6)
-    assert R.matrix_rank(bits(spark, "010110010010101011"), 3).first().asDict() | {"chi2": 0} == {"seq_id": 0, "matrices": 2, "full": 1, "less_one": 1, "chi2": 0}
+    rank = R.matrix_rank_test(bits(spark, "010110010010101011"), 3).first()
+    assert (rank["matrices"], rank["full"], rank["less_one"]) == (2, 1, 1)
+    assert (round(rank["chi2"], 6), round(rank["p_value"], 6)) == (0.596953, 0.741948)
+    # the heights are 0, 2, 4.472, 2 and 4.472 by hand, and the bound is 5.473: the published count of 4 is of an older bound
     spectral = R.spectral_test(bits(spark, "1001010011")).first()
-    assert spectral["peaks"] == 5 or spectral["peaks"] == 4
+    assert spectral["peaks"] == 5 and spectral["d"] == pytest.approx((5 - 4.75) / math.sqrt(10 * 0.95 * 0.05 / 4))
+    # and a sequence of one frequency, which rises above the bound at a single place
+    spectral = R.spectral_test(bits(spark, "0011" * 16 + "01" * 7)).first()
+    x = [2 * int(c) - 1 for c in "0011" * 16 + "01" * 7]
+    heights = [abs(sum(v * complex(math.cos(2 * math.pi * f * k / 78), -math.sin(2 * math.pi * f * k / 78)) for k, v in enumerate(x))) for f in range(39)]
+    assert spectral["peaks"] == sum(h < math.sqrt(math.log(20) * 78) for h in heights) < 39
 
 
 def test_published_excursions(spark):
