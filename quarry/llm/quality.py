@@ -18,10 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.runtime import arrow_batches
+
 #: Labelled rows that a model is fitted on, at most; those with the smallest hashes of their ids.
 TRAIN_ROWS = 20_000
 PAIRS = 200_000
 SLICE_ROWS = 256
+#: Texts that a Python worker gets at once while a model is learnt.
+TEXTS_AT_ONCE = 1_000
 
 _CLASSES = np.zeros((256, 7))  # bytes by letter case, digit, space, line end, sign, other
 for _b in range(256):
@@ -118,22 +122,23 @@ def fit(x: np.ndarray, good: np.ndarray, threshold_score: float = 0.3, pairs: in
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
-    """(good, x): features of (good, text) as 32-bit floats."""
+    """(id, good, x): features of (id, good, text) as 32-bit floats."""
+    schema = T.StructType([rows.schema["id"], T.StructField("good", T.BooleanType()), T.StructField("x", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 x = [features(text).tobytes() for text in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("good"), pa.array(x, pa.binary())], names=["good", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("good"), pa.array(x, pa.binary())], names=schema.names)
 
-    return rows.select("good", "text").mapInArrow(run, "good boolean, x binary")
+    return rows.select("id", "good", "text").mapInArrow(run, schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold_score: float = 0.3, rows: int = TRAIN_ROWS) -> BradleyTerry:
     """A model from labelled documents outside the held-out fold.
 
-    At most ``rows`` labelled ids are used, those with the smallest hashes, and one text of each: of several, the least. Null labels and
+    At most ``rows`` labelled ids are used, those with the smallest hashes, and one text of each: of several, that with the least vector. Null labels and
     ids are passed over; of several labels of one id the mean decides, and a mean of exactly one half is passed over. Only
     texts enter the features. No usable label gives a model that scores every text 0.5.
     """
@@ -142,9 +147,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = known.where("__mean <> 0.5").orderBy(F.xxhash64("__id"), "__id").limit(rows)
     # at most ``rows`` rows of two numbers
     joined = docs.select(ident.alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "__id")
-    single = joined.groupBy("__id").agg(F.min("text").alias("text"), F.first("__mean").alias("__mean"))
-    # at most ``rows`` vectors come to the driver
-    found = _vectors(single.select((F.col("__mean") > 0.5).alias("good"), "text")).toArrow()
+    vectors = _vectors(joined.select(F.col("__id").alias("id"), (F.col("__mean") > 0.5).alias("good"), "text"))
+    with arrow_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        # at most ``rows`` vectors come to the driver
+        found = vectors.groupBy("id").agg(F.first("good").alias("good"), F.min("x").alias("x")).toArrow()
     good = np.array(found["good"].to_pylist(), dtype=bool)
     width = len(features(""))
     x = np.frombuffer(b"".join(found["x"].to_pylist()), dtype=np.float32).reshape(-1, width)
@@ -153,13 +159,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _score(model: BradleyTerry, text: Column) -> Column:
-    @F.pandas_udf(T.DoubleType())
-    def score(texts):
-        import pandas as pd
-
-        values = texts.tolist()
-        blocks = [model.score(np.stack([features(t) for t in values[at : at + SLICE_ROWS]])) for at in range(0, len(values), SLICE_ROWS)]
-        return pd.Series(np.concatenate(blocks) if blocks else np.empty(0))
+    @F.arrow_udf(T.DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        # a slice of texts at a time becomes Python strings
+        parts = [np.empty(0)]
+        for at in range(0, len(texts), SLICE_ROWS):
+            parts.append(model.score(np.stack([features(t) for t in texts.slice(at, SLICE_ROWS).to_pylist()])))
+        return pa.array(np.concatenate(parts), pa.float64())
 
     return score(text.cast("string"))
 
