@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 from itertools import product
@@ -13,7 +14,8 @@ from quarry.functions.columns import bits_to_hex, collapse_category, hex_to_bits
 from quarry.operators import checks, layout, mart, randomness, reconcile, retrieve
 from quarry.plans import stand_ins
 from quarry.plans.stand_ins import SQL_BITS, SQL_PHASES, SQL_SALES, sql_deltas, table
-from quarry.sources.files import json_fields
+from quarry.runtime import delete_on_exit, scratch_root
+from quarry.sources.files import LayeredStore, json_fields, upsert_records, vector_record
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -651,9 +653,11 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     both = cells.select("doc_id", F.inline(F.array(element("rect", x, y, 50.0, 20.0, None, None), element("char", x + 20, y + 6, 5.0, 8.0, F.col("v"), 10.0))))
     heads = lines.select(F.col("l_orderkey").alias("doc_id")).distinct()
-    marks = (("Order ", 60, 95), ("Lines in table form", 70, 80), ("far above", 60, 20), ("left of it", -20, 99))
+    marks = (("Order ", 60, 95), ("Lines in table form", 70, 80), ("far above", 60, 20), ("left of it", -20, 99), ("(Unit: pieces) ", -30, 90))
+    foot = lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count("*").alias("n")).where("doc_id % 3 <> 0")
+    foot = foot.select("doc_id", F.inline(F.array(element("char", F.lit(10), 125 + F.col("n") * 20, 5.0, 8.0, F.concat(F.lit("Note on "), F.col("doc_id").cast("string")), 9.0))))
     heads = heads.select("doc_id", F.inline(F.array(*(element("char", F.lit(x), F.lit(y), 5.0, 8.0, F.concat(F.lit(t), F.col("doc_id").cast("string")), 12.0 + k) for k, (t, x, y) in enumerate(marks)))))
-    return both.union(heads)
+    return both.union(heads).union(foot)
 
 
 _SQL_CELLS = """WITH g AS (SELECT l_orderkey, l_linenumber, [printf('%.1f', MIN(l_quantity)), CAST(MIN(l_discount) AS VARCHAR), CAST(MIN(l_tax) AS VARCHAR), MIN(l_returnflag)] AS v FROM lineitem GROUP BY ALL),
@@ -683,17 +687,37 @@ def table_markdown(spark, sf_dir):
 FROM (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(l, '[^ \t]')"""
 )
 def line_rebuild(spark, sf_dir):
+    return layout.rebuild_lines(_words(spark, sf_dir)).select("doc_id", "line", "text")
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word of a document as a character of a page, a little off its line."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("l", "line"))
     words = lines.select("doc_id", "l", F.posexplode(F.filter(F.split("line", r"[ \t]+"), lambda w: w != "")).alias("w", "text"))
-    chars = words.select("doc_id", F.lit(1).alias("page"), (F.col("w") * 6.0).alias("x"), (F.col("l") * 12.0 + (F.col("w") % 4) * 0.5).alias("y"), "text", F.lit(10.0).alias("font_size"))
-    return layout.rebuild_lines(chars).select("doc_id", "line", "text")
+    return words.select("doc_id", F.lit(1).alias("page"), (F.col("w") * 6.0).alias("x"), (F.col("l") * 12.0 + (F.col("w") % 4) * 0.5).alias("y"), "text", F.lit(10.0).alias("font_size"))
+
 
+@query(
+    r"""WITH l AS (SELECT doc_id, i, array_to_string(list_filter(string_split_regex(l, '[ \t]+'), lambda w: w <> ''), '') AS t, i - ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY i) AS island
+FROM (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(l, '[^ \t]'))
+SELECT doc_id, DENSE_RANK() OVER (PARTITION BY doc_id ORDER BY island) AS paragraph, string_agg(t, ' ' ORDER BY i) AS text FROM l GROUP BY doc_id, island"""
+)
+def paragraph_rebuild(spark, sf_dir):
+    return layout.paragraphs(layout.rebuild_lines(_words(spark, sf_dir))).select("doc_id", "paragraph", "text")
 
-@query(_SQL_CELLS + """ SELECT doc_id, 1::BIGINT AS "table", 'Order ' || doc_id AS title FROM m GROUP BY ALL""")
+
+@query(
+    _SQL_CELLS + """ SELECT doc_id, 1::BIGINT AS "table", 'Order ' || doc_id AS title, '(Unit: pieces) ' || doc_id AS unit, CASE WHEN doc_id % 3 <> 0 THEN 'Note on ' || doc_id END AS note
+FROM m GROUP BY ALL"""
+)
 def title_match(spark, sf_dir):
+    """Tables with their titles, units and notes."""
     chars, rects = layout.split_kinds(_elements(spark, sf_dir))
-    tables = layout.table_cells(rects).groupBy("doc_id", "page", "table").agg(F.min("x").alias("x"), F.min("y").alias("y"))
-    return layout.match_titles(layout.rebuild_lines(chars), tables).select("doc_id", "table", "title")
+    lines = layout.rebuild_lines(chars)
+    edges = F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("y") + F.col("height")).alias("bottom")
+    tables = layout.table_cells(rects).groupBy("doc_id", "page", "table").agg(*edges)
+    named = layout.match_notes(lines, layout.match_units(lines, layout.match_titles(lines, tables)))
+    return named.select("doc_id", "table", "title", "unit", "note")
 
 
 # ---- collected files --------------------------------------------------------------------------------------------------
@@ -727,4 +751,42 @@ def normal_prices(spark, sf_dir):
     return mart.with_normal(current, loaded, ["o_orderpriority", "month"]).select("o_orderkey", "price", "normal_price")
 
 
+@query(
+    """SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id % 3 = 0 THEN 2030 ELSE 2020 + vec_id % 5 END::INTEGER AS year, 'label ' || label AS item,
+  printf('%04d-%02d label %d', CASE WHEN vec_id % 3 = 0 THEN 2030 ELSE 2020 + vec_id % 5 END, 1 + vec_id % 12, label) AS document, len(embedding)::INTEGER AS size
+FROM embeddings WHERE vec_id % 3 = 0 OR vec_id % 5 >= 2"""
+)
+def vector_store(spark, sf_dir):
+    """Records of a vector store, a third of them replaced by newer ones that came twice, restricted by their metadata."""
+    vectors = table(spark, sf_dir, "embeddings")
+
+    def records(year):
+        month, item = 1 + F.col("vec_id") % 12, F.concat(F.lit("label "), F.col("label").cast("string"))
+        name = retrieve.document_name(year.cast("int"), month.cast("int"), item)
+        return vector_record(F.col("vec_id"), F.col("embedding"), year, month, item, name)
+
+    newer = vectors.where("vec_id % 3 = 0").select(*records(F.lit(2030)))
+    stored = upsert_records(vectors.select(*records(2020 + F.col("vec_id") % 5)), newer.union(newer))
+    found = stored.where("metadata.year >= 2022")
+    return found.select("id", "metadata.year", "metadata.item", "document", F.size("vector").alias("size"))
+
+
+@query(
+    """SELECT o_orderstatus AS status, COUNT(*) AS rows, SUM(CAST(ROUND(o_totalprice * 100) AS BIGINT) * CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END)::BIGINT AS cents
+FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1 UNION ALL SELECT 'raw', COUNT(*), NULL FROM orders"""
+)
+def layered_store(spark, sf_dir):
+    """A raw table that grew by two loads, and a pivot table of which a correction replaced one partition."""
+    store = LayeredStore(spark, f"{scratch_root(spark)}/store-{uuid.uuid4().hex}")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    for load in (orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 2 = 1")):
+        store.write(load, "raw", "orders")
+    delete_on_exit(spark, store.root)
+    raw = store.read("raw", "orders")
+    store.write(raw.where("status <> 'P'"), "pivot", "orders", ["status"])
+    store.write(raw.where("status = 'F'").withColumn("cents", F.col("cents") * 2), "pivot", "orders", ["status"])
+    pivot = store.read("pivot", "orders").groupBy("status").agg(F.count("*").alias("rows"), F.sum("cents").alias("cents"))
+    return pivot.union(raw.agg(F.lit("raw").alias("status"), F.count("*").alias("rows"), F.lit(None).cast("long").alias("cents")))
+
+
 flagship = consistency_check

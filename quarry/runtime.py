@@ -50,6 +50,12 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{_own_scratch[0]}"
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the files of an existing path deleted when the driver's JVM ends."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -59,8 +65,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quarry-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -80,9 +80,10 @@ class LayeredStore:
 
 
 def upsert_records(old: DataFrame | None, new: DataFrame, key: str = "id") -> DataFrame:
-    """Records of both, the new one where both have the key; of several new ones of a key, an arbitrary single one."""
-    latest = new.dropDuplicates([key])
-    return latest if old is None else old.join(latest.select(key), key, "left_anti").unionByName(latest)
+    """Records of both, the new one where both have the key; of several new ones of a key, the one with the least hash of its fields."""
+    fields = [F.col(f"`{c}`") for c in new.columns]
+    latest = new.groupBy(F.col(f"`{key}`")).agg(F.min_by(F.struct(*fields), F.xxhash64(*fields)).alias("__record")).select("__record.*")
+    return latest if old is None else old.join(latest.select(F.col(f"`{key}`")), key, "left_anti").unionByName(latest)
 
 
 def vector_record(doc_id: Column, vector: Column, year: Column, month: Column, item: Column, document: Column) -> list[Column]:
