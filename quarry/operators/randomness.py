@@ -8,7 +8,8 @@ sums over a sequence come from block totals, so that one long sequence does not
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,9 +155,29 @@ def longest_run(bits: DataFrame, m: int = 8) -> DataFrame:
     return counted.select("seq_id", "blocks", *(f"v{k}" for k in range(len(shares))), chi2.alias("chi2"))
 
 
-def longest_run_test(bits: DataFrame, m: int = 8) -> DataFrame:
-    classes = next(len(p) for size, _, _, p in LONGEST_RUN.values() if size == m)
-    return verdict(longest_run(bits, m), igamc_column(F.lit((classes - 1) / 2), F.col("chi2") / 2))
+def by_length(bits: DataFrame, choose: Callable[[Column], Column], run: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """The union of ``run(bits, parameter)`` over the sequences that ``choose`` gives each parameter by their length; null ones go.
+
+    Parameters are few, so that finding out which of them occur costs the driver a few numbers.
+    """
+    sizes = bits.groupBy("seq_id").agg(choose(F.count("*")).alias("parameter")).where("parameter is not null")
+    found = sorted(r[0] for r in sizes.select("parameter").distinct().collect())
+    parts = [run(bits.join(broadcast_if_small(sizes.where(F.col("parameter") == p).select("seq_id")), "seq_id", "left_semi"), p) for p in found]
+    return reduce(DataFrame.union, parts) if parts else run(bits.limit(0), 8)
+
+
+def longest_run_test(bits: DataFrame, m: int | None = None) -> DataFrame:
+    """(seq_id, blocks, m, chi2, p_value, passed); the block length follows from each sequence's length unless it is given."""
+
+    def run(some: DataFrame, m: int) -> DataFrame:
+        classes = next(len(p) for size, _, _, p in LONGEST_RUN.values() if size == m)
+        found = longest_run(some, m).select("seq_id", "blocks", F.lit(m).alias("m"), "chi2")
+        return verdict(found, igamc_column(F.lit((classes - 1) / 2), F.col("chi2") / 2))
+
+    def choose(n: Column) -> Column:
+        return reduce(lambda rest, least: F.when(n >= least, LONGEST_RUN[least][0]).otherwise(rest), LONGEST_RUN, F.lit(8))
+
+    return run(bits, m) if m else by_length(bits, choose, run)
 
 
 def _rank(rows: list[int]) -> int:
@@ -406,10 +427,18 @@ def universal(bits: DataFrame, width: int = 6, initial: int | None = None) -> Da
     return sums.withColumn("fn", F.col("total") / F.col("k"))
 
 
-def universal_test(bits: DataFrame, width: int = 6, initial: int | None = None) -> DataFrame:
-    expected, variance = UNIVERSAL[width]
-    c = 0.7 - 0.8 / width + (4 + 32 / width) * F.pow(F.col("k").cast("double"), F.lit(-3 / width)) / 15
-    return verdict(universal(bits, width, initial), erfc(F.abs(F.col("fn") - expected) / (math.sqrt(2) * c * F.sqrt(F.lit(variance) / F.col("k")))))
+def universal_test(bits: DataFrame, width: int | None = None, initial: int | None = None) -> DataFrame:
+    """The verdict on :func:`universal`. Unless given, the width is the largest L for which a sequence has 1010 * 2^L words, 2 at least."""
+
+    def run(some: DataFrame, width: int) -> DataFrame:
+        expected, variance = UNIVERSAL[width]
+        c = 0.7 - 0.8 / width + (4 + 32 / width) * F.pow(F.col("k").cast("double"), F.lit(-3 / width)) / 15
+        return verdict(universal(some, width, initial), erfc(F.abs(F.col("fn") - expected) / (math.sqrt(2) * c * F.sqrt(F.lit(variance) / F.col("k")))))
+
+    def choose(n: Column) -> Column:
+        return reduce(lambda rest, size: F.when(n >= 1010 * 2**size * size, size).otherwise(rest), UNIVERSAL, F.lit(2))
+
+    return run(bits, width) if width else by_length(bits, choose, run)
 
 
 def approximate_entropy(bits: DataFrame, m: int = 3) -> DataFrame:

@@ -556,7 +556,7 @@ def bit_verdicts(spark, sf_dir):
         "spectral": randomness.spectral_test(bits),
         "non_overlapping": randomness.non_overlapping_test(bits),
         "overlapping": randomness.overlapping_test(bits),
-        "universal": randomness.universal_test(bits, 4),
+        "universal": randomness.universal_test(bits),
         "approximate_entropy": randomness.approximate_entropy_test(bits),
         "excursions": randomness.excursions_test(bits),
         "excursions_variant": randomness.excursions_variant_test(bits),

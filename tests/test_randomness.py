@@ -75,6 +75,21 @@ def test_non_overlapping_blocks_of_each_length(spark):
         assert rows[k]["chi2"] == pytest.approx(sum((h - (m - 2) / 8) ** 2 for h in hits) / (m * (1 / 8 - 5 / 64)))
 
 
+def test_parameters_follow_from_length(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("01") for _ in range(n)) for n in (200, 6271, 6272, 9000)]
+    df = bits(spark, *texts)
+    runs = {r["seq_id"]: r for r in R.longest_run_test(df).collect()}
+    assert [runs[k]["m"] for k in range(4)] == [8, 8, 128, 128] and [runs[k]["blocks"] for k in range(4)] == [25, 783, 49, 70]
+    for k in range(4):
+        alone = R.longest_run_test(bits(spark, texts[k]), runs[k]["m"]).first()
+        assert runs[k]["p_value"] == pytest.approx(alone["p_value"])
+    widths = {}
+    R.by_length(df, lambda n: F.when(n >= 1010 * 8 * 3, 3).when(n >= 8080, 2), lambda some, p: widths.setdefault(p, some.select("seq_id").distinct())).collect()
+    assert {p: [r[0] for r in found.collect()] for p, found in widths.items()} == {2: [3]}
+    assert R.universal_test(df).count() == 4 and R.longest_run_test(df.limit(0)).count() == 0
+
+
 def test_all_templates_in_blocks(spark):
     rng = random.Random(9)
     text = "".join(rng.choice("01") for _ in range(5000))
