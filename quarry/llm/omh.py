@@ -17,6 +17,7 @@ A text of up to ``k`` words is one k-mer, and a word replaced in the middle of f
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -358,12 +359,18 @@ class _Classes:
         active = self.mixed(members).select("key", "node", "component")
         sizes = active.groupBy("key", "component").agg(F.count("*").alias("n"))
         largest = materialize(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest")), "largest")
-        full = materialize(active.join(broadcast_if_small(largest), "key").join(broadcast_if_small(self.nodes, 10_000), "node"), "full")
-        a, b = full.where("component <> largest").alias("a"), full.alias("b")
-        # nodes outside of the largest class on both sides meet once
-        once = (F.col("b.component") == F.col("b.largest")) | (F.col("a.node") > F.col("b.node"))
-        other = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component"))
-        self.link(a.join(b, other & once & _possible("a", "b", self.threshold)).select(*_pairs(F.col("a.node"), F.col("b.node"))).distinct(), bounded=True)
+        full = active.join(broadcast_if_small(largest), "key").join(broadcast_if_small(self.nodes, 10_000), "node")
+        # texts whose lengths allow the similarity are in the same bin or in neighbouring ones
+        width = math.log(1 / self.threshold) * (1 + 1e-6)
+        full = materialize(full.withColumn("bin", F.floor(F.log("words") / width)), "full")
+        few = full.where("component <> largest")
+        a = reduce(DataFrame.union, (few.withColumns({"step": F.lit(k), "wanted": F.col("bin") + k}) for k in (-1, 0, 1))).alias("a")
+        b = full.alias("b")
+        same = (F.col("a.key") == F.col("b.key")) & (F.col("a.wanted") == F.col("b.bin")) & (F.col("a.component") != F.col("b.component"))
+        # nodes outside of the largest class on both sides meet once: those of neighbouring bins on the way up
+        many = F.col("b.component") == F.col("b.largest")
+        once = many | (F.col("a.step") == 1) | ((F.col("a.step") == 0) & (F.col("a.node") > F.col("b.node")))
+        self.link(a.join(b, same & once & _possible("a", "b", self.threshold)).select(*_pairs(F.col("a.node"), F.col("b.node"))).distinct(), bounded=True)
         discard(active, full)
 
 

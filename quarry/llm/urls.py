@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.components import connected_components
-from quarry.runtime import broadcast_if_small, materialize
+from quarry.runtime import BROADCAST_ROWS, broadcast_if_small, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,30 +32,30 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rules_table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
-    """(host, path, action), once each, of a list of rules or of a table with these columns."""
-    if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame([(r.host, r.path, r.action) for r in rules], "host string, path string, action string")
-    return rules.select("host", "path", "action").where("host is not null and path is not null").distinct()
-
-
-def matching_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
+def matching_rules(places: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFrame:
     """(host, path, rule, action) of those (host, path) that a rule fits: the longest one, block before allow for the same rule.
 
     Rules may be as many as URLs: a host's suffixes meet the lengths of the paths that rules have for them, and host and prefix
-    then meet the rule itself, so both joins are by equality and no URL meets all rules of its host.
+    then meet the rule itself, so both joins are by equality and no URL meets all rules of its host. Null rules are passed over.
     """
-    rules = materialize(rules, "rules")
+    if isinstance(rules, DataFrame):
+        named = rules.select("host", "path", "action").where("host is not null and path is not null").distinct()
+        rules, small = materialize(named, "rules"), broadcast_if_small
+        most = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
+    else:
+        rows = list(dict.fromkeys((r.host, r.path, r.action) for r in rules))
+        small = F.broadcast if len(rows) <= BROADCAST_ROWS else broadcast_if_small
+        most = max((r[0].count(".") + 1 for r in rows), default=1)
+        rules = places.sparkSession.createDataFrame(rows, "host string, path string, action string")
     parts = F.split("host", r"\.")
-    most = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
     # no more suffixes than the longest rule has parts, however long a URL's host is
     first = F.greatest(F.lit(1), F.size(parts) - most + 1)
     suffixes = F.transform(F.sequence(first, F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
     lengths = rules.select(F.col("host").alias("suffix"), F.length("path").alias("n")).distinct()
     near = places.select("host", "path").distinct().withColumn("suffix", F.explode(suffixes))
-    near = near.join(broadcast_if_small(lengths), "suffix").where("length(path) >= n").withColumn("prefix", F.expr("substring(path, 1, n)"))
+    near = near.join(small(lengths), "suffix").where("length(path) >= n").withColumn("prefix", F.expr("substring(path, 1, n)"))
     named = rules.select(F.col("host").alias("suffix"), F.col("path").alias("prefix"), "action").withColumn("rule", F.concat("suffix", "prefix"))
-    hits = near.join(broadcast_if_small(named), ["suffix", "prefix"])
+    hits = near.join(small(named), ["suffix", "prefix"])
     order = F.struct((-F.length("rule")).alias("n"), F.col("rule").alias("r"), (F.col("action") != "block").alias("b"))
     best = hits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "action"), order).alias("best"))
     return materialize(best.select("host", "path", "best.rule", "best.action"), "matched")
@@ -161,7 +161,6 @@ def judge_urls(
     rows are judged alike, hosts and paths may be of any length; input columns named like the added ones are replaced. No rows
     give no rows.
     """
-    rules = rules_table(pages.sparkSession, rules)
     edges = alias_edges(pages, url_col, html_col)
     if redirects is not None:
         known = redirects.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst"))
@@ -170,18 +169,21 @@ def judge_urls(
     placed = components.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))})
     own = pages.select(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     matched = matching_rules(own.union(placed.select("host", "path")), rules)
-    votes = placed.join(broadcast_if_small(matched), ["host", "path"]).groupBy("component").agg(
-        F.max((F.col("action") == "block").cast("int")).alias("blocked"), F.max((F.col("action") == "allow").cast("int")).alias("allowed")
-    )
-    decided = materialize(votes.where("blocked = 1 and allowed = 0").select("component"), "decided")
-    blocked = components.join(broadcast_if_small(decided), "component").select(F.col("node").alias("__node"), F.lit(True).alias("__blocked"))
-    blocked = materialize(blocked, "blocked")
-    # URLs without a node must not meet at a null key: theirs is a number, which no node is
-    spread = F.monotonically_increasing_id().cast("string")
-    judged = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col)), "__node": F.coalesce(node_of(F.col(url_col)), spread)})
+    judged = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     fits = matched.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("rule").alias("__rule"), F.col("action").alias("__action"))
     judged = judged.join(broadcast_if_small(fits), (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
-    judged = judged.join(broadcast_if_small(blocked), "__node", "left")
+    if components.isEmpty():
+        judged = judged.withColumn("__blocked", F.lit(False))
+    else:
+        votes = placed.join(broadcast_if_small(matched), ["host", "path"]).groupBy("component").agg(
+            F.max((F.col("action") == "block").cast("int")).alias("blocked"), F.max((F.col("action") == "allow").cast("int")).alias("allowed")
+        )
+        decided = materialize(votes.where("blocked = 1 and allowed = 0").select("component"), "decided")
+        blocked = components.join(broadcast_if_small(decided), "component").select(F.col("node").alias("__node"), F.lit(True).alias("__blocked"))
+        # URLs without a node must not meet at a null key: theirs is a number, which no node is
+        spread = F.monotonically_increasing_id().cast("string")
+        judged = judged.withColumn("__node", F.coalesce(node_of(F.col(url_col)), spread))
+        judged = judged.join(broadcast_if_small(materialize(blocked, "blocked")), "__node", "left")
     alias = F.when(F.col("__blocked"), F.lit("block")).otherwise(F.lit(default))
     judged = judged.withColumns({"rule": F.col("__rule"), "verdict": F.coalesce("__action", alias)})
     return judged.drop("__node", "__host", "__path", "__rule", "__action", "__blocked")
