@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from quarry.runtime import broadcast_if_small, discard, materialize
 
 WIDTH = 64
-#: Codes that the first lookups of a query meet, as a multiple of those it wants.
-FIRST = 10
+#: A round of more masks than this, and than there are codes, costs more than comparing all codes: the queries that are left meet every code.
+MOST_MASKS = 200_000
+#: Queries that meet every code at once.
+SCAN_QUERIES = 10_000
 
 
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -58,18 +60,34 @@ def _masks(df: DataFrame, cuts: list[tuple[int, int]], low: int, high: int) -> D
     return df.sparkSession.createDataFrame(rows, "part int, mask long")
 
 
+def _first(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query; row_number with a bound leaves k of them in every task."""
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "distance", "id")
+
+
+def _all_compared(active: DataFrame, codes: DataFrame) -> DataFrame:
+    """(query, distance, id) of all codes within the worst distance of a query, for blocks of queries of a bounded size."""
+    blocks = -(-active.count() // SCAN_QUERIES)
+    distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
+    block = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    parts = [codes.join(F.broadcast(active.where(block == b)), distance <= F.col("worst")) for b in range(blocks)]
+    return reduce(DataFrame.union, parts).select("query", distance.alias("distance"), F.explode("ids").alias("id"))
+
+
 def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10, parts: int | None = None, first_radius: int | None = None) -> DataFrame:
     """(query_id, rank, neighbor_id, distance): the k nearest codes of each query by Hamming distance, ties by id.
 
     ``codes`` and ``queries`` are (id, code). A row is no neighbour of its own id; equal codes of other ids are, at distance 0. Of
     repeated ids one row counts, that with the least code. Null ids and codes are passed over. A query with fewer than k others gets fewer
-    rows. ``parts`` and the radius to begin with follow from the number of codes unless they are given. No queries or codes
+    rows. ``parts`` and the radius to begin with, at which as many codes are to be expected as are wanted, follow from the number of codes unless
+    they are given. No queries or codes
     give no rows.
     """
     codes = materialize(codes.where("id is not null and code is not null").groupBy("id").agg(F.min("code").alias("code")), "codes")
     queries = materialize(queries.where("id is not null and code is not null").groupBy("id").agg(F.min("code").alias("code")), "queries")
     total = codes.count()
-    parts = parts or max(2, min(8, round(WIDTH / max(8.0, math.log2(total + 1)))))
+    parts = parts or max(2, math.ceil(WIDTH / math.log2(total + 16)))
     cuts = substring_bits(parts)
     # a code's first ids: row_number with a bound keeps k + 1 rows of each code in every task
     order = Window.partitionBy("code").orderBy("id")
@@ -84,15 +102,19 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10, parts: int
         met = 0.0
         for radius in range(max(bits for _, bits in cuts) + 1):
             met += sum(math.comb(bits, radius) * total / 2**bits for _, bits in cuts)
-            if met >= FIRST * k:
+            if met >= wanted:
                 break
-    best = None
-    low = 0
-    while total and active.limit(1).count():
+    best, low = None, 0
+    lookup = broadcast_if_small(index)
+    while total and not active.isEmpty():
+        if sum(math.comb(bits, r) for _, bits in cuts for r in range(low, radius + 1)) > max(MOST_MASKS, total):
+            kept = materialize(_first(_all_compared(active, index.where("part = 0")), k + 1), "best")
+            best = kept if best is None else materialize(best.join(active, "query", "left_anti").union(kept), "best")
+            break
         values = active.select("query", "worst", _substrings(F.col("query"), cuts))
         probes = values.join(F.broadcast(_masks(active, cuts, low, radius)), "part")
         probes = probes.select("query", "worst", "part", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-        hits = probes.join(broadcast_if_small(index), ["part", "value"])
+        hits = probes.join(lookup, ["part", "value"])
         differ = F.col("query").bitwiseXOR(F.col("code"))
         near = [F.bit_count(_part(differ, *cut)) for cut in cuts]
         # the first of the nearest substrings finds the code
@@ -102,15 +124,14 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10, parts: int
         found = hits.where((F.col("part") == first) & (distance <= F.col("worst"))).select("query", distance.alias("distance"), F.explode("ids").alias("id"))
         if best is not None:
             found = found.union(best)
-        rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
-        kept = materialize(found.withColumn("rank", rank).where(F.col("rank") <= k + 1).select("query", "distance", "id"), "best")
+        kept = materialize(_first(found, k + 1), "best")
         discard(best)
         best = kept
         covered = parts * (radius + 1) - 1
         state = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("last"))
         settled = (F.col("n") >= wanted) & ((F.col("last") <= covered) | F.lit(total <= k + 1))
         done = state.select("query", F.when(F.col("n") >= wanted, F.col("last")).otherwise(WIDTH).alias("worst"), settled.alias("settled"))
-        left = active.select("query").join(broadcast_if_small(done), "query", "left").where("not coalesce(settled, false)")
+        left = active.select("query").join(done, "query", "left").where("not coalesce(settled, false)")
         after = materialize(left.select("query", F.coalesce("worst", F.lit(WIDTH)).alias("worst")), "active")
         discard(active)
         active, low, radius = after, radius + 1, radius + 1

@@ -340,26 +340,34 @@ class _Classes:
         self.components = materialize(connected_components(edges), "classes")
         discard(tested, old)
 
-    def mixed(self, members: DataFrame) -> DataFrame:
-        """(key, node, component, low, high): ``members`` (key, node) of buckets of several classes, with nodes of two of these."""
-        member = F.struct("component", "node")
-        now = materialize(self.named(members), "named")
-        several = now.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low.component < high.component")
-        return materialize(now.join(broadcast_if_small(materialize(several, "several")), "key"), "mixed")
+    def mixed(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``members`` (key, node) with their class, and (key, largest, leader, dominated) of the buckets of several classes.
 
-    def lead(self, members: DataFrame) -> None:
-        """Compare each node of a bucket of several classes with a node of the first or, being of that class, of the last one."""
-        active = self.mixed(members)
-        other = F.when(F.col("component") == F.col("low.component"), F.col("high.node")).otherwise(F.col("low.node"))
-        self.link(active.select(*_pairs(F.col("node"), other)).distinct())
-        discard(active)
+        ``leader`` is a node of the largest class, which dominates a bucket if it holds half of its nodes.
+        """
+        now = materialize(self.named(members), "named")
+        sizes = now.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("node").alias("leader"))
+        several = sizes.groupBy("key").agg(F.max(F.struct("n", "component", "leader")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("classes"))
+        several = several.where("classes > 1").select(
+            "key", F.col("top.component").alias("largest"), F.col("top.leader").alias("leader"), (F.col("top.n") * 2 >= F.col("all")).alias("dominated")
+        )
+        return now, materialize(several, "several")
+
+    def lead(self, members: DataFrame, everywhere: bool = True) -> None:
+        """Compare the nodes outside of a bucket's largest class with a node of it; if not ``everywhere``, in dominated buckets alone."""
+        now, several = self.mixed(members)
+        led = several if everywhere else several.where("dominated")
+        if not led.isEmpty():
+            outside = now.join(broadcast_if_small(led), "key").where("component <> largest")
+            self.link(outside.select(*_pairs(F.col("node"), F.col("leader"))).distinct())
+        discard(now, several)
 
     def exhaust(self, members: DataFrame) -> None:
         """Compare the nodes outside of a bucket's largest class with all nodes of other classes in it."""
-        active = self.mixed(members).select("key", "node", "component")
-        sizes = active.groupBy("key", "component").agg(F.count("*").alias("n"))
-        largest = materialize(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest")), "largest")
-        full = active.join(broadcast_if_small(largest), "key").join(broadcast_if_small(self.nodes, 10_000), "node")
+        now, several = self.mixed(members)
+        if several.isEmpty():
+            return
+        full = now.join(broadcast_if_small(several.select("key", "largest")), "key").join(broadcast_if_small(self.nodes, 10_000), "node")
         # texts whose lengths allow the similarity are in the same bin or in neighbouring ones
         width = math.log(1 / self.threshold) * (1 + 1e-6)
         full = materialize(full.withColumn("bin", F.floor(F.log("words") / width)), "full")
@@ -371,7 +379,7 @@ class _Classes:
         many = F.col("b.component") == F.col("b.largest")
         once = many | (F.col("a.step") == 1) | ((F.col("a.step") == 0) & (F.col("a.node") > F.col("b.node")))
         self.link(a.join(b, same & once & _possible("a", "b", self.threshold)).select(*_pairs(F.col("a.node"), F.col("b.node"))).distinct(), bounded=True)
-        discard(active, full)
+        discard(now, several, full)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, picks: int, k: int) -> tuple[DataFrame, DataFrame]:
@@ -402,7 +410,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
     if bands > FIRST_BANDS:
         classes.lead(members.where(F.col("band") < FIRST_BANDS).select("key", "node"))
     members = members.select("key", "node")
-    classes.lead(members)
+    classes.lead(members, everywhere=False)
     classes.exhaust(members)
     slim = nodes.select("node", "fp", "first", "copies").join(broadcast_if_small(classes.components), "node", "left")
     linked = materialize(slim.where("component is not null or copies > 1").withColumn("component", F.coalesce("component", "node")), "linked")

@@ -371,8 +371,11 @@ def brute_top(codes, asked, k):
     return out
 
 
-@pytest.mark.parametrize("parts,radius", [(None, None), (3, 6), (8, 0)])
-def test_top_k_is_exact(spark, parts, radius):
+@pytest.mark.parametrize("parts,radius,masks", [(None, None, None), (3, 6, None), (8, 0, None), (8, 0, 50), (4, 0, 0)])
+def test_top_k_is_exact(spark, monkeypatch, parts, radius, masks):
+    if masks is not None:  # hard queries meet every code, from the first or a later round on, in several blocks
+        monkeypatch.setattr(hamming, "MOST_MASKS", masks)
+        monkeypatch.setattr(hamming, "SCAN_QUERIES", 7)
     rng = random.Random(10)
     centres = [rng.getrandbits(64) for _ in range(5)]
     codes = {k: rng.choice(centres) ^ (1 << rng.randrange(64)) ^ (rng.getrandbits(64) if k % 3 == 0 else 0) for k in range(300)}
