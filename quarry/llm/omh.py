@@ -37,7 +37,7 @@ PICKS = 2
 SIMILARITY = 0.8
 #: Bands whose buckets give each node its first leaders; most copies find their class by these.
 FIRST_BANDS = 8
-#: Bits of a text's signature, a parity for each hash of an occurrence-labelled word.
+#: Bits of each half of a text's signature, parities by hash of occurrence-labelled words and pairs of words.
 BITS = 2048
 
 SLICE_ROWS = 256
@@ -244,13 +244,15 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, picks: in
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """Bit b tells whether the number of occurrence-labelled words whose hash falls on b is odd.
+    """Bit b tells whether the number of occurrence-labelled words whose hash falls on b is odd; after these, the same of pairs of neighbours.
 
     An added or deleted word adds or takes one labelled word, so it changes a single bit, and a replaced one two at most. So texts of
-    m and n words whose signatures differ in d bits are at least (d + abs(m - n)) / 2 edits apart.
+    m and n words whose bits of words differ in d places are at least (d + abs(m - n)) / 2 edits apart. An edit takes two pairs away and
+    adds two at most, so those whose bits of pairs differ in d places are at least d / 4 apart; this sees the order of words.
     """
-    odd = np.bincount((labelled_kmers(hashes, 1) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    pairs = labelled_kmers(hashes, 2) if len(hashes) > 1 else hashes[:0]
+    odd = [np.bincount((grams % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 for grams in (labelled_kmers(hashes, 1), pairs)]
+    return np.packbits(np.concatenate(odd).astype(np.uint8)).view(np.int64)
 
 
 def _signatures(texts: DataFrame) -> DataFrame:
@@ -276,8 +278,10 @@ def _possible(a: str, b: str, threshold: float) -> Column:
         return reduce(Column.__add__, (F.bit_count(F.col(f"{a}.signature")[j].bitwiseXOR(F.col(f"{b}.signature")[j])) for j in parts))
 
     apart = F.abs(words_a - words_b)
+    n = BITS // 64
     # a quarter of the bits rules out most pairs
-    return (apart <= most) & (differ(range(BITS // 256)) + apart <= 2 * most) & (differ(range(BITS // 64)) + apart <= 2 * most)
+    few = (apart <= most) & (differ(range(n // 4)) + apart <= 2 * most)
+    return few & (differ(range(n)) + apart <= 2 * most) & (differ(range(n, 2 * n)) <= 4 * most)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:

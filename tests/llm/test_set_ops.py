@@ -204,8 +204,9 @@ def test_signatures_bound_distances_from_below():
             k = rng.randrange(len(b) + 1)
             b[k : k + rng.randint(0, 1)] = [rng.randint(0, 60)] * rng.randint(0, 1)
         x, y = (omh.signature(omh.hashes_of([str(w) for w in words])) for words in (a, b))
-        differ = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
-        assert (differ + abs(len(a) - len(b))) / 2 <= omh.within_distance(a, b, 200)
+        words, pairs = np.bitwise_count((x ^ y).view(np.uint64)).reshape(2, -1).sum(axis=1).tolist()
+        distance = omh.within_distance(a, b, 200)
+        assert (words + abs(len(a) - len(b))) / 2 <= distance and pairs / 4 <= distance
 
 
 def test_near_odd_rows(spark):
