@@ -82,4 +82,38 @@ r AS (SELECT query_id, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY di
 SELECT * FROM r WHERE rank <= 10
 """
 
-ORACLES = {"op2_urls": OP2.strip(), "op4_mix": OP4.strip(), "op8_exact": OP8.strip(), "op9_top_k": OP9.strip()}
+def _op13(clusters: int = 16, rounds: int = 3) -> str:
+    """Plain rounds: every vector meets every centroid."""
+    assign = """
+a{r} AS MATERIALIZED (
+  SELECT vec_id, n, v, arg_min(c, d * 1000 + c)::INTEGER AS c, MIN(d)::BIGINT AS d FROM (
+    SELECT x.vec_id, x.n, x.v, y.c, list_sum(list_transform(list_zip(x.v, y.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM x, c{r} y
+  ) GROUP BY ALL
+)"""
+    move = """
+s{r} AS (SELECT c, i, SUM(e)::BIGINT AS s, COUNT(*)::BIGINT AS k FROM (SELECT c, unnest(v) AS e, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY 1, 2),
+m{r} AS (SELECT c, list(s // k - CASE WHEN s % k < 0 THEN 1 ELSE 0 END ORDER BY i) AS v FROM s{r} GROUP BY 1),
+c{n} AS MATERIALIZED (SELECT c{r}.c, COALESCE(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} ON m{r}.c = c{r}.c)"""
+    steps = [
+        """
+x AS MATERIALIZED (
+  SELECT vec_id, ROW_NUMBER() OVER () AS n, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+)""",
+        f"""
+c0 AS MATERIALIZED (
+  SELECT (ROW_NUMBER() OVER (ORDER BY k, v) - 1)::INTEGER AS c, v FROM (SELECT sha256('1:' || vec_id) AS k, v FROM x WHERE vec_id IS NOT NULL ORDER BY k, v LIMIT {clusters})
+)""",
+    ]
+    for r in range(rounds):
+        steps += [assign.format(r=r), move.format(r=r, n=r + 1)]
+    steps.append(assign.format(r=rounds))
+    return f"""
+WITH {",".join(steps)},
+h AS (SELECT c, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM c{rounds})
+SELECT vec_id, c AS cluster, d AS distance, (SUM(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (SUM(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN h USING (c)
+"""
+
+
+ORACLES = {"op2_urls": OP2.strip(), "op4_mix": OP4.strip(), "op8_exact": OP8.strip(), "op9_top_k": OP9.strip(), "op13_clusters": _op13().strip()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import binpack, exact, hamming, mixing, omh, packing, quality, secrets, sharding, urls
+from quarry.llm import binpack, clusters, exact, hamming, mixing, omh, packing, quality, secrets, sharding, urls
 from quarry.llm.oracles import ORACLES as ORACLES
 from quarry.llm.text import word_count
 from quarry.runtime import materialize
@@ -96,6 +96,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack, op2_urls, op3_near_dups, op4_mix, op5_binary, op6_quality, op7_shards, op8_exact, op9_top_k, op10_secrets)
+    f.__name__: f for f in (op1_pack, op2_urls, op3_near_dups, op4_mix, op5_binary, op6_quality, op7_shards, op8_exact, op9_top_k, op10_secrets, op13_clusters)
 }
