@@ -33,6 +33,19 @@ def range_partitioned(df: DataFrame, order: Sequence[Column], by: Sequence[str]
         return materialize(salted.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "ranged")
 
 
+def range_sorted(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), partitions: int | None = None, out: str = "place") -> DataFrame:
+    """``df`` with ``out``, a long that rises through each ``by`` group in ``order``: the number of a range times 2^33 plus the row's place in it.
+
+    Ranges are those of :func:`range_partitioned`; the rows of a range are written sorted and numbered, so places are final and a group's rows in
+    a range have consecutive ones.
+    """
+    salted = df.withColumns({"__tie": F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), "__salt": F.rand(11)})
+    keys = [F.col(c).asc_nulls_last() for c in by] + list(order) + [F.col("__tie"), F.col("__salt")]
+    with conf_set(df.sparkSession, "spark.sql.execution.rangeExchange.sampleSizePerPartition", str(SAMPLE)):
+        ranged = salted.repartitionByRange(partitions or partition_count(df), *keys).sortWithinPartitions(*keys).drop("__tie", "__salt")
+        return materialize(ranged.withColumn(out, F.monotonically_increasing_id()), "sorted")
+
+
 def prefix_sums(df: DataFrame, value: str, order: Sequence[Column], by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """``df`` with ``__before``, the sum of ``value`` in earlier rows, and ``__index``, their number, within each ``by`` group."""
     return sums_of_ranges(range_partitioned(df, order, by, partitions), value, order, by)
