@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import binpack, clusters, exact, hamming, language, mixing, omh, packing, quality, secrets, sharding, urls
+from quarry.llm import binpack, clusters, dialogue, exact, hamming, language, mixing, omh, packing, quality, secrets, sharding, urls
 from quarry.llm.oracles import ORACLES as ORACLES
 from quarry.llm.text import word_count
 from quarry.runtime import materialize
@@ -96,6 +96,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    report, repaired = dialogue.repair_conversations(dialogue.damage(conversations))
+    return dialogue.full_report(conversations, report, dialogue.repaired_digests(repaired))
+
+
 def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     samples = language.learn(docs.where(~language.is_held_out(F.col("doc_id"))))
@@ -108,5 +114,5 @@ def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack, op2_urls, op3_near_dups, op4_mix, op5_binary, op6_quality, op7_shards, op8_exact, op9_top_k, op10_secrets, op12_language, op13_clusters)
+    f.__name__: f for f in (op1_pack, op2_urls, op3_near_dups, op4_mix, op5_binary, op6_quality, op7_shards, op8_exact, op9_top_k, op10_secrets, op11_repair, op12_language, op13_clusters)
 }
