@@ -242,16 +242,22 @@ def _edited(segments: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                conv, at, first, letters, initials = (batch.column(c)[k] for c in ("conv_id", "range", "first", "letters", "initials"))
-                letter = np.frombuffer(letters.as_py().encode(), np.uint8)
-                takes = letter != ord("I")
-                place = first.as_py() + np.cumsum(takes) - takes
-                seq = np.flatnonzero(letter != ord("D"))
-                edit = pa.array(letter[seq].view("S1").astype(str), pa.string())
-                initial = pa.array(np.frombuffer(initials.as_py().encode(), "S1").astype(str), pa.string())
-                arrays = [pa.repeat(conv, len(seq)), pa.array((at.as_py() << 33) + seq), pa.array(place[seq], mask=~takes[seq]), edit, initial]
-                yield pa.RecordBatch.from_arrays(arrays, names=fields.names)
+            # all segments of the batch at once, as most are short
+            texts = batch.column("letters").to_pylist()
+            letter = np.frombuffer("".join(texts).encode(), np.uint8)
+            sizes = np.array([len(t) for t in texts], np.int64)
+            start = np.cumsum(sizes) - sizes
+            own = np.repeat(np.arange(len(texts)), sizes)
+            takes = letter != ord("I")
+            before = np.cumsum(takes) - takes
+            first, at = (batch.column(c).to_numpy() for c in ("first", "range"))
+            place = (first - before[np.minimum(start, max(0, len(letter) - 1))])[own] + before if len(letter) else before
+            position = (at[own] << 33) + np.arange(len(letter)) - start[own]
+            kept = letter != ord("D")
+            edit = pa.array(letter[kept].view("S1").astype(str), pa.string())
+            initial = pa.array(np.frombuffer("".join(batch.column("initials").to_pylist()).encode(), "S1").astype(str), pa.string())
+            arrays = [batch.column("conv_id").take(pa.array(own[kept])), pa.array(position[kept]), pa.array(place[kept], mask=~takes[kept]), edit, initial]
+            yield pa.RecordBatch.from_arrays(arrays, names=fields.names)
 
     return segments.select("conv_id", "range", "first", "letters", "initials").mapInArrow(run, fields)
 
