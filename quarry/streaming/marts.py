@@ -27,8 +27,7 @@ from quarry.streaming.refresh import refresh as follow_files
 
 #: How partial results of an aggregate are merged.
 MERGED = {"sum": "sum", "count": "sum", "max": "max", "min": "min"}
-#: Part of a date by which a mart's rows lie in one folder.
-BUCKETS = {"daily": "yyyy-MM", "weekly": "yyyy-MM", "monthly": "yyyy", "yearly": "yyyy"}
+#: Where a mart's rows lie: a folder for each year, of a row for each period, and one for rows without a date.
 NO_DATE = "none"
 LEDGER = "feed string, batch long, version long, event string, rows long, newest date"
 
@@ -43,6 +42,10 @@ class Feed:
     suffix: str = ""
 
 
+def _bucket() -> Column:
+    return F.coalesce(F.date_format("ymd", "yyyy"), F.lit(NO_DATE))
+
+
 def _hadoop(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
@@ -76,7 +79,10 @@ class GrowingMart:
 
     def _note(self, rows: list[tuple]) -> None:
         """Rows are committed together, as they are one file."""
-        self.spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("append").parquet(f"{self.root}/ledger")
+        names = [c.split()[0] for c in LEDGER.split(", ")]
+        noted = F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip(names, row, strict=True))) for row in rows))
+        one = self.spark.range(0, 1, 1, 1).select(F.inline(noted)).to(T.StructType.fromDDL(LEDGER))
+        one.write.mode("append").parquet(f"{self.root}/ledger")
 
     def _versions(self) -> tuple[dict[tuple[str, int], int], dict[tuple[str, int], int]]:
         """The latest loaded and applied version of each load; the driver gets a row for each of them."""
@@ -174,9 +180,8 @@ class GrowingMart:
             rows = rows.join(touched.withColumnRenamed("period", "p"), F.col("period").eqNullSafe(F.col("p")), "left_semi")
             merged = [getattr(F, MERGED[how])(m).cast(delta.schema[m].dataType).alias(m) for m, (how, _) in self.feeds[feed].measures.items()]
             tables[feed] = self._wide(feed, rows.groupBy(F.col("period").alias("ymd"), "pivot_key").agg(*merged), keys.get(feed, [] if self.feeds[feed].key else None))
-        bucket = F.coalesce(F.date_format("ymd", BUCKETS[grain]), F.lit(NO_DATE))
-        fresh = date_spine(tables).withColumn("bucket", bucket)
-        buckets = [r[0] for r in periods.select(F.col("period").alias("ymd")).select(bucket.alias("b")).distinct().collect()]
+        fresh = date_spine(tables).withColumn("bucket", _bucket())
+        buckets = [r[0] for r in periods.select(F.col("period").alias("ymd")).select(_bucket().alias("b")).distinct().collect()]
         path = f"{self.root}/overall/{grain}"
         if _exists(self.spark, path):
             old = self._stored(grain).where(F.col("bucket").isin(buckets))
@@ -194,7 +199,7 @@ class GrowingMart:
     def _stored(self, grain: str) -> DataFrame:
         """A mart as it is written, with the columns of all buckets; a bucket's name is text."""
         found = self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/overall/{grain}")
-        return found.withColumn("bucket", F.coalesce(F.date_format("ymd", BUCKETS[grain]), F.lit(NO_DATE)))
+        return found.withColumn("bucket", _bucket())
 
     def read(self, grain: str) -> DataFrame:
         """The mart at a grain: ymd, and ``<feed>_<column>`` in order of name, null where a feed lacks the period."""

