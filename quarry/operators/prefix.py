@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from quarry.runtime import broadcast_if_small, conf_set, materialize
 
 #: Partitions whose totals one window sums up.
 BLOCK = 64
+#: Rows of a group that one task's window may span; a larger group is scanned by ranges.
+WINDOW_ROWS = 1_000_000
 #: Rows for each range partition that the driver gets to choose the ranges by; a fifth of Spark's default.
 SAMPLE = 20
 
@@ -86,6 +89,98 @@ def sums_of_ranges(ranged: DataFrame, value: str, order: Sequence[Column], by: S
     )
 
 
+@dataclass(frozen=True)
+class Running:
+    """A running value: the sum, count, max, min, or last non-null of a column, from a group's first row on, or from the last row on where ``since`` is true."""
+
+    how: str
+    column: str
+    since: str | None = None
+
+
+def _joined(how: str, before: Column, own: Column) -> Column:
+    """The value of two stretches in a row from their values; each aggregate here is associative, and null where it has met nothing."""
+    if how in ("sum", "count"):
+        return F.coalesce(before + own, own, before)
+    return F.coalesce(own, before) if how == "last" else {"max": F.greatest, "min": F.least}[how](before, own)
+
+
+def _over(how: str, column: Column, window: Window) -> Column:
+    return F.last(column, ignorenulls=True).over(window) if how == "last" else getattr(F, how)(column).over(window)
+
+
+def scan(df: DataFrame, order: Sequence[Column], by: Sequence[str], values: Mapping[str, Running], partitions: int | None = None) -> DataFrame:
+    """``df`` with running ``values`` over each ``by`` group's rows in ``order`` (ties by content), the row itself included.
+
+    A group may be of any size: rows are sorted by ranges, each range is scanned by itself, and a range begins with what the group's earlier ranges
+    come to. Those are a row for each range and group that meet; only the rows of groups that go beyond a range meet them. A true ``since``
+    begins the value anew at its row; null counts as false. Column names that begin with ``__`` are the function's own.
+    """
+    placed = range_sorted(df, order, by, partitions, "__place").withColumn("__range", F.shiftright("__place", 33))
+    resets = sorted({v.since for v in values.values() if v.since})
+    own = {f"__since_{k}": F.coalesce(F.col(c), F.lit(False)).cast("long") for k, c in enumerate(resets)}
+    within = Window.partitionBy("__range", *by)
+    upto = within.orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    begun = {c: F.sum(c).over(upto) for c in own}
+    local = placed.withColumns(own).withColumns(begun) if own else placed
+
+    def stretch(v: Running) -> list[str]:
+        return [f"__since_{resets.index(v.since)}"] if v.since else []
+
+    def window(v: Running) -> Window:
+        return Window.partitionBy("__range", *by, *stretch(v)).orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+
+    local = local.withColumns({out: _over(v.how, F.col(v.column), window(v)) for out, v in values.items()})
+
+    # what a range and group come to: the values of its last row
+    kept = [*own, *values]
+    totals = local.groupBy("__range", *by).agg(F.max_by(F.struct(*kept), "__place").alias("__end")).select("__range", *by, "__end.*")
+    totals = materialize(totals, "totals")
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    several = totals.withColumn("__many", F.count("*").over(Window.partitionBy(*by))).where("__many > 1")
+    # a range with a reset ends the stretches of those before it
+    several = several.withColumns({f"{c}_all": F.sum(c).over(earlier.rowsBetween(Window.unboundedPreceding, 0)) for c in own})
+
+    def carried(v: Running, out: str) -> Column:
+        how = "sum" if v.how == "count" else v.how
+        if not v.since:
+            return _over(how, F.col(out), earlier)
+        # the ranges since the last one with a reset, that one included, up to the range before
+        marks = f"{stretch(v)[0]}_all"
+        together = Window.partitionBy(*by, marks).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+        return _over(how, F.col(out), together)
+
+    carry = several.withColumns({f"__carry_{out}": carried(v, out) for out, v in values.items()})
+    # stretches with resets were summed up to their own range, so the range before has what is carried on
+    carry = carry.withColumns({f"__carry_{out}": F.lag(f"__carry_{out}").over(Window.partitionBy(*by).orderBy("__range")) for out, v in values.items() if v.since})
+    carry = carry.select(F.col("__range").alias("__of"), *(F.col(c).alias(f"__by_{k}") for k, c in enumerate(by)), *(f"__carry_{out}" for out in values))
+    same = F.col("__range") == F.col("__of")
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"__by_{k}"))
+    met = local.join(broadcast_if_small(materialize(carry, "carry")), same, "left")
+
+    def whole(v: Running, out: str) -> Column:
+        joined = _joined(v.how, F.col(f"__carry_{out}"), F.col(out)).cast(local.schema[out].dataType)
+        return F.when(F.col(stretch(v)[0]) == 0, joined).otherwise(F.col(out)) if v.since else joined
+
+    return met.withColumns({out: whole(v, out) for out, v in values.items()}).select(*(F.col(f"`{c}`") for c in df.columns if c not in values), *values)
+
+
+def heavy_groups(df: DataFrame, by: Sequence[str], most: int) -> DataFrame | None:
+    """The groups of more than ``most`` rows, too large to be one task's; None if there are none. There are no more than rows over ``most``."""
+    found = df.groupBy(*by).agg(F.count("*").alias("__rows")).where(F.col("__rows") > most).drop("__rows")
+    return None if found.isEmpty() else materialize(found, "heavy")
+
+
+def parted(df: DataFrame, by: Sequence[str], heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of other groups, and those of ``heavy`` ones."""
+    named = broadcast_if_small(heavy.select(*(F.col(c).alias(f"__heavy_{k}") for k, c in enumerate(by))))
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"__heavy_{k}"))
+    return df.join(named, same, "left_anti"), df.join(named, same, "left_semi")
+
+
 def global_index(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), out: str = "idx") -> DataFrame:
     """``df`` with each row's place, from 0 without gaps, in the total order (of its group)."""
     numbered = prefix_sums(df.withColumn("__one", F.lit(1)), "__one", order, by)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import collapse_category, difference, label_to_phase, rounded_difference, snap_difference, version_filter
+from quarry.operators.prefix import WINDOW_ROWS, Running, heavy_groups, parted, scan
+from quarry.runtime import broadcast_if_small, materialize
 
 ALIASES = {"category_variant_1": "category_base_1", "category_variant_2": "category_base_2"}
 GROUPS = {"type_a": ("type_a1", "type_a2"), "type_b": ("type_b1", "type_b2")}
@@ -147,12 +150,19 @@ def phase_spine(base: DataFrame, phases: int = 5) -> DataFrame:
     return spine.join(base, [*ENTITY, "phase"], "left")
 
 
-def forward_fill(filled: DataFrame) -> DataFrame:
+def forward_fill(filled: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
     """Code and name carried over phases without a label, each as the maximum of its fill group; the label as a running maximum.
 
     A fill group starts at each phase with a label; peers share values, as the default range frame has it. One shuffle
-    serves all four windows.
+    serves all four windows. Entities in ``heavy``, too large to be one task's, are reduced to a row for each phase and scanned by ranges.
     """
+    if heavy is None:
+        return _filled_by_windows(filled)
+    rows, large = parted(filled, ENTITY, heavy)
+    return _filled_by_windows(rows).unionByName(_filled_by_scan(large))
+
+
+def _filled_by_windows(filled: DataFrame) -> DataFrame:
     running = Window.partitionBy(*ENTITY).orderBy(F.col("phase").asc_nulls_last())
     within = Window.partitionBy(*ENTITY, "grp").orderBy(F.col("phase").asc_nulls_last())
     grouped = filled.withColumn("grp", F.sum(F.when(F.col("period_label").isNotNull(), 1).otherwise(0)).over(running))
@@ -168,10 +178,41 @@ def forward_fill(filled: DataFrame) -> DataFrame:
     )
 
 
-def last_known(df: DataFrame, value: str, by: Sequence[str], order: str) -> DataFrame:
-    """The usual forward fill: the last non-null value so far. Unlike :func:`forward_fill` it reaches back past null codes."""
-    rows = Window.partitionBy(*by).orderBy(F.col(order).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(value, F.last(value, ignorenulls=True).over(rows))
+def _filled_by_scan(filled: DataFrame) -> DataFrame:
+    """The same: maxima of a fill group are running maxima that begin anew at a phase with a label."""
+    carried = ("category_code", "category_name", "period_label")
+    phases = filled.groupBy(*ENTITY, "phase").agg(F.count("period_label").alias("labels"), *(F.max(c).alias(c) for c in carried))
+    phases = phases.withColumn("starts", F.col("labels") > 0)
+    values = {"grp": Running("sum", "labels"), **{f"{c}_so_far": Running("max", c, "starts") for c in carried[:2]}, "period_label_so_far": Running("max", "period_label")}
+    scanned = scan(phases, [F.col("phase").asc_nulls_last()], ENTITY, values)
+    keys = [*ENTITY, "phase"]
+    known = materialize(scanned.select(*(F.col(c).alias(f"of_{c}") for c in keys), "grp", *(f"{c}_so_far" for c in carried)), "phases")
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in keys))
+    return filled.select(*keys).join(broadcast_if_small(known), same).select(*keys, "grp", *(F.col(f"{c}_so_far").alias(c) for c in carried))
+
+
+def last_known(df: DataFrame, value: str, by: Sequence[str], order: str, most: int = WINDOW_ROWS) -> DataFrame:
+    """The usual forward fill: the last non-null value so far. Unlike :func:`forward_fill` it reaches back past null codes.
+
+    Nulls of ``order`` come last, and rows of equal order in any one. Groups of more than ``most`` rows are scanned by ranges.
+    """
+    sequence = F.col(order).asc_nulls_last()
+
+    def by_windows(rows: DataFrame) -> DataFrame:
+        window = Window.partitionBy(*by).orderBy(sequence).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn(value, F.last(value, ignorenulls=True).over(window))
+
+    heavy = heavy_groups(df, by, most)
+    if heavy is None:
+        return by_windows(df)
+    rows, large = parted(df, by, heavy)
+    scanned = scan(large, [sequence], by, {"__last": Running("last", value)})
+    return by_windows(rows).unionByName(scanned.withColumn(value, F.col("__last")).drop("__last"))
+
+
+def filled_spine(base: DataFrame, phases: int = 5, most: int = WINDOW_ROWS) -> DataFrame:
+    """The phase spine of a schedule, filled. An entity has no more rows there than in the schedule and phases, so the schedule tells the heavy ones."""
+    return forward_fill(phase_spine(base, phases), heavy_groups(base, ENTITY, max(0, most - phases)))
 
 
 def joined_status(normalised: DataFrame, status: DataFrame, groups: Mapping[str, Sequence[str]] = GROUPS) -> DataFrame:
@@ -199,7 +240,7 @@ def phase_totals(rows: DataFrame, value: str) -> DataFrame:
 
 def phase_comparison(schedule: DataFrame, status: DataFrame, external: DataFrame, groups: Mapping[str, Sequence[str]] = GROUPS, phases: int = 5) -> DataFrame:
     """Both sources' values and deltas by batch, region, phase, label and category, and their rounded differences."""
-    normalised = forward_fill(phase_spine(base_schedule(schedule, groups), phases))
+    normalised = filled_spine(base_schedule(schedule, groups), phases)
     a = phase_totals(joined_status(normalised, status, groups), "value_current")
     b = phase_totals(external, "metric_value")
     keys = ["batch_id", "region", "phase", "period_label", "category_name"]

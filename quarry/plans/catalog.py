@@ -131,7 +131,7 @@ def phase_spine(spark, sf_dir):
 
 @query(f"WITH {SQL_PHASES} SELECT * FROM carried")
 def forward_fill(spark, sf_dir):
-    return reconcile.forward_fill(reconcile.phase_spine(reconcile.base_schedule(stand_ins.schedule(spark, sf_dir))))
+    return reconcile.filled_spine(reconcile.base_schedule(stand_ins.schedule(spark, sf_dir)))
 
 
 @query(

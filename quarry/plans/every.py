@@ -1,6 +1,7 @@
 """All queries of the library with their SQL, from every module that registers some."""
 
 from quarry.plans import growth as growth
+from quarry.plans import scans as scans
 from quarry.plans.catalog import ORACLES as ORACLES
 from quarry.plans.catalog import QUERIES as QUERIES
 from quarry.plans.catalog import flagship as flagship
