@@ -1,8 +1,9 @@
 """Statistics of bit, hex and count sequences: the fifteen SP 800-22 tests, autocorrelation, distributions, Poisson fit.
 
 Bits are (seq_id, idx, bit) with idx from 0 without gaps: order is explicit, never that of rows. A test gives one row for each
-sequence (and state, template or mode): its statistic, then ``p_value`` and ``passed`` (p >= alpha) by :func:`verdict`. Running
-sums over a sequence come from block totals, so that one long sequence does not meet in one task.
+sequence (and state, template or mode): its statistic, then ``p_value`` and ``passed`` (p >= alpha) by :func:`verdict`. Statistics are put
+together from facts about packed blocks (:mod:`quarry.operators.bitblocks`), so that one long sequence does not meet in one task; several
+tests take :class:`BitBlocks` in place of bits and share one pass, :func:`gather_all`.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.pvalue import erfc, igamc_column
+from quarry.operators import bitblocks
+from quarry.operators.bitblocks import BitBlocks, columns_of, packed
 from quarry.runtime import broadcast_if_small
 
 ALPHA = 0.01
 BLOCK = 65_536
-#: Bits of a block that is read as a string.
-STRING = 512
 
 
 def verdict(df: DataFrame, p_value: Column, alpha: float = ALPHA) -> DataFrame:
@@ -54,71 +55,56 @@ def running_sum(bits: DataFrame, value: Column, out: str, block: int = BLOCK) ->
     return local.join(offsets, ["seq_id", "__b"]).withColumn(out, F.col("__o") + F.col("__l")).drop("__v", "__b", "__o", "__l")
 
 
-def shifted(bits: DataFrame, by: int, out: str = "other") -> DataFrame:
-    """Each row with the bit ``by`` places later in its sequence; rows without one go. An equi join, so no window over a sequence."""
-    later = bits.select("seq_id", (F.col("idx") - by).alias("idx"), F.col("bit").alias(out))
-    return bits.join(later, ["seq_id", "idx"])
+def _grams(bits: DataFrame | BitBlocks, width: int) -> DataFrame:
+    """(seq_id, word, c) of cyclic words of ``width`` bits; narrower ones are sums of wider ones, so one measure serves several widths."""
+    blocks = packed(bits)
+    wide = max(width, GRAM)
+    facts = blocks.facts(f"grams {wide}", bitblocks.gram_facts(wide))
+    return facts.groupBy("seq_id", F.shiftright("a", wide - width).alias("word")).agg(F.sum("value").alias("c"))
 
 
-def bit_strings(bits: DataFrame, size: int = STRING) -> DataFrame:
-    """(seq_id, block, s): the bits of each ``size`` places as a string, the last one shorter."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", "bit"))), lambda b: b["bit"].cast("string"))
-    return bits.groupBy("seq_id", F.floor(F.col("idx") / size).alias("block")).agg(F.array_join(ordered, "").alias("s"))
+#: Bits of the words that are counted for all narrower ones.
+GRAM = 4
 
 
-def _grams(bits: DataFrame, width: int, cyclic: bool) -> DataFrame:
-    """(seq_id, start, grams): words of ``width`` bits as strings, from each place of a block on; ``cyclic`` ones wrap around.
-
-    Blocks of bits are read with the few bits that follow them, so no bit is shuffled more than once.
-    """
-    blocks = bit_strings(bits)
-    heads = blocks.select("seq_id", F.col("block").alias("at"), F.substring("s", 1, width).alias("head"))
-    following = heads.select("seq_id", (F.col("at") - 1).alias("block"), F.col("head").alias("next"))
-    read = blocks.join(following, ["seq_id", "block"], "left").withColumn("next", F.coalesce("next", F.lit("")))
-    if cyclic:
-        # after a sequence's end come its first bits, over and over if it is short
-        first = heads.where("at = 0").select("seq_id", F.repeat("head", width).alias("first"))
-        read = read.join(broadcast_if_small(first), "seq_id").withColumn("next", F.concat("next", "first"))
-    text = F.concat("s", F.substring("next", 1, width - 1)) if width > 1 else F.col("s")
-    read = read.select("seq_id", (F.col("block") * STRING).alias("start"), text.alias("t")).where(F.length("t") >= width)
-    return read.select("seq_id", "start", F.transform(F.sequence(F.lit(1), F.length("t") - width + 1), lambda k: F.substring("t", k, F.lit(width))).alias("grams"))
-
-
-def gram_counts(bits: DataFrame, width: int) -> DataFrame:
+def gram_counts(bits: DataFrame | BitBlocks, width: int) -> DataFrame:
     """(seq_id, word, c, n): cyclic words of ``width`` bits and their numbers; words are counted where they lie, only counts are shuffled."""
-    counts = _grams(bits, width, cyclic=True).select("seq_id", F.explode("grams").alias("g")).groupBy("seq_id", "g").agg(F.count("*").alias("c"))
-    named = counts.select("seq_id", F.conv("g", 2, 10).cast("long").alias("word"), "c")
-    return named.join(bits.groupBy("seq_id").agg(F.count("*").alias("n")), "seq_id")
+    blocks = packed(bits)
+    return _grams(blocks, width).join(blocks.lengths(), "seq_id")
 
 
 # ---- the fifteen tests -------------------------------------------------------------------------------------------------
 
 
-def frequency(bits: DataFrame) -> DataFrame:
+def _counts(blocks: BitBlocks, **wanted: str) -> DataFrame:
+    """(seq_id, n, and the wanted counts)."""
+    facts = blocks.facts("counts", bitblocks.count_facts)
+    return columns_of(facts, {name: F.col("fact") == fact for name, fact in wanted.items()}).join(blocks.lengths(), "seq_id")
+
+
+def frequency(bits: DataFrame | BitBlocks) -> DataFrame:
     """N1 statistic: (seq_id, n, s), s the sum of bits as +1 and -1."""
-    return bits.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum(2 * F.col("bit").cast("long") - 1).alias("s"))
+    return _counts(packed(bits), ones="ones").select("seq_id", "n", (2 * F.col("ones") - F.col("n")).alias("s"))
 
 
 def frequency_test(bits: DataFrame) -> DataFrame:
     return verdict(frequency(bits), erfc(F.abs("s") / F.sqrt(2 * F.col("n"))))
 
 
-def block_frequency(bits: DataFrame, m: int = 128) -> DataFrame:
+def block_frequency(bits: DataFrame | BitBlocks, m: int = 128) -> DataFrame:
     """N2 statistic: (seq_id, blocks, chi2) over complete blocks of m bits."""
-    blocks = bits.groupBy("seq_id", F.floor(F.col("idx") / m).alias("b")).agg(F.count("*").alias("c"), F.sum(F.col("bit").cast("long")).alias("ones")).where(F.col("c") == m)
-    deviation = F.pow(2 * F.col("ones") - m, F.lit(2)).cast("long")
-    return blocks.groupBy("seq_id").agg(F.count("*").alias("blocks"), (F.sum(deviation).cast("double") / m).alias("chi2"))
+    facts = packed(bits).facts(f"shares {m}", bitblocks.share_facts(m))
+    sums = columns_of(facts, {c: F.col("fact") == c for c in ("blocks", "squares")}).where("blocks > 0")
+    return sums.select("seq_id", "blocks", (F.col("squares").cast("double") / m).alias("chi2"))
 
 
 def block_frequency_test(bits: DataFrame, m: int = 128) -> DataFrame:
     return verdict(block_frequency(bits, m), igamc_column(F.col("blocks") / 2, F.col("chi2") / 2))
 
 
-def runs(bits: DataFrame) -> DataFrame:
+def runs(bits: DataFrame | BitBlocks) -> DataFrame:
     """N3 statistic: (seq_id, n, ones, runs)."""
-    changes = shifted(bits, 1).where("bit <> other").groupBy("seq_id").agg(F.count("*").alias("changes"))
-    totals = bits.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum(F.col("bit").cast("long")).alias("ones"))
-    return totals.join(changes, "seq_id", "left").select("seq_id", "n", "ones", (F.coalesce("changes", F.lit(0)) + 1).alias("runs"))
+    return _counts(packed(bits), ones="ones", changes="changes").select("seq_id", "n", "ones", (F.col("changes") + 1).alias("runs"))
 
 
 def runs_test(bits: DataFrame) -> DataFrame:
@@ -137,47 +123,50 @@ LONGEST_RUN = {
 }
 
 
-def longest_runs(bits: DataFrame, m: int) -> DataFrame:
+def longest_runs(bits: DataFrame | BitBlocks, m: int) -> DataFrame:
     """(seq_id, block, longest): the longest run of ones in each complete block of m bits."""
-    block = bits.withColumn("block", F.floor(F.col("idx") / m))
-    order = Window.partitionBy("seq_id", "block").orderBy("idx")
-    zeros = F.sum(1 - F.col("bit").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    stretches = block.withColumn("island", zeros).groupBy("seq_id", "block", "island").agg(F.sum(F.col("bit").cast("long")).alias("ones"), F.count("*").alias("c"))
-    return stretches.groupBy("seq_id", "block").agg(F.max("ones").alias("longest"), F.sum("c").alias("c")).where(F.col("c") == m).drop("c")
-
-
-def longest_run(bits: DataFrame, m: int = 8) -> DataFrame:
-    """N4 statistic: (seq_id, blocks, chi2) over the classes of block length m."""
-    low, high, shares = next((lo, hi, p) for size, lo, hi, p in LONGEST_RUN.values() if size == m)
-    kind = F.greatest(F.lit(low), F.least(F.lit(high), F.col("longest"))) - low
-    counted = longest_runs(bits, m).groupBy("seq_id").agg(F.count("*").alias("blocks"), *(F.count_if(kind == k).alias(f"v{k}") for k in range(len(shares))))
-    chi2 = sum((F.pow(F.col(f"v{k}") - F.col("blocks") * p, F.lit(2)) / (F.col("blocks") * p) for k, p in enumerate(shares)), F.lit(0.0))
-    return counted.select("seq_id", "blocks", *(f"v{k}" for k in range(len(shares))), chi2.alias("chi2"))
 
+    def measure(p: bitblocks.Piece):
+        first = -(-p.start // m)
+        yield from (("longest", first + k, 0, int(run)) for k, run in enumerate(bitblocks.longest_ones(p.parts(m))))
 
-def by_length(bits: DataFrame, choose: Callable[[Column], Column], run: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """The union of ``run(bits, parameter)`` over the sequences that ``choose`` gives each parameter by their length; null ones go.
+    return packed(bits).facts(f"longest runs {m}", measure).select("seq_id", F.col("a").alias("block"), F.col("value").alias("longest"))
 
-    Parameters are few, so that finding out which of them occur costs the driver a few numbers.
-    """
-    sizes = bits.groupBy("seq_id").agg(choose(F.count("*")).alias("parameter")).where("parameter is not null")
-    found = sorted(r[0] for r in sizes.select("parameter").distinct().collect())
-    parts = [run(bits.join(broadcast_if_small(sizes.where(F.col("parameter") == p).select("seq_id")), "seq_id", "left_semi"), p) for p in found]
-    return reduce(DataFrame.union, parts) if parts else run(bits.limit(0), 8)
 
+def _run_classes(parts, m: int):
+    low, high = next((lo, hi) for size, lo, hi, _ in LONGEST_RUN.values() if size == m)
+    return bitblocks.longest_ones(parts).clip(low, high) - low
+
+
+def _run_length(n: int) -> int:
+    """The block length that a sequence's length asks for."""
+    return next((m for least, (m, *_) in sorted(LONGEST_RUN.items(), reverse=True) if n >= least), 8)
+
+
+def _class_chi2(counts: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """(seq_id, blocks, v0 ..., chi2) of (seq_id, fact, a, b, value) by class a."""
+    columns = {"blocks": F.lit(True)} | {f"v{k}": F.col("a") == k for k in range(len(shares))}
+    counted = columns_of(counts, columns)
+    chi2 = sum((F.pow(F.col(f"v{k}") - F.col("blocks") * p, F.lit(2)) / (F.col("blocks") * p) for k, p in enumerate(shares)), F.lit(0.0))
+    return counted.withColumn("chi2", chi2)
 
-def longest_run_test(bits: DataFrame, m: int | None = None) -> DataFrame:
-    """(seq_id, blocks, m, chi2, p_value, passed); the block length follows from each sequence's length unless it is given."""
 
-    def run(some: DataFrame, m: int) -> DataFrame:
-        classes = next(len(p) for size, _, _, p in LONGEST_RUN.values() if size == m)
-        found = longest_run(some, m).select("seq_id", "blocks", F.lit(m).alias("m"), "chi2")
-        return verdict(found, igamc_column(F.lit((classes - 1) / 2), F.col("chi2") / 2))
+def longest_run(bits: DataFrame | BitBlocks, m: int = 8) -> DataFrame:
+    """N4 statistic: (seq_id, blocks, v0 ..., chi2) over the classes of block length m."""
+    shares = next(p for size, _, _, p in LONGEST_RUN.values() if size == m)
+    return _class_chi2(packed(bits).facts(f"runs {m}", bitblocks.class_facts(lambda n: m, _run_classes)), shares)
 
-    def choose(n: Column) -> Column:
-        return reduce(lambda rest, least: F.when(n >= least, LONGEST_RUN[least][0]).otherwise(rest), LONGEST_RUN, F.lit(8))
 
-    return run(bits, m) if m else by_length(bits, choose, run)
+def longest_run_test(bits: DataFrame | BitBlocks, m: int | None = None) -> DataFrame:
+    """(seq_id, blocks, m, chi2, p_value, passed); the block length follows from each sequence's length unless it is given."""
+    name, choose = (f"runs {m}", lambda n: m) if m else ("runs by length", _run_length)
+    facts = packed(bits).facts(name, bitblocks.class_facts(choose, _run_classes))
+
+    def run(size: int, shares: Sequence[float]) -> DataFrame:
+        found = _class_chi2(facts.where(F.col("b") == size), shares).select("seq_id", "blocks", F.lit(size).alias("m"), "chi2")
+        return verdict(found, igamc_column(F.lit((len(shares) - 1) / 2), F.col("chi2") / 2))
+
+    return reduce(DataFrame.union, (run(size, shares) for size, _, _, shares in LONGEST_RUN.values() if m in (None, size)))
 
 
 def _rank(rows: list[int]) -> int:
@@ -193,30 +182,23 @@ def _rank(rows: list[int]) -> int:
     return len(basis)
 
 
-def _per_block(bits: DataFrame, m: int | Column, out: str, function) -> DataFrame:
-    """(seq_id, block, m, out...): a Python function of the bits of each complete block of m bits, one m for each sequence."""
-    sized = bits.withColumn("m", m.cast("long") if isinstance(m, Column) else F.lit(m).cast("long"))
-    blocks = sized.withColumn("block", F.floor(F.col("idx") / F.col("m")).cast("long")).groupBy("seq_id", "block", "m")
-    gathered = blocks.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "bit"))), lambda x: x["bit"]).alias("bits")).where(F.size("bits") == F.col("m"))
+def _ranks(size: int) -> Callable:
+    """Classes of matrices: 0 of full rank, 1 of one less, 2 of others."""
 
-    def run(frames):
-        import pandas as pd
+    def classes(parts, m: int):
+        import numpy as np
 
-        for frame in frames:
-            values = [function([int(b) for b in bits]) for bits in frame["bits"]]
-            yield pd.DataFrame({"seq_id": frame["seq_id"], "block": frame["block"], "m": frame["m"], "value": values})
+        rows = np.packbits(parts.reshape(-1, size), axis=1)
+        numbers = [int.from_bytes(row.tobytes()) for row in rows]
+        return np.array([min(2, size - _rank(numbers[k : k + size])) for k in range(0, len(numbers), size)], dtype=np.int64)
 
-    kind = bits.schema["seq_id"].dataType.simpleString()
-    return gathered.mapInPandas(run, f"seq_id {kind}, block long, m long, value long").withColumnRenamed("value", out)
+    return classes
 
 
-def matrix_rank(bits: DataFrame, size: int = 32) -> DataFrame:
+def matrix_rank(bits: DataFrame | BitBlocks, size: int = 32) -> DataFrame:
     """N5 statistic: (seq_id, matrices, full, less_one, chi2) over ``size`` x ``size`` matrices."""
-    ranks = _per_block(bits, size * size, "rank", lambda b: _rank([int("".join(map(str, b[r * size : (r + 1) * size])), 2) for r in range(size)]))
-    counts = ranks.groupBy("seq_id").agg(F.count("*").alias("matrices"), F.count_if(F.col("rank") == size).alias("full"), F.count_if(F.col("rank") == size - 1).alias("less_one"))
-    n, rest = F.col("matrices"), F.col("matrices") - F.col("full") - F.col("less_one")
-    chi2 = sum((F.pow(v - n * p, F.lit(2)) / (n * p) for v, p in ((F.col("full"), 0.2888), (F.col("less_one"), 0.5776), (rest, 0.1336))), F.lit(0.0))
-    return counts.withColumn("chi2", chi2)
+    facts = packed(bits).facts(f"ranks {size}", bitblocks.class_facts(lambda n: size * size, _ranks(size)))
+    return _class_chi2(facts, (0.2888, 0.5776, 0.1336)).select("seq_id", F.col("blocks").alias("matrices"), F.col("v0").alias("full"), F.col("v1").alias("less_one"), "chi2")
 
 
 def matrix_rank_test(bits: DataFrame, size: int = 32) -> DataFrame:
@@ -314,28 +296,31 @@ def _long_spectral(bits: DataFrame, task: int) -> DataFrame:
     return sums.select("seq_id", "n", F.col("below").alias("peaks"), d.alias("d"))
 
 
-def spectral(bits: DataFrame, block: int = 1 << 20) -> DataFrame:
+def spectral(bits: DataFrame | BitBlocks, block: int = 1 << 20) -> DataFrame:
     """N6 statistic: (seq_id, n, peaks, d), peaks below the 95 % bound of the first half of the whole sequence's spectrum.
 
     Sequences of up to ``block`` bits are transformed in one task, longer ones by :func:`_long_spectral`, with equal results.
     """
-    kind = bits.schema["seq_id"].dataType.simpleString()
-    sizes = broadcast_if_small(bits.groupBy("seq_id").agg(F.count("*").alias("n")))
-    sized = bits.select("seq_id", "idx", "bit").join(sizes, "seq_id")
+    blocks = packed(bits)
 
     def run(frame):
         import numpy as np
         import pandas as pd
 
-        x = 2.0 * frame.sort_values("idx")["bit"].to_numpy() - 1
-        n = len(x)
+        frame = frame.sort_values("block")
+        n = int(frame["n"].sum())
+        x = 2.0 * np.concatenate([bitblocks.unpacked(w, k) for w, k in zip(frame["words"], frame["n"], strict=True)]) - 1
         heights = np.abs(np.fft.rfft(x))[: n // 2]
         below = int((heights < math.sqrt(math.log(1 / 0.05) * n)).sum())
         d = (below - 0.95 * n / 2) / math.sqrt(n * 0.95 * 0.05 / 4)
         return pd.DataFrame({"seq_id": [frame["seq_id"].iloc[0]], "n": [n], "peaks": [below], "d": [d]})
 
-    short = sized.where(F.col("n") <= block).groupBy("seq_id").applyInPandas(run, f"seq_id {kind}, n long, peaks long, d double")
-    return short.union(_long_spectral(sized.where(F.col("n") > block), block))
+    short = blocks.lengths().where(F.col("n") <= block).select("seq_id")
+    rows = blocks.blocks.join(broadcast_if_small(short), "seq_id", "left_semi")
+    found = rows.groupBy("seq_id").applyInPandas(run, f"seq_id {blocks.kind}, n long, peaks long, d double")
+    if blocks.lengths().where(F.col("n") > block).isEmpty():
+        return found
+    return found.union(_long_spectral(blocks.bits().where(F.col("n") > block), block))
 
 
 def spectral_test(bits: DataFrame, block: int = 1 << 20) -> DataFrame:
@@ -348,28 +333,34 @@ def aperiodic_templates(size: int = 9) -> list[str]:
     return [w for w in every if all(w[j:] != w[: size - j] for j in range(1, size))]
 
 
-def non_overlapping(bits: DataFrame, templates: Sequence[str] | None = None, blocks: int = 8, length: int | None = None) -> DataFrame:
+def _templates(templates: Sequence[str] | None, blocks: int, length: int | None) -> tuple[str, list[str], Callable]:
+    chosen = list(templates) if templates is not None else aperiodic_templates()
+    size = len(chosen[0])
+    if not set(chosen) <= set(aperiodic_templates(size)):
+        raise ValueError("templates of one size that cannot overlap themselves are needed")
+    named = "all" if templates is None else " ".join(chosen)
+    return f"templates {named} {blocks} {length}", chosen, bitblocks.template_facts([int(t, 2) for t in chosen], size, blocks, length)
+
+
+def non_overlapping(bits: DataFrame | BitBlocks, templates: Sequence[str] | None = None, blocks: int = 8, length: int | None = None) -> DataFrame:
     """N7 statistic: (seq_id, template, blocks, m, chi2) of each template's counts in ``blocks`` blocks of each sequence.
 
     Templates, all aperiodic ones of nine bits unless given, are of one size and cannot overlap themselves, so their hits in passing over
     them are all their occurrences, which one scan counts for all of them. m comes from each sequence's own length, or from
     ``length`` for all; the bits of a last, incomplete block do not count.
     """
-    chosen = list(templates) if templates is not None else aperiodic_templates()
+    source = packed(bits)
+    name, chosen, measure = _templates(templates, blocks, length)
     size = len(chosen[0])
-    if not set(chosen) <= set(aperiodic_templates(size)):
-        raise ValueError("templates of one size that cannot overlap themselves are needed")
-    sizes = bits.groupBy("seq_id").agg((F.count("*") if length is None else F.max(F.lit(length))).alias("n"))
-    sizes = sizes.select("seq_id", F.greatest(F.lit(1), F.floor(F.col("n") / blocks)).cast("long").alias("m"))
-    placed = _grams(bits, size, cyclic=False).select("seq_id", "start", F.posexplode("grams").alias("p", "g")).where(F.col("g").isin(chosen))
-    placed = placed.join(broadcast_if_small(sizes), "seq_id").withColumn("idx", F.col("start") + F.col("p"))
-    placed = placed.where((F.col("idx") % F.col("m") <= F.col("m") - size) & (F.col("idx") < F.col("m") * blocks))
-    hits = placed.groupBy("seq_id", "g", F.floor(F.col("idx") / F.col("m")).alias("block")).agg(F.count("*").alias("hits"))
+    n = F.col("n") if length is None else F.lit(length)
+    sizes = source.lengths().select("seq_id", F.greatest(F.lit(1), F.floor(n / blocks)).cast("long").alias("m"))
+    named = F.lpad(F.conv(F.col("a").cast("string"), 10, 2), size, "0").alias("template")
+    hits = source.facts(name, measure).select("seq_id", named, F.col("b").alias("block"), F.col("value").alias("hits"))
     m = F.col("m").cast("double")
     mean = (m - size + 1) / 2**size
     variance = m * (1 / 2**size - (2 * size - 1) / 2 ** (2 * size))
     grid = sizes.select("seq_id", "m", F.explode(F.array(*map(F.lit, chosen))).alias("template")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    counts = grid.join(hits.withColumnRenamed("g", "template"), ["seq_id", "template", "block"], "left")
+    counts = grid.join(hits, ["seq_id", "template", "block"], "left")
     deviation = F.pow(F.coalesce("hits", F.lit(0)) - mean, F.lit(2)) / variance
     return counts.groupBy("seq_id", "template", "m").agg(F.count("*").alias("blocks"), F.sum(deviation).alias("chi2")).select("seq_id", "template", "blocks", "m", "chi2")
 
@@ -382,16 +373,13 @@ def non_overlapping_test(bits: DataFrame, templates: Sequence[str] | None = None
 OVERLAPPING = (0.364091, 0.185659, 0.139381, 0.100571, 0.070432, 0.139865)
 
 
-def overlapping(bits: DataFrame, size: int = 9, m: int = 1032) -> DataFrame:
+def _row_classes(size: int) -> Callable:
+    return lambda parts, m: bitblocks.ones_in_a_row(parts, size).clip(0, 5)
+
+
+def overlapping(bits: DataFrame | BitBlocks, size: int = 9, m: int = 1032) -> DataFrame:
     """N8 statistic: (seq_id, blocks, v0 to v5, chi2) of the counts of ``size`` ones in a row, hits overlapping, per block of m."""
-    complete = bits.groupBy("seq_id", F.floor(F.col("idx") / m).alias("block")).agg(F.count("*").alias("c")).where(F.col("c") == m)
-    order = Window.partitionBy("seq_id", "block").orderBy("idx").rowsBetween(-(size - 1), 0)
-    inside = bits.withColumn("block", F.floor(F.col("idx") / m)).withColumn("ones", F.sum(F.col("bit").cast("long")).over(order))
-    hits = inside.groupBy("seq_id", "block").agg(F.count_if(F.col("ones") == size).alias("hits")).join(complete, ["seq_id", "block"])
-    kind = F.least(F.col("hits"), F.lit(5))
-    counts = hits.groupBy("seq_id").agg(F.count("*").alias("blocks"), *(F.count_if(kind == k).alias(f"v{k}") for k in range(6)))
-    chi2 = sum((F.pow(F.col(f"v{k}") - F.col("blocks") * p, F.lit(2)) / (F.col("blocks") * p) for k, p in enumerate(OVERLAPPING)), F.lit(0.0))
-    return counts.withColumn("chi2", chi2)
+    return _class_chi2(packed(bits).facts(f"rows {size} {m}", bitblocks.class_facts(lambda n: m, _row_classes(size))), OVERLAPPING)
 
 
 def overlapping_test(bits: DataFrame) -> DataFrame:
@@ -412,41 +400,55 @@ UNIVERSAL = {
 }
 
 
-def universal(bits: DataFrame, width: int = 6, initial: int | None = None) -> DataFrame:
+def _universal_width(n: int) -> int:
+    """The largest L for which a sequence has 1010 * 2^L words, 2 at least."""
+    return max((size for size in UNIVERSAL if n >= 1010 * 2**size * size), default=2)
+
+
+def _universal(bits: DataFrame | BitBlocks, width: int | None, initial: int | None) -> DataFrame:
+    """(seq_id, width, k, total, fn)."""
+    name = f"distances {width} {initial}"
+    facts = packed(bits).facts(name, bitblocks.distance_facts(_universal_width if width is None else lambda n: width, initial))
+    size = F.shiftright("a", 32)
+    ends = facts.where("fact = 'ends'").select("seq_id", F.col("a"), size.alias("width"), F.col("b").alias("i"), F.col("value").alias("last"))
+    # a word's first place in a block, less its last one in earlier blocks
+    earlier = F.lag("last").over(Window.partitionBy("seq_id", "a").orderBy("i"))
+    first = 10 * F.pow(F.lit(2), F.col("width")) if initial is None else F.lit(initial)
+    between = ends.withColumn("gap", F.col("i") - F.coalesce(earlier, F.lit(0))).where(F.col("i") > first).select("seq_id", "width", "gap", F.lit(1).cast("long").alias("c"))
+    within = facts.where("fact = 'gap'").select("seq_id", F.col("b").alias("width"), F.col("a").alias("gap"), F.col("value").alias("c"))
+    counted = between.union(within).groupBy("seq_id", "width", "gap").agg(F.sum("c").alias("c"))
+    sums = counted.groupBy("seq_id", "width").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.log2("gap")).alias("total"))
+    return sums.withColumn("fn", F.col("total") / F.col("k"))
+
+
+def universal(bits: DataFrame | BitBlocks, width: int = 6, initial: int | None = None) -> DataFrame:
     """N9 statistic: (seq_id, k, total, fn): the mean log2 distance of a word to its last occurrence, after ``initial`` words.
 
     A word that did not occur before has its own number as distance.
     """
-    first = initial if initial is not None else 10 * 2**width
-    place = F.element_at(F.array(*(F.lit(1 << (width - 1 - j)) for j in range(width))), (F.col("idx") % width + 1).cast("int"))
-    grouped = bits.groupBy("seq_id", (F.floor(F.col("idx") / width) + 1).alias("i")).agg(F.sum(F.col("bit").cast("long") * place).alias("word"), F.count("*").alias("c"))
-    last = F.lag("i").over(Window.partitionBy("seq_id", "word").orderBy("i"))
-    gaps = grouped.where(F.col("c") == width).withColumn("gap", F.col("i") - F.coalesce(last, F.lit(0))).where(F.col("i") > first)
-    counted = gaps.groupBy("seq_id", "gap").agg(F.count("*").alias("c"))
-    sums = counted.groupBy("seq_id").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.log2("gap")).alias("total"))
-    return sums.withColumn("fn", F.col("total") / F.col("k"))
+    return _universal(bits, width, initial).drop("width")
 
 
-def universal_test(bits: DataFrame, width: int | None = None, initial: int | None = None) -> DataFrame:
+def universal_test(bits: DataFrame | BitBlocks, width: int | None = None, initial: int | None = None) -> DataFrame:
     """The verdict on :func:`universal`. Unless given, the width is the largest L for which a sequence has 1010 * 2^L words, 2 at least."""
+    found = _universal(bits, width, initial)
 
-    def run(some: DataFrame, width: int) -> DataFrame:
-        expected, variance = UNIVERSAL[width]
-        c = 0.7 - 0.8 / width + (4 + 32 / width) * F.pow(F.col("k").cast("double"), F.lit(-3 / width)) / 15
-        return verdict(universal(some, width, initial), erfc(F.abs(F.col("fn") - expected) / (math.sqrt(2) * c * F.sqrt(F.lit(variance) / F.col("k")))))
-
-    def choose(n: Column) -> Column:
-        return reduce(lambda rest, size: F.when(n >= 1010 * 2**size * size, size).otherwise(rest), UNIVERSAL, F.lit(2))
+    def of(at: int) -> Column:
+        return F.element_at(F.create_map(*(F.lit(x) for size, values in UNIVERSAL.items() for x in (size, values[at]))), F.col("width").cast("int"))
 
-    return run(bits, width) if width else by_length(bits, choose, run)
+    c = 0.7 - 0.8 / F.col("width") + (4 + 32 / F.col("width")) * F.pow(F.col("k").cast("double"), -3 / F.col("width")) / 15
+    p = erfc(F.abs(F.col("fn") - of(0)) / (math.sqrt(2) * c * F.sqrt(of(1) / F.col("k"))))
+    return verdict(found, p).select("seq_id", "k", "total", "fn", "p_value", "passed")
 
 
 def approximate_entropy(bits: DataFrame, m: int = 3) -> DataFrame:
     """N10 statistic: (seq_id, n, apen, chi2)."""
 
+    blocks = packed(bits)
+
     def phi(width: int, name: str) -> DataFrame:
         share = F.col("c") / F.col("n")
-        return gram_counts(bits, width).groupBy("seq_id", "n").agg(F.sum(share * F.log(share)).alias(name))
+        return gram_counts(blocks, width).groupBy("seq_id", "n").agg(F.sum(share * F.log(share)).alias(name))
 
     both = phi(m, "p0").join(phi(m + 1, "p1").drop("n"), "seq_id")
     return both.select("seq_id", "n", (F.col("p0") - F.col("p1")).alias("apen")).withColumn("chi2", 2 * F.col("n") * (math.log(2) - F.col("apen")))
@@ -459,25 +461,27 @@ def approximate_entropy_test(bits: DataFrame, m: int = 3) -> DataFrame:
 STATES = (-4, -3, -2, -1, 1, 2, 3, 4)
 
 
-def walk(bits: DataFrame) -> DataFrame:
-    """Bits with ``s``, the sum of bits as +1 and -1 so far, and ``cycle``, the number of earlier returns to zero."""
-    sums = running_sum(bits, 2 * F.col("bit").cast("long") - 1, "s")
-    ends = running_sum(sums.select("seq_id", "idx", "bit", "s"), (F.col("s") == 0).cast("long"), "zeros")
-    return ends.withColumn("cycle", F.col("zeros") - (F.col("s") == 0).cast("long")).drop("zeros")
-
-
-def cycles(walked: DataFrame) -> DataFrame:
+def cycles(blocks: BitBlocks) -> DataFrame:
     """(seq_id, j): the number of zero crossings; an unfinished walk ends in one more."""
-    return walked.groupBy("seq_id").agg((F.max("cycle") + 1).alias("j"))
+    zeros = columns_of(blocks.walked(), {"zeros": F.col("fact") == "zeros"})
+    ends = blocks.offsets().groupBy("seq_id").agg(F.sum("total").alias("end"))
+    return zeros.join(ends, "seq_id").select("seq_id", (F.col("zeros") + (F.col("end") != 0).cast("long")).alias("j"))
 
 
-def excursions(bits: DataFrame) -> DataFrame:
+def excursions(bits: DataFrame | BitBlocks) -> DataFrame:
     """N11 statistic: (seq_id, state, j, v0 to v5, chi2): cycles by their visits to each of eight states."""
-    walked = walk(bits)
-    visits = walked.where(F.col("s").isin(*STATES)).groupBy("seq_id", "cycle", F.col("s").alias("state")).agg(F.count("*").alias("k"))
-    kind = F.least(F.col("k"), F.lit(5))
-    seen = visits.groupBy("seq_id", "state").agg(*(F.count_if(kind == k).alias(f"v{k}") for k in range(1, 6)))
-    grid = cycles(walked).withColumn("state", F.explode(F.array(*map(F.lit, STATES))))
+    blocks = packed(bits)
+    facts = blocks.walked()
+    # a cycle that crosses ends of blocks has a part in each of them; its number is that of the zeros before it
+    zeros = facts.where("fact = 'zeros'").select("seq_id", F.col("a").alias("start"), F.col("value").alias("zeros"))
+    before = Window.partitionBy("seq_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    zeros = zeros.withColumn("first", F.coalesce(F.sum("zeros").over(before), F.lit(0)))
+    parts = facts.where("fact in ('head', 'tail')").select("seq_id", "fact", F.col("a").alias("state"), F.col("b").alias("start"), "value").join(zeros, ["seq_id", "start"])
+    number = F.col("first") + F.when(F.col("fact") == "tail", F.col("zeros")).otherwise(0)
+    joined = parts.groupBy("seq_id", "state", number.alias("cycle")).agg(F.least(F.sum("value"), F.lit(5)).alias("k")).groupBy("seq_id", "state", "k").agg(F.count("*").alias("c"))
+    whole = facts.where("fact = 'cycles'").select("seq_id", F.col("a").alias("state"), F.col("b").alias("k"), F.col("value").alias("c"))
+    seen = joined.union(whole).groupBy("seq_id", "state").agg(*(F.coalesce(F.sum(F.when(F.col("k") == k, F.col("c"))), F.lit(0)).alias(f"v{k}") for k in range(1, 6)))
+    grid = cycles(blocks).withColumn("state", F.explode(F.array(*map(F.lit, STATES))))
     full = grid.join(seen.withColumn("state", F.col("state").cast("int")), ["seq_id", "state"], "left").na.fill(0, [f"v{k}" for k in range(1, 6)])
     full = full.withColumn("v0", F.col("j") - sum((F.col(f"v{k}") for k in range(1, 6)), F.lit(0)))
     x = F.abs("state").cast("double")
@@ -492,12 +496,11 @@ def excursions_test(bits: DataFrame, least_cycles: int = 500) -> DataFrame:
     return verdict(excursions(bits), F.when(F.col("j") >= least_cycles, igamc_column(F.lit(2.5), F.col("chi2") / 2)))
 
 
-def excursions_variant(bits: DataFrame) -> DataFrame:
+def excursions_variant(bits: DataFrame | BitBlocks) -> DataFrame:
     """N12 statistic: (seq_id, state, j, xi): visits to each of eighteen states in the whole walk."""
-    walked = walk(bits)
-    states = [x for x in range(-9, 10) if x]
-    seen = walked.where(F.col("s").isin(*states)).groupBy("seq_id", F.col("s").cast("int").alias("state")).agg(F.count("*").alias("xi"))
-    grid = cycles(walked).withColumn("state", F.explode(F.array(*map(F.lit, states))))
+    blocks = packed(bits)
+    seen = blocks.walked().where("fact = 'visits'").select("seq_id", F.col("a").cast("int").alias("state"), F.col("value").alias("xi"))
+    grid = cycles(blocks).withColumn("state", F.explode(F.array(*(F.lit(x) for x in range(-9, 10) if x))))
     return grid.join(seen, ["seq_id", "state"], "left").na.fill(0, ["xi"]).select("seq_id", "state", "j", "xi")
 
 
@@ -510,10 +513,12 @@ def excursions_variant_test(bits: DataFrame, least_cycles: int = 500) -> DataFra
 def serial(bits: DataFrame, m: int = 3) -> DataFrame:
     """N13 statistics: (seq_id, n, d1, d2), first and second differences of psi-squared."""
 
+    blocks = packed(bits)
+
     def psi(width: int, name: str) -> DataFrame:
         if not width:
-            return bits.groupBy("seq_id").agg(F.count("*").alias("n"), F.lit(0.0).alias(name))
-        return gram_counts(bits, width).groupBy("seq_id", "n").agg((F.sum(F.col("c") * F.col("c")) * float(2**width) / F.col("n") - F.col("n")).alias(name))
+            return blocks.lengths().withColumn(name, F.lit(0.0))
+        return gram_counts(blocks, width).groupBy("seq_id", "n").agg((F.sum(F.col("c") * F.col("c")) * float(2**width) / F.col("n") - F.col("n")).alias(name))
 
     joined = psi(m, "p2").join(psi(m - 1, "p1").drop("n"), "seq_id").join(psi(max(0, m - 2), "p0").drop("n"), "seq_id")
     return joined.select("seq_id", "n", (F.col("p2") - F.col("p1")).alias("d1"), (F.col("p2") - 2 * F.col("p1") + F.col("p0")).alias("d2"))
@@ -544,24 +549,28 @@ def _linear_complexity(bits: list[int]) -> int:
 COMPLEXITY = (0.010417, 0.03125, 0.125, 0.5, 0.25, 0.0625, 0.020833)
 
 
-def linear_complexity(bits: DataFrame, m: int = 500) -> DataFrame:
-    """N14 statistic: (seq_id, blocks, v0 to v6, chi2) of the blocks' linear complexities."""
+def _complexity_classes(parts, m: int):
+    import numpy as np
+
     mean = m / 2 + (9 + (-1) ** (m + 1)) / 36 - (m / 3 + 2 / 9) / 2**m
-    t = (-1) ** m * (F.col("complexity") - mean) + 2 / 9
-    kind = F.when(t <= -2.5, 0).when(t > 2.5, 6).otherwise(F.ceil(t + 2.5))
-    counts = _per_block(bits, m, "complexity", _linear_complexity).groupBy("seq_id").agg(F.count("*").alias("blocks"), *(F.count_if(kind == k).alias(f"v{k}") for k in range(7)))
-    chi2 = sum((F.pow(F.col(f"v{k}") - F.col("blocks") * p, F.lit(2)) / (F.col("blocks") * p) for k, p in enumerate(COMPLEXITY)), F.lit(0.0))
-    return counts.withColumn("chi2", chi2)
+    t = (-1) ** m * (np.array([_linear_complexity(row) for row in parts.tolist()], dtype=float) - mean) + 2 / 9
+    return np.where(t <= -2.5, 0, np.where(t > 2.5, 6, np.ceil(t + 2.5))).astype(np.int64)
+
+
+def linear_complexity(bits: DataFrame | BitBlocks, m: int = 500) -> DataFrame:
+    """N14 statistic: (seq_id, blocks, v0 to v6, chi2) of the blocks' linear complexities."""
+    return _class_chi2(packed(bits).facts(f"complexity {m}", bitblocks.class_facts(lambda n: m, _complexity_classes)), COMPLEXITY)
 
 
 def linear_complexity_test(bits: DataFrame, m: int = 500) -> DataFrame:
     return verdict(linear_complexity(bits, m), igamc_column(F.lit(3.0), F.col("chi2") / 2))
 
 
-def cumulative_sums(bits: DataFrame) -> DataFrame:
+def cumulative_sums(bits: DataFrame | BitBlocks) -> DataFrame:
     """N15 statistic: (seq_id, mode, n, z), the largest absolute partial sum from the front and from the back."""
-    sums = running_sum(bits, 2 * F.col("bit").cast("long") - 1, "s")
-    ends = sums.groupBy("seq_id").agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.max_by("s", "idx").alias("total"))
+    blocks = packed(bits)
+    low, high = F.col("before") + F.col("low"), F.col("before") + F.col("high")
+    ends = blocks.offsets().groupBy("seq_id").agg(F.min(low).alias("lo"), F.max(high).alias("hi"), F.sum("total").alias("total")).join(blocks.lengths(), "seq_id")
     # a sum from the back is the total less one from the front, which starts at 0
     lo, hi = F.least("lo", F.lit(0)), F.greatest("hi", F.lit(0))
     at_end = F.greatest(F.abs(F.col("total") - lo), F.abs(hi - F.col("total")))
@@ -595,6 +604,27 @@ def cumulative_sums_test(bits: DataFrame) -> DataFrame:
     return verdict(cumulative_sums(bits), p(F.col("n"), F.col("z")))
 
 
+def gather_all(bits: DataFrame | BitBlocks) -> BitBlocks:
+    """The blocks of the bits with all facts that the fifteen tests take by default, from one pass over them; a walk's visits take a second one."""
+    blocks = packed(bits)
+    name, _, templates = _templates(None, 8, None)
+    blocks.gather(
+        {
+            "counts": bitblocks.count_facts,
+            "shares 128": bitblocks.share_facts(128),
+            "runs by length": bitblocks.class_facts(_run_length, _run_classes),
+            "ranks 32": bitblocks.class_facts(lambda n: 1024, _ranks(32)),
+            name: templates,
+            "rows 9 1032": bitblocks.class_facts(lambda n: 1032, _row_classes(9)),
+            "distances None None": bitblocks.distance_facts(_universal_width, None),
+            f"grams {GRAM}": bitblocks.gram_facts(GRAM),
+            "walk": bitblocks.walk_facts,
+            "complexity 500": bitblocks.class_facts(lambda n: 500, _complexity_classes),
+        }
+    )
+    return blocks
+
+
 def combined(results: dict[str, DataFrame], alpha: float = ALPHA) -> DataFrame:
     """(seq_id, tests, failed, passed): a sequence passes if no test that applies to it fails.
 

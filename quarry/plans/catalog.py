@@ -544,9 +544,7 @@ bit_query(" SELECT 0 AS seq_id, COUNT(*) AS n, TRUE AS valid FROM bits", randomn
 @query()
 def bit_verdicts(spark, sf_dir):
     """All fifteen tests and the combined verdict; p-values need functions that SQL lacks."""
-    from quarry.runtime import materialize
-
-    bits = materialize(stand_ins.bits(spark, sf_dir), "bits")
+    bits = randomness.gather_all(stand_ins.bits(spark, sf_dir))
     tests = {
         "frequency": randomness.frequency_test(bits),
         "block_frequency": randomness.block_frequency_test(bits),

@@ -84,9 +84,7 @@ def test_parameters_follow_from_length(spark):
     for k in range(4):
         alone = R.longest_run_test(bits(spark, texts[k]), runs[k]["m"]).first()
         assert runs[k]["p_value"] == pytest.approx(alone["p_value"])
-    widths = {}
-    R.by_length(df, lambda n: F.when(n >= 1010 * 8 * 3, 3).when(n >= 8080, 2), lambda some, p: widths.setdefault(p, some.select("seq_id").distinct())).collect()
-    assert {p: [r[0] for r in found.collect()] for p, found in widths.items()} == {2: [3]}
+    assert [R._universal_width(n) for n in (9, 1010 * 8 * 3 - 1, 1010 * 8 * 3, 387_840, 10**9)] == [2, 2, 3, 6, 10]
     assert R.universal_test(df).count() == 4 and R.longest_run_test(df.limit(0)).count() == 0
 
 
@@ -188,3 +186,60 @@ def test_poisson(spark):
     assert sum(r["expected"] for r in fit.values()) == pytest.approx(100)
     row = R.poisson_test(df, 4).first()
     assert row["freedom"] == 3 and row["passed"] and row["p_value"] == pytest.approx(igamc(1.5, row["chi2"] / 2))
+
+
+def everything(source):
+    """All statistics and p-values of a source of bits, by test, sequence and what else names a row."""
+    m = R.bitblocks
+    tests = {
+        "frequency": R.frequency_test(source), "block_frequency": R.block_frequency_test(source), "runs": R.runs_test(source), "longest_run": R.longest_run_test(source), "rank": R.matrix_rank_test(source),
+        "non_overlapping": R.non_overlapping_test(source), "overlapping": R.overlapping_test(source), "universal": R.universal_test(source), "entropy": R.approximate_entropy_test(source),
+        "excursions": R.excursions_test(source, 1), "variant": R.excursions_variant_test(source, 1), "serial": R.serial_test(source), "complexity": R.linear_complexity_test(source),
+        "sums": R.cumulative_sums_test(source), "spectral": R.spectral_test(source), "longest_runs": R.longest_runs(source, 100), "grams": R.gram_counts(source, 7),
+    }
+    assert m.BLOCK == 65_536
+    return {name: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in df.select(*sorted(df.columns)).collect()) for name, df in tests.items()}
+
+
+def test_block_ends_change_nothing(spark):
+    """Runs, words, test blocks and cycles that cross the ends of many small blocks, in sequences that end in any place of one."""
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("01") for _ in range(n)) for n in (7_000, 2 * 1_088, 1_088 + 1, 1_087, 130, 5)] + ["01" * 1_500, "0" * 2_500, "1" * 1_100, "10" + "1" * 2_000 + "0" * 4_000]
+    df = bits(spark, *texts).cache()
+    wanted = everything(df)
+    assert everything(R.gather_all(R.BitBlocks(df, 1_088))) == wanted
+    j = {r["seq_id"]: r["j"] for r in R.cycles(R.BitBlocks(df, 1_088)).collect()}
+    for k, text in enumerate(texts):
+        s, zeros = 0, 0
+        for c in text:
+            s += 2 * int(c) - 1
+            zeros += s == 0
+        assert j[k] == zeros + (s != 0)
+    again = R.BitBlocks(df, 1_088).bits()
+    assert {(r["seq_id"], r["idx"], r["bit"]) for r in again.collect()} == {(r["seq_id"], r["idx"], r["bit"]) for r in df.collect()}
+
+
+def test_excursions_and_universal_against_plain_loops(spark):
+    rng = random.Random(22)
+    texts = ["".join(rng.choice("01") for _ in range(6_000)), "10" * 900]
+    blocks = R.BitBlocks(bits(spark, *texts), 64)
+    rows = {(r["seq_id"], r["state"]): r for r in R.excursions(blocks).collect()}
+    seen = {(r["seq_id"], r["state"]): r["xi"] for r in R.excursions_variant(blocks).collect()}
+    for k, text in enumerate(texts):
+        s, cycle, visits = 0, 0, {}
+        for c in text:
+            s += 2 * int(c) - 1
+            visits.setdefault(cycle, []).append(s)
+            cycle += s == 0
+        for state in R.STATES:
+            counts = [min(5, own.count(state)) for own in visits.values()]
+            assert [rows[k, state][f"v{n}"] for n in range(6)] == [counts.count(n) for n in range(6)]
+        assert all(seen[k, x] == sum(own.count(x) for own in visits.values()) for x in range(-9, 10) if x)
+    for r in R.universal(blocks, 3, 20).collect():
+        words = [texts[r["seq_id"]][i : i + 3] for i in range(0, len(texts[r["seq_id"]]) - 2, 3)]
+        last, total, count = {}, 0.0, 0
+        for i, word in enumerate(words, 1):
+            if i > 20:
+                total, count = total + math.log2(i - last.get(word, 0)), count + 1
+            last[word] = i
+        assert r["k"] == count and r["total"] == pytest.approx(total)
