@@ -36,17 +36,20 @@ def range_partitioned(df: DataFrame, order: Sequence[Column], by: Sequence[str]
         return materialize(salted.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "ranged")
 
 
-def range_sorted(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), partitions: int | None = None, out: str = "place") -> DataFrame:
+def range_sorted(
+    df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), partitions: int | None = None, out: str = "place", keep: Sequence[str] | None = None
+) -> DataFrame:
     """``df`` with ``out``, a long that rises through each ``by`` group in ``order``: the number of a range times 2^33 plus the row's place in it.
 
     Ranges are those of :func:`range_partitioned`; the rows of a range are written sorted and numbered, so places are final and a group's rows in
-    a range have consecutive ones.
+    a range have consecutive ones. Only the columns ``keep`` are written, if they are given; the others break ties all the same.
     """
     salted = df.withColumns({"__tie": F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), "__salt": F.rand(11)})
     keys = [F.col(c).asc_nulls_last() for c in by] + list(order) + [F.col("__tie"), F.col("__salt")]
     with conf_set(df.sparkSession, "spark.sql.execution.rangeExchange.sampleSizePerPartition", str(SAMPLE)):
         ranged = salted.repartitionByRange(partitions or partition_count(df), *keys).sortWithinPartitions(*keys).drop("__tie", "__salt")
-        return materialize(ranged.withColumn(out, F.monotonically_increasing_id()), "sorted")
+        kept = ranged.columns if keep is None else keep
+        return materialize(ranged.select(*(F.col(f"`{c}`") for c in kept)).withColumn(out, F.monotonically_increasing_id()), "sorted")
 
 
 def prefix_sums(df: DataFrame, value: str, order: Sequence[Column], by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
@@ -181,7 +184,19 @@ def parted(df: DataFrame, by: Sequence[str], heavy: DataFrame) -> tuple[DataFram
     return df.join(named, same, "left_anti"), df.join(named, same, "left_semi")
 
 
-def global_index(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), out: str = "idx") -> DataFrame:
-    """``df`` with each row's place, from 0 without gaps, in the total order (of its group)."""
-    numbered = prefix_sums(df.withColumn("__one", F.lit(1)), "__one", order, by)
-    return numbered.withColumn(out, F.col("__index").cast("long")).drop("__one", "__before", "__index")
+def global_index(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), out: str = "idx", keep: Sequence[str] | None = None) -> DataFrame:
+    """``df`` with each row's place, from 0 without gaps, in the total order (of its group).
+
+    A row's place in its range is known from the sort, so rows only meet what comes before their range, by a join of a row for each range and group.
+    ``keep``, with the columns of ``by`` among them, names the columns that come out.
+    """
+    placed = range_sorted(df, order, by, out="__place", keep=keep).withColumn("__range", F.shiftright("__place", 33))
+    ranges = placed.groupBy("__range", *by).agg(F.min("__place").alias("__first"), F.count("*").alias("__rows"))
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first")
+    offsets = materialize(ranges.select(F.col("__range").alias("__of"), *(F.col(c).alias(f"__by_{k}") for k, c in enumerate(by)), offset.alias("__offset")), "offsets")
+    same = F.col("__range") == F.col("__of")
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"__by_{k}"))
+    joined = placed.join(broadcast_if_small(offsets), same).withColumn(out, F.col("__place") + F.col("__offset"))
+    return joined.select(*(F.col(f"`{c}`") for c in (df.columns if keep is None else keep) if c != out), out)

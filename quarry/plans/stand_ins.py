@@ -168,9 +168,10 @@ _LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "
 
 def bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parity of each line's price in cents, in the total order of all columns; equal rows have equal bits."""
-    ordered = global_index(table(spark, sf_dir, "lineitem").select(*_LINE), [F.col(c) for c in _LINE])
     parity = F.pmod(F.round(F.col("l_extendedprice") * 100).cast("long"), F.lit(2)).cast("tinyint")
-    return ordered.select(F.lit(0).alias("seq_id"), "idx", parity.alias("bit"))
+    lines = table(spark, sf_dir, "lineitem").select(*_LINE, parity.alias("bit"))
+    ordered = global_index(lines, [F.col(c) for c in _LINE], keep=["bit"])
+    return ordered.select(F.lit(0).alias("seq_id"), "idx", "bit")
 
 
 SQL_BITS = f"""
