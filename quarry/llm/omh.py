@@ -37,6 +37,8 @@ PICKS = 2
 SIMILARITY = 0.8
 #: Bands whose buckets give each node its first leaders; most copies find their class by these.
 FIRST_BANDS = 8
+#: Leaders that a node outside of a bucket's largest class meets there, one after another, before all nodes meet.
+LEADERS = 2
 #: Bits of a text's signature, a parity for each hash of an occurrence-labelled word.
 BITS = 2048
 
@@ -310,8 +312,9 @@ def _pairs(a: Column, b: Column) -> list[Column]:
 class _Classes:
     """Classes of the nodes that share a bucket, as verified links join them."""
 
-    def __init__(self, texts: DataFrame, threshold: float):
-        self.spark, self.threshold = texts.sparkSession, threshold
+    def __init__(self, texts: DataFrame, sketches: DataFrame, threshold: float):
+        """``sketches`` is (node, marks), 32 bits of the key of each band."""
+        self.spark, self.threshold, self.sketches = texts.sparkSession, threshold, sketches
         with arrow_batches(self.spark, TEXTS_AT_ONCE):
             self.nodes = materialize(_signatures(texts), "nodes")
         self.texts, self.components = texts, None
@@ -340,22 +343,23 @@ class _Classes:
         self.components = materialize(connected_components(edges), "classes")
         discard(tested, old)
 
-    def mixed(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """``members`` (key, node) with their class, and (key, largest, leader, dominated) of the buckets of several classes.
+    def mixed(self, members: DataFrame, turn: int = 0) -> tuple[DataFrame, DataFrame]:
+        """``members`` (key, node, band) with their class, and (key, largest, leader, dominated) of the buckets of several classes.
 
-        ``leader`` is a node of the largest class, which dominates a bucket if it holds half of its nodes.
+        ``leader`` is a node of the largest class, which dominates a bucket if it holds half of its nodes. Hashes choose it, another one in each
+        bucket and ``turn``, so that a node that shares several buckets with a class meets several of its nodes.
         """
         now = materialize(self.named(members), "named")
-        sizes = now.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("node").alias("leader"))
+        sizes = now.groupBy("key", "component").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("leader"))
         several = sizes.groupBy("key").agg(F.max(F.struct("n", "component", "leader")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("classes"))
         several = several.where("classes > 1").select(
             "key", F.col("top.component").alias("largest"), F.col("top.leader").alias("leader"), (F.col("top.n") * 2 >= F.col("all")).alias("dominated")
         )
         return now, materialize(several, "several")
 
-    def lead(self, members: DataFrame, everywhere: bool = True) -> None:
+    def lead(self, members: DataFrame, everywhere: bool = True, turn: int = 0) -> None:
         """Compare the nodes outside of a bucket's largest class with a node of it; if not ``everywhere``, in dominated buckets alone."""
-        now, several = self.mixed(members)
+        now, several = self.mixed(members, turn)
         led = several if everywhere else several.where("dominated")
         if not led.isEmpty():
             outside = now.join(broadcast_if_small(led), "key").where("component <> largest")
@@ -363,11 +367,15 @@ class _Classes:
         discard(now, several)
 
     def exhaust(self, members: DataFrame) -> None:
-        """Compare the nodes outside of a bucket's largest class with all nodes of other classes in it."""
+        """Compare the nodes outside of a bucket's largest class with all nodes of other classes in it.
+
+        Two nodes that share several buckets meet in that of the first band alone: elsewhere, their marks of earlier bands have a match.
+        """
         now, several = self.mixed(members)
         if several.isEmpty():
             return
-        full = now.join(broadcast_if_small(several.select("key", "largest")), "key").join(broadcast_if_small(self.nodes, 10_000), "node")
+        about = self.nodes.join(self.sketches, "node")
+        full = now.join(broadcast_if_small(several.select("key", "largest")), "key").join(broadcast_if_small(about, 10_000), "node")
         # texts whose lengths allow the similarity are in the same bin or in neighbouring ones
         width = math.log(1 / self.threshold) * (1 + 1e-6)
         full = materialize(full.withColumn("bin", F.floor(F.log("words") / width)), "full")
@@ -378,7 +386,8 @@ class _Classes:
         # nodes outside of the largest class on both sides meet once: those of neighbouring bins on the way up
         many = F.col("b.component") == F.col("b.largest")
         once = many | (F.col("a.step") == 1) | ((F.col("a.step") == 0) & (F.col("a.node") > F.col("b.node")))
-        self.link(a.join(b, same & once & _possible("a", "b", self.threshold)).select(*_pairs(F.col("a.node"), F.col("b.node"))).distinct(), bounded=True)
+        earlier = F.arrays_overlap(*(F.slice(F.col(f"{x}.marks"), F.lit(1), F.col(f"{x}.band")) for x in "ab"))
+        self.link(a.join(b, same & once & _possible("a", "b", self.threshold) & ~earlier).select(*_pairs(F.col("a.node"), F.col("b.node"))).distinct(), bounded=True)
         discard(now, several, full)
 
 
@@ -405,12 +414,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
     texts = docs.select(_fingerprint(F.col(text_col)).alias("fp"), F.col(text_col).cast("string").alias("text")).join(broadcast_if_small(wanted), "fp")
     texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "wordings")
 
-    classes = _Classes(texts, threshold)
+    marks = F.transform(F.slice("keys", 1, bands), lambda key: F.shiftright(key, 32).cast("int"))
+    classes = _Classes(texts, nodes.select("node", marks.alias("marks")), threshold)
     classes.link(buckets.select(*_pairs(F.col("low"), F.col("high"))).distinct())
     if bands > FIRST_BANDS:
-        classes.lead(members.where(F.col("band") < FIRST_BANDS).select("key", "node"))
-    members = members.select("key", "node")
-    classes.lead(members, everywhere=False)
+        classes.lead(members.where(F.col("band") < FIRST_BANDS))
+    for turn in range(1, LEADERS + 1):
+        classes.lead(members, turn=turn)
     classes.exhaust(members)
     slim = nodes.select("node", "fp", "first", "copies").join(broadcast_if_small(classes.components), "node", "left")
     linked = materialize(slim.where("component is not null or copies > 1").withColumn("component", F.coalesce("component", "node")), "linked")
