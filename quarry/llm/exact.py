@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.text import without_space
+from quarry.llm.text import names_apart, without_space
 from quarry.runtime import broadcast_if_small, materialize
 
 #: Characters of the normalised text that the second step hashes.
@@ -62,6 +62,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
 
 
+@names_apart
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; the rule is that of :func:`exact_groups`.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.text import names_apart
 from quarry.operators.prefix import range_partitioned, sums_of_ranges
 from quarry.runtime import broadcast_if_small, materialize
 
@@ -33,6 +34,7 @@ def source_targets(sized: DataFrame, source: str, size: str, weights: Sequence[i
     return leveled.select("source", "source_size", target.alias("target"))
 
 
+@names_apart
 def mix_sources(
     docs: DataFrame,
     size: Column,

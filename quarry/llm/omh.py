@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.text import names_apart
 from quarry.operators.components import connected_components
 from quarry.runtime import arrow_batches, broadcast_if_small, discard, materialize
 
@@ -453,6 +454,7 @@ def near_duplicates(
     return named.select(F.col("id").alias(id_col), F.when(single, F.col("id")).otherwise(F.col("first.i")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
 
 
+@names_apart
 def near_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.text import names_apart
 from quarry.operators.prefix import range_partitioned, sums_of_ranges
 
 
@@ -15,6 +16,7 @@ def byte_size(text: Column, extra: int = 8) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + extra).cast("long")
 
 
+@names_apart
 def shard_by_bytes(docs: DataFrame, size: str = "size", shards: int = 24, order: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``docs`` with shard (0 to shards - 1) and slot (gapless from 0 in each shard).
 

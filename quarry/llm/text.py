@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, wraps
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the white space of the operators' contracts, as a character class body.
@@ -22,6 +23,29 @@ def without_space(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE}]", "")
 
 
+def names_apart(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose first argument may have columns named like its own inner ones, which begin with ``__``.
+
+    Such columns have other names meanwhile and come out as they came in. Those that the call names are left to the operator.
+    """
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        named = {x for x in (*args, *kwargs.values()) if isinstance(x, str)}
+        odd = [c for c in docs.columns if c.startswith("__") and c not in named]
+        if not odd:
+            return operator(docs, *args, **kwargs)
+        free = "kept"
+        while any(c.startswith(free) for c in docs.columns):
+            free += "_"
+        aside = {c: f"{free}{k}" for k, c in enumerate(odd)}
+        back = {v: k for k, v in aside.items()}
+        out = operator(docs.toDF(*(aside.get(c, c) for c in docs.columns)), *args, **kwargs)
+        return out.toDF(*(back.get(c, c) for c in out.columns))
+
+    return run
+
+
 class TokenEncoder:
     """Byte-level BPE. A ``.json`` file is read by tokenizers, a ``.tiktoken`` file by tiktoken; ids agree for the same vocabulary.
 

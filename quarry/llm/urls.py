@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.text import names_apart
 from quarry.operators.components import connected_components
 from quarry.runtime import BROADCAST_ROWS, broadcast_if_small, materialize
 
@@ -142,6 +143,7 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     return edges.where("src is not null and dst is not null and src <> dst")
 
 
+@names_apart
 def judge_urls(
     pages: DataFrame,
     rules: Sequence[Rule] | DataFrame,

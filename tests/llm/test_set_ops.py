@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm import exact, hamming, mixing, omh, queries, sharding, urls
 from quarry.llm.text import word_count
@@ -482,3 +483,31 @@ def test_many_rules_are_joined(spark):
         fits = [(-len(h + p), h + p, a != "block", a) for h, p, a in rules if (host == h or host.endswith("." + h)) and f"/{path}".startswith(p)]
         best = min(fits, default=None)
         assert found[url] == ((best[1], best[3]) if best else (None, "allow")), url
+
+
+# ---- names -------------------------------------------------------------------------------------------------------------
+
+INNER = """__norm __len __head __shared __full __best __row __text __chars __n __fp __lost __key __part __before __tie __salt __index __epochs __source __sum __rows __block __of
+__host __path __rule __action __node __blocked __first __middle __shard kept0 a.b"""
+
+
+@pytest.mark.parametrize("operator", ["exact", "near", "mix", "urls", "shards"])
+def test_columns_named_like_inner_ones_come_out_as_they_came_in(spark, operator):
+    inner = INNER.split()
+    words = " ".join(f"w{j}" for j in range(30))
+    rows = [(k, f"{words} own {k % 4}" if k % 2 else words, "net" if k % 3 else None, *(f"{n} {k}" for n in inner)) for k in range(12)]
+    docs = spark.createDataFrame(rows, T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("text", "source", *inner))]))
+    if operator == "exact":
+        found = exact.exact_dedup(docs)
+    elif operator == "near":
+        found = omh.near_dedup(docs)
+    elif operator == "mix":
+        found = mixing.mix_sources(docs, word_count(F.col("text")))
+    elif operator == "shards":
+        found = sharding.shard_by_bytes(docs.withColumn("size", sharding.byte_size(F.col("text"))), shards=3)
+    else:
+        found = urls.judge_urls(docs.select(F.concat(F.lit("http://x.net/"), F.col("doc_id")).alias("url"), F.lit("<html>").alias("html"), "*"), queries.URL_RULES)
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert {"exact": 3, "near": 1}.get(operator, 12) == len(got)
+    for k, row in got.items():
+        assert [row[n] for n in inner] == [f"{n} {k}" for n in inner]
