@@ -82,6 +82,64 @@ r AS (SELECT query_id, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY di
 SELECT * FROM r WHERE rank <= 10
 """
 
+def _op11() -> str:
+    """Cheapest edits by a forward program over all rows, with the least letters and the repaired lines of each last role."""
+
+    def added(state: str, cost: str, letters: str, lines: str) -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || {letters}, 'l': {state}.l || {lines}}}"
+
+    def kept(role: str, name: str, ways: dict[str, str]) -> str:
+        """The least way to be after this row with this last role: ``ways`` has what is inserted after each earlier one."""
+        letter, fee = f"IF(r.kind = '{role}', 'K', 'R')", f"r.extra + IF(r.kind = '{role}', 0, 1)" if role != "s" else "r.extra + IF(r.kind = 's', 0, 1000000000)"
+        line = f"[IF(r.kind = '{role}', r.role, '{name}') || ':' || r.text]"
+        options = [added(f"p.{role}", "2", "'D'", "[]::VARCHAR[]")]
+        for state, more in ways.items():
+            options.append(added(f"p.{state}", f"{5 * bool(more)} + {fee}", f"{chr(39) + 'I' * bool(more) + chr(39)} || {letter}", (f"['{more}:'] || " if more else "") + line))
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    far = "{'c': 1000000000::BIGINT, 'a': '', 'l': []::VARCHAR[]}"
+    return rf"""
+WITH RECURSIVE hit AS (
+  SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(COALESCE(conv_id::VARCHAR, ' ') || ':' || COALESCE(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)
+  ), 4294967295::BIGINT) % 20 AS f FROM conversations
+),
+damaged AS (
+  SELECT conv_id, turn, IF(f = 4, 'user', role) AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hit
+),
+ordered AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_replace(text, '[ 	-]+$', '') AS shown, IF(role = '', '?', left(role, 1)) AS kind FROM damaged
+),
+faults AS (
+  SELECT *, CASE WHEN shown = '' THEN 1 WHEN ROW_NUMBER() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    COALESCE(LAG(kind) OVER (PARTITION BY conv_id ORDER BY i) || kind NOT IN ('su', 'ua', 'au'), FALSE) AS odd FROM ordered
+),
+rows AS (SELECT *, CASE fault WHEN 0 THEN 0 WHEN 3 THEN 5 ELSE 1000000000 END AS extra FROM faults),
+steps AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'l': []::VARCHAR[]}} AS n, {far} AS s, {far} AS u, {far} AS a FROM conversations
+  UNION ALL
+  SELECT p.conv_id, r.i, {added("p.n", "2", "'D'", "[]::VARCHAR[]")}, {kept("s", "-", {"n": ""})},
+    {kept("u", "user", {"n": "", "s": "", "a": "", "u": "assistant"})},
+    {kept("a", "assistant", {"n": "user", "s": "user", "a": "user", "u": ""})}
+  FROM steps p JOIN rows r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1
+),
+ends AS (
+  SELECT conv_id, list_sort([n, {added("s", "10", "'II'", "['user:', 'assistant:']")}, {added("u", "5", "'I'", "['assistant:']")}, a])[1] AS best FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY i DESC) AS last FROM steps
+  ) WHERE last = 1
+),
+counts AS (
+  SELECT conv_id, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (fault = 1) AS blank, COUNT(*) FILTER (fault = 2) AS duplicate,
+    COUNT(*) FILTER (fault = 3) AS truncated, COUNT(*) FILTER (odd) AS illegal FROM rows GROUP BY 1
+)
+SELECT e.conv_id, COALESCE(gaps, 0)::BIGINT AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal,
+  best.c AS cost, best.a AS audit, sha256(COALESCE(array_to_string(best.l, chr(10)), '')) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 def _op13(clusters: int = 16, rounds: int = 3) -> str:
     """Plain rounds: every vector meets every centroid."""
     assign = """
@@ -116,4 +174,4 @@ FROM a{rounds} JOIN h USING (c)
 """
 
 
-ORACLES = {"op2_urls": OP2.strip(), "op4_mix": OP4.strip(), "op8_exact": OP8.strip(), "op9_top_k": OP9.strip(), "op13_clusters": _op13().strip()}
+ORACLES = {"op2_urls": OP2.strip(), "op4_mix": OP4.strip(), "op8_exact": OP8.strip(), "op9_top_k": OP9.strip(), "op11_repair": _op11().strip(), "op13_clusters": _op13().strip()}

@@ -215,3 +215,12 @@ def test_query_matches_plain_version(spark, data):
     found = queries.op11_repair(spark, data)
     assert found.columns == COLUMNS
     assert sorted(map(tuple, found.collect()), key=str) == plain_report(rows, plain_damage(rows))
+
+
+def test_query_matches_its_sql(spark, data, duck):
+    from quarry.llm import queries
+
+    found = queries.op11_repair(spark, data)
+    sql = duck.sql(queries.ORACLES["op11_repair"])
+    assert sql.columns == found.columns
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, sql.fetchall()), key=str)
