@@ -6,10 +6,10 @@ key, which documents share more often the smaller their edit distance is, not me
 verified by a banded alignment of their words.
 
 Equal texts are one node. First the two outermost nodes of each bucket are compared, which settles buckets of two; then the nodes of larger
-buckets with few leaders. Classes are the connected components of verified links. Where a bucket still holds several classes, the
-nodes outside of its largest class are compared with all nodes of other classes, behind exact lower bounds of
-their distance. So a group of copies costs a multiple of its size, nothing is capped, and no link between nodes that share
-a bucket is lost.
+buckets with few leaders, other ones in each bucket and turn. Classes are the connected components of verified links. Where a bucket still holds
+several classes, the nodes outside of its largest class are compared with all nodes of other classes, each pair in the first bucket that
+it shares, behind exact lower bounds of their distance. So a group of copies costs a multiple of its size, and nothing is capped. That two nodes have met
+before is told by 32 bits of each key; a pair is passed over by a chance match about once in a million.
 
 A text of up to ``k`` words is one k-mer, and a word replaced in the middle of fewer than 2 ``k`` words leaves no common k-mer. Texts of up to
 2 ``k`` words therefore have keys of their wordings with one word deleted besides, which no pair at a distance of one word escapes.
