@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.text import names_apart
-from quarry.operators.components import connected_components
-from quarry.runtime import arrow_batches, broadcast_if_small, discard, materialize
+from quarry.operators.components import stars, with_roots
+from quarry.runtime import BROADCAST_ROWS, arrow_batches, broadcast_if_small, discard, materialize
 
 K = 5
 BANDS = 64
@@ -40,6 +40,8 @@ SIMILARITY = 0.8
 FIRST_BANDS = 8
 #: Leaders that a node outside of a bucket's largest class meets there, one after another, before all nodes meet.
 LEADERS = 2
+#: Nodes with signatures, of 300 bytes each, that are broadcast at most.
+SIGNED_ROWS = 25_000
 #: Bits of a text's signature, a parity for each hash of an occurrence-labelled word.
 BITS = 2048
 
@@ -318,31 +320,46 @@ class _Classes:
         self.spark, self.threshold, self.sketches = texts.sparkSession, threshold, sketches
         with arrow_batches(self.spark, TEXTS_AT_ONCE):
             self.nodes = materialize(_signatures(texts), "nodes")
-        self.texts, self.components = texts, None
-
-    def named(self, members: DataFrame) -> DataFrame:
-        """``members`` with their class: of a node without a link, the node itself."""
+        self.signed = broadcast_if_small(self.nodes, SIGNED_ROWS)
+        self.texts = texts
+        #: (node, component) of all nodes but the one that names its class, the smallest
+        self.components: DataFrame | None = None
+        #: whether a count shows that these can be broadcast
+        self.few = False
+
+    def named(self, members: DataFrame, node: str = "node", component: str = "component") -> DataFrame:
+        """``members`` with the class of their ``node``: of one without a link, the node itself."""
         if self.components is None:
-            return members.withColumn("component", F.col("node"))
-        named = members.join(broadcast_if_small(self.components), "node", "left")
-        return named.withColumn("component", F.coalesce("component", "node"))
+            return members.withColumn(component, F.col(node))
+        known = self.components.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+        named = members.join(F.broadcast(known) if self.few else known, F.col(node) == F.col("__node"), "left")
+        return named.withColumn(component, F.coalesce("__component", node)).drop("__node", "__component")
 
     def link(self, pairs: DataFrame, bounded: bool = False) -> None:
         """Compare pairs of nodes (a, b), and join the classes of those that are similar."""
         if not bounded:
-            # a node may be in many pairs: both sides of a join have a shuffle of their own, which adaptive execution can split
-            a, b = (self.nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in self.nodes.columns)) for x in "ab")
+            # a node may be in many pairs: where nodes are not broadcast, both sides of a join have a shuffle of their own, which adaptive execution can split
+            a, b = (self.signed.select(*(F.col(c).alias(f"{c}_{x}") for c in self.signed.columns)) for x in "ab")
             wide = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
             sides = [F.struct(F.col(f"words_{x}").alias("words"), F.col(f"signature_{x}").alias("signature")).alias(f"of_{x}") for x in "ab"]
             pairs = wide.select("a", "b", *sides).where(_possible("of_a", "of_b", self.threshold)).select("a", "b")
         with arrow_batches(self.spark, PAIRS_AT_ONCE):  # two texts a row
             tested = materialize(_verified(pairs, self.texts, self.threshold), "tested")
-        edges = tested.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        # links join classes, not nodes, so that what was joined before is not gone through again
+        edges = self.named(self.named(tested.where("linked"), "a", "src"), "b", "dst").where("src <> dst").select("src", "dst")
         old = self.components
-        if old is not None:
-            edges = edges.union(old.select(F.col("node").alias("src"), F.col("component").alias("dst")))
-        self.components = materialize(connected_components(edges), "classes")
-        discard(tested, old)
+        if old is None:
+            self.components = stars(edges)
+        elif not edges.isEmpty():
+            joined = stars(edges)
+            # a node that names a class is in no row of the old ones
+            moved = broadcast_if_small(joined.select(F.col("node").alias("component"), F.col("component").alias("into")))
+            renamed = old.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+            self.components = materialize(renamed.union(joined), "classes")
+            discard(joined, old)
+        if self.components is not old:
+            self.few = self.components.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        discard(tested)
 
     def mixed(self, members: DataFrame, turn: int = 0) -> tuple[DataFrame, DataFrame]:
         """``members`` (key, node, band) with their class, and (key, largest, leader, dominated) of the buckets of several classes.
@@ -423,9 +440,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
     for turn in range(1, LEADERS + 1):
         classes.lead(members, turn=turn)
     classes.exhaust(members)
-    slim = nodes.select("node", "fp", "first", "copies").join(broadcast_if_small(classes.components), "node", "left")
+    named = materialize(with_roots(classes.components), "classes")
+    slim = nodes.select("node", "fp", "first", "copies").join(broadcast_if_small(named), "node", "left")
     linked = materialize(slim.where("component is not null or copies > 1").withColumn("component", F.coalesce("component", "node")), "linked")
-    discard(nodes, buckets, members, sharing, wanted, texts, classes.nodes, classes.components)
+    discard(nodes, buckets, members, sharing, wanted, texts, classes.nodes, classes.components, named)
     return rows.select("id", "fp"), linked
 
 
