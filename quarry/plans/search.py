@@ -18,5 +18,5 @@ SELECT query_id, id, rank, ROUND(similarity, 6) AS similarity FROM r WHERE rank
 def pivot_top_k(spark, sf_dir):
     """The eight nearest vectors of every fourth one, itself included, by the pivot index."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    found, _ = PivotIndex(vectors).top_k(vectors.where("id % 4 = 0").withColumnRenamed("id", "query_id"), 8)
+    found, _ = PivotIndex(vectors).top_k(vectors.where("id % 4 = 0").withColumnRenamed("id", "query_id"), 8, digits=9)
     return doubles(found.select("query_id", "id", "rank", "similarity"), "similarity")
