@@ -60,11 +60,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts lineage without depending on any executor staying alive, gives the planner true sizes and makes
-    non-deterministic columns (row ids, partition ids) final. The files go when the driver's JVM ends.
+    non-deterministic columns (row ids, partition ids) final. The files go when the driver's JVM ends; those of the job's own
+    shuffles go with the job, as nothing else reads them.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quarry-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with conf_set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

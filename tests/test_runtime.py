@@ -1,9 +1,11 @@
 """The shared scratch folder, checked broadcasts and batch sizes."""
 
+import time
 from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry import runtime
 
@@ -48,3 +50,16 @@ def test_batch_size_comes_back_after_an_error(spark):
         assert spark.conf.get(name) == "7"
         raise ValueError
     assert spark.conf.get(name) == before
+
+
+def test_a_materialized_job_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {p for p in disk.getAllBlocks().mkString(" ").split() if p.startswith("shuffle_")}
+    before = shuffled()
+    df = runtime.materialize(spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+    assert sorted(map(tuple, df.collect())) == [(k, 143 if k < 6 else 142) for k in range(7)]
