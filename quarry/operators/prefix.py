@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.runtime import broadcast_if_small, conf_set, materialize
+from quarry.runtime import broadcast_if_small, conf_set, discard, materialize
 
 #: Partitions whose totals one window sums up.
 BLOCK = 64
@@ -133,7 +133,9 @@ def scan(df: DataFrame, order: Sequence[Column], by: Sequence[str], values: Mapp
     def window(v: Running) -> Window:
         return Window.partitionBy("__range", *by, *stretch(v)).orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
 
-    local = local.withColumns({out: _over(v.how, F.col(v.column), window(v)) for out, v in values.items()})
+    # written, as totals and rows are two readings
+    local = materialize(local.withColumns({out: _over(v.how, F.col(v.column), window(v)) for out, v in values.items()}), "local")
+    discard(placed)
 
     # what a range and group come to: the values of its last row
     kept = [*own, *values]

@@ -178,17 +178,25 @@ def _filled_by_windows(filled: DataFrame) -> DataFrame:
     )
 
 
+#: Equal rows that one array stands for.
+REPEATED = 4096
+
+
 def _filled_by_scan(filled: DataFrame) -> DataFrame:
-    """The same: maxima of a fill group are running maxima that begin anew at a phase with a label."""
+    """The same: maxima of a fill group are running maxima that begin anew at a phase with a label.
+
+    Rows of an entity and phase come out equal, so one goes through the scan with their number, and is repeated afterwards.
+    """
     carried = ("category_code", "category_name", "period_label")
-    phases = filled.groupBy(*ENTITY, "phase").agg(F.count("period_label").alias("labels"), *(F.max(c).alias(c) for c in carried))
+    phases = filled.groupBy(*ENTITY, "phase").agg(F.count("*").alias("rows"), F.count("period_label").alias("labels"), *(F.max(c).alias(c) for c in carried))
     phases = phases.withColumn("starts", F.col("labels") > 0)
     values = {"grp": Running("sum", "labels"), **{f"{c}_so_far": Running("max", c, "starts") for c in carried[:2]}, "period_label_so_far": Running("max", "period_label")}
     scanned = scan(phases, [F.col("phase").asc_nulls_last()], ENTITY, values)
-    keys = [*ENTITY, "phase"]
-    known = materialize(scanned.select(*(F.col(c).alias(f"of_{c}") for c in keys), "grp", *(f"{c}_so_far" for c in carried)), "phases")
-    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in keys))
-    return filled.select(*keys).join(broadcast_if_small(known), same).select(*keys, "grp", *(F.col(f"{c}_so_far").alias(c) for c in carried))
+    known = scanned.select("rows", *ENTITY, "phase", "grp", *(F.col(f"{c}_so_far").alias(c) for c in carried))
+    # a phase of many rows is no long array
+    known = known.withColumn("__first", F.explode(F.sequence(F.lit(1), F.col("rows"), F.lit(REPEATED).cast("long"))))
+    known = known.withColumn("__row", F.explode(F.sequence(F.col("__first"), F.least(F.col("rows"), F.col("__first") + REPEATED - 1))))
+    return known.select("batch_id", "entity_id", "phase", "category_group", "grp", *carried)
 
 
 def last_known(df: DataFrame, value: str, by: Sequence[str], order: str, most: int = WINDOW_ROWS) -> DataFrame:
@@ -212,7 +220,11 @@ def last_known(df: DataFrame, value: str, by: Sequence[str], order: str, most: i
 
 def filled_spine(base: DataFrame, phases: int = 5, most: int = WINDOW_ROWS) -> DataFrame:
     """The phase spine of a schedule, filled. An entity has no more rows there than in the schedule and phases, so the schedule tells the heavy ones."""
-    return forward_fill(phase_spine(base, phases), heavy_groups(base, ENTITY, max(0, most - phases)))
+    heavy = heavy_groups(base, ENTITY, max(0, most - phases))
+    if heavy is None:
+        return _filled_by_windows(phase_spine(base, phases))
+    light, large = parted(materialize(base, "base"), ENTITY, heavy)
+    return _filled_by_windows(phase_spine(light, phases)).unionByName(_filled_by_scan(phase_spine(large, phases)))
 
 
 def joined_status(normalised: DataFrame, status: DataFrame, groups: Mapping[str, Sequence[str]] = GROUPS) -> DataFrame:

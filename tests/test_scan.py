@@ -97,3 +97,14 @@ def test_fills_are_equal_by_scans_and_by_windows(spark):
     rows = spark.createDataFrame([(g, o, rng.choice([None, None, o])) for g in ("x", None) for o in [None, *range(300)]], "g string, o int, v int")
     wanted = sorted(map(repr, reconcile.last_known(rows, "v", ["g"], "o").collect()))
     assert sorted(map(repr, reconcile.last_known(rows, "v", ["g"], "o", 10).collect())) == wanted
+
+
+def test_equal_rows_of_a_phase_go_through_the_scan_once(spark, monkeypatch):
+    rows = [("b", 1, "P2", "c1", "type_a1")] * 9 + [("b", 1, "P4", None, "type_a2"), ("b", 2, None, "c2", "type_c"), (None, 1, "P3", "c3", "type_a1")]
+    base = reconcile.base_schedule(spark.createDataFrame(rows, "batch_id string, entity_id long, period_label string, category_code string, category_name string"))
+    wanted = sorted(map(repr, reconcile.filled_spine(base).collect()))
+    scanned, scan = [], reconcile.scan
+    monkeypatch.setattr(reconcile, "scan", lambda df, *how: scanned.append(df.count()) or scan(df, *how))
+    monkeypatch.setattr(reconcile, "REPEATED", 4)
+    found = reconcile.filled_spine(base, most=0)
+    assert sorted(map(repr, found.collect())) == wanted and len(wanted) > scanned[0]
